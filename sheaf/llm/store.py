@@ -1,0 +1,36 @@
+"""Written intermediate tables: they cut lineage and outlive any executor."""
+
+from __future__ import annotations
+
+import atexit
+import contextlib
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no shared folder, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster, from spark.checkpoint.dir."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` to the shared folder and returns what was written; removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sheaf-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
