@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import mixing, sharding
+from sheaf.llm import decontaminate, language_id, mixing, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,23 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(rows).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@_query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _remainder(n: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def _language_model(docs: DataFrame) -> language_id.Model | None:
+    return language_id.fit(docs.where(_remainder(3) != 1), F.xxhash64(F.lit("language"), "doc_id"))
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", (_remainder(3) == 1).alias("held_out"), "text")
+    return language_id.identify(rows, _language_model(docs)).drop("text")
