@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, language_id, mixing, sharding
+from sheaf.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (_remainder(3) == 1).alias("held_out"), "text")
     return language_id.identify(rows, _language_model(docs)).drop("text")
+
+
+@_query
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_documents(_table(spark, sf_dir, "documents")).drop("node")
