@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, sharding
+from sheaf.llm import decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, mixing, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_documents(_table(spark, sf_dir, "documents")).drop("node")
+
+
+@_query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.train_and_score(_table(spark, sf_dir, "documents"), _remainder(5) == 1)
