@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, mixing, sharding
+from sheaf.llm import decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, mixing, secret_scan, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.train_and_score(_table(spark, sf_dir, "documents"), _remainder(5) == 1)
+
+
+@_query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
