@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, mixing, secret_scan, sharding
+from sheaf.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, secret_scan, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
+@_query
+def op1_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(_table(spark, sf_dir, "documents"))
