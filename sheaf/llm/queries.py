@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, secret_scan, sharding
+import corpus_pipeline
+from sheaf.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, secret_scan, sharding
 
-QUERIES: dict = {}
+QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def _query(plan):
@@ -80,3 +83,63 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.near_lines(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    return chat_format.digests(chat_format.read_back(chat_format.build_forest(rows)))
+
+
+ORACLES["op2_chat_format"] = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), written AS (
+  SELECT *, length(replace(text, '\', '\\'))
+           + 2 * len(regexp_extract_all(text, '<\||\[/?INST\]|</?s>|<</?SYS>>')) AS body_chars,
+         length(replace(role, '\', '\\'))
+           + 2 * len(regexp_extract_all(role, '<\||\[/?INST\]|</?s>|<</?SYS>>'))
+           + len(regexp_extract_all(role, '\n')) AS role_chars
+  FROM every
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + role_chars + 1 + body_chars + 10 + 1) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
+ORACLES["op1_near_lines"] = r"""
+WITH raw AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), numbered AS (
+  SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no,
+         lower(trim(regexp_replace(parts[n], '[\x20\x09-\x0D]+', ' ', 'g'))) AS line
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM raw)
+), every AS (
+  SELECT * FROM numbered WHERE line <> ''
+), firsts AS (
+  SELECT line, min(row(doc_id, line_no)) AS place FROM every GROUP BY line
+), cut AS (
+  SELECT line, place, i, left(line, i - 1) || substr(line, i + 1) AS v
+  FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= 12)
+), pairs AS (
+  SELECT a.line, b.place FROM cut a JOIN cut b USING (v, i) WHERE a.line <> b.line
+  UNION ALL SELECT a.line, b.place FROM cut a JOIN firsts b ON a.v = b.line WHERE length(b.line) >= 12
+  UNION ALL SELECT b.line, a.place FROM cut a JOIN firsts b ON a.v = b.line WHERE length(b.line) >= 12
+), near AS (
+  SELECT line, min(place) AS place FROM pairs GROUP BY line
+), told AS (
+  SELECT e.doc_id, e.line_no, f.place AS own,
+         CASE WHEN n.place < f.place THEN n.place WHEN f.place < row(e.doc_id, e.line_no) THEN f.place END AS first
+  FROM every e JOIN firsts f USING (line) LEFT JOIN near n USING (line)
+)
+SELECT doc_id, line_no, first IS NULL AS kept, first[1] AS first_doc_id, first[2] AS first_line_no,
+       CASE WHEN first IS NOT NULL THEN CAST(first <> own AS INTEGER) END AS edits
+FROM told
+"""
