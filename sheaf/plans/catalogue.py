@@ -1,5 +1,6 @@
 """Everything that is registered: importing this module imports every query family."""
 
+from sheaf.plans import control
 from sheaf.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "control"]
