@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import decontaminate, language_id, minhash_dedup, mixing, sharding
-from sheaf.llm.store import written
+from sheaf.sources.scratch import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

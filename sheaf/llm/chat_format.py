@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.prefix import running_totals
-from sheaf.llm.store import written
+from sheaf.operators.prefix import running_totals
+from sheaf.sources.scratch import written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: The first character of a control string of this or another common template, wherever one begins.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.graph import components
-from sheaf.llm.store import written
+from sheaf.sources.scratch import written
 
 #: Most vectors that the rotation is learnt from; every vector is indexed.
 SAMPLE = 20_000

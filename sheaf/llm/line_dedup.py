@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.store import written
+from sheaf.sources.scratch import written
 
 #: Two lines are near if one insertion, deletion or substitution of a character turns one into the other.
 EDITS = 1

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import words as W
-from sheaf.llm.store import written
+from sheaf.sources.scratch import written
 
 #: Tokens that a task counts before it passes its counts on.
 FLUSH = 3 << 20

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import words as W
 from sheaf.llm.graph import components
-from sheaf.llm.store import written
+from sheaf.sources.scratch import written
 
 SHINGLE = 5
 #: A sketch is the ORDER smallest shingles under one hash function, in text order; a key joins PER_KEY sketches.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.prefix import running_totals
-from sheaf.llm.store import written
+from sheaf.operators.prefix import running_totals
+from sheaf.sources.scratch import written
 
 #: A word: no space and none of the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.prefix import running_totals
-from sheaf.llm.store import written
+from sheaf.operators.prefix import running_totals
+from sheaf.sources.scratch import written
 
 #: numpy's exact sampler stops here; beyond, the law is normal to within its rounding.
 EXACT_POPULATION = 1_000_000_000
