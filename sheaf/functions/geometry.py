@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZERO = F.lit(0.0)
-
 
 def area(b: Column) -> Column:
-    return F.greatest(_ZERO, b[2] - b[0]) * F.greatest(_ZERO, b[3] - b[1])
+    return F.greatest(F.lit(0.0), b[2] - b[0]) * F.greatest(F.lit(0.0), b[3] - b[1])
 
 
 def intersection(a: Column, b: Column) -> Column:
     wide = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
     high = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
-    return F.greatest(_ZERO, wide) * F.greatest(_ZERO, high)
+    return F.greatest(F.lit(0.0), wide) * F.greatest(F.lit(0.0), high)
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(_ZERO)
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -66,10 +64,10 @@ def caption_score(a: Column, b: Column, i: Column, j: Column) -> Column:
 def is_close(a: Column, b: Column, most: float = 1.8) -> Column:
     """Near by centres, or side by side, or one above the other with little between."""
     wa, wb, ha, hb = a[2] - a[0], b[2] - b[0], a[3] - a[1], b[3] - b[1]
-    x = F.greatest(_ZERO, F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
-    y = F.greatest(_ZERO, F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
-    below = F.greatest(_ZERO, F.greatest(a[1], b[1]) - F.least(a[3], b[3]))
-    beside = F.greatest(_ZERO, F.greatest(a[0], b[0]) - F.least(a[2], b[2]))
+    x = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
+    y = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+    below = F.greatest(F.lit(0.0), F.greatest(a[1], b[1]) - F.least(a[3], b[3]))
+    beside = F.greatest(F.lit(0.0), F.greatest(a[0], b[0]) - F.least(a[2], b[2]))
     return (
         (centre_distance(a, b) <= (wa + wb + ha + hb) / 4 * most)
         | ((_share(x, F.least(wa, wb)) > 0.3) & (below < F.greatest(ha, hb)))
