@@ -1,6 +1,6 @@
 """Everything that is registered: importing this module imports every query family."""
 
-from sheaf.plans import control, documents, layout
+from sheaf.plans import control, documents, layout, scalars
 from sheaf.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "control", "documents", "layout"]
+__all__ = ["ORACLES", "QUERIES", "control", "documents", "layout", "scalars"]
