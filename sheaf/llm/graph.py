@@ -1,19 +1,50 @@
-"""Connected components of link tables that no single task could hold."""
+"""Connected components of link tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.sources.scratch import written
 
+#: Links that one task may hold (16 bytes each); more links take the distributed way.
+TASK_LINKS = 2_000_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """Columns node, component (smallest node reachable) for every node of `links` (long columns a, b; not null).
 
-    Each round takes the smallest label among neighbours and then the label of that label, so rounds grow with the
-    logarithm of the longest path; a star ends after one. Each round's labels are written.
+    A table of up to TASK_LINKS links is joined up by one executor task, which writes the labels; a larger one by
+    rounds of joins. Both give the same labels.
     """
+    if links.count() <= TASK_LINKS:
+        return written(links.select("a", "b").repartition(1).mapInArrow(_joined_up, "node long, component long"), "labels")
+    return _by_rounds(links)
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if got:
+        a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = ends[: len(a)], ends[len(a) :]
+        label, before = np.arange(len(nodes)), None
+        while before is None or (label != before).any():
+            before = label.copy()
+            np.minimum.at(label, a, before[b])
+            np.minimum.at(label, b, before[a])
+            while (label[label] != label).any():
+                label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], names=["node", "component"])
+
+
+def _by_rounds(links: DataFrame) -> DataFrame:
+    """Each round takes the smallest label among neighbours and then the label of that label, so rounds grow with the
+    logarithm of the longest path. Each round's labels are written."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(both.distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")

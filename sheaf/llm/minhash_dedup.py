@@ -18,8 +18,10 @@ SHINGLE = 5
 ORDER, PER_KEY, KEYS = 3, 2, 40
 #: Below this size a table of node ids is sent to all workers; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Leaders of a bucket compared in the first round, and how much more in each later one.
-LEADERS, LEADER_GROWTH = 1, 4
+#: Nodes of one bucket compared in one task; a larger bucket is cut into blocks, all pairs of which are compared.
+BLOCK = 1024
+#: Shingles taken together when a block counts what its nodes share.
+COLUMNS = 4096
 
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, PER_KEY * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RUN = 16
@@ -124,7 +126,10 @@ def _sequence_hash(found: np.ndarray) -> int:
 
 
 def _each_text(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    texts = batch.column(batch.schema.names.index("text")).to_pylist()
+    return _each(batch.column(batch.schema.names.index("text")).to_pylist())
+
+
+def _each(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     for a, b in W.chunks(texts):
         found, starts = W.hashed_words(texts[a:b], W.ALNUM, lower=True)
         for i in range(b - a):
@@ -166,37 +171,77 @@ def _sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def _linked(members: DataFrame, lists: DataFrame, least: float) -> DataFrame | None:
-    """Components of the nodes of all buckets.
+def _linked(members: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """Components of the nodes of all buckets (members: key, node, n nodes of that key).
 
-    members: key, node, n (nodes of that key). In each round the first nodes of every bucket that still holds several
-    components are compared with its nodes of other components, four times as many nodes as in the round before, until
-    none is left uncompared. So pairs within a component are never listed, and no link between components is lost.
+    Every node is compared with the first node of each of its buckets; most groups hang together by these links alone.
+    Buckets that still hold several components are then compared whole, in blocks inside tasks, which report a
+    spanning forest of what they link and never their pairs. So no link between components is lost.
     """
-    links = tested = of = None
-    first, width = 0, LEADERS
-    while True:
-        placed = members.where(F.col("n") > first)
-        placed = placed.join(of, "node", "left") if of is not None else placed.withColumn("component", F.lit(None).cast("long"))
-        placed = placed.withColumn("component", F.coalesce("component", "node"))
-        if first:
-            open_keys = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
-            placed = written(placed.join(written(open_keys, "open"), "key", "left_semi"), "placed")
-            if placed.isEmpty():
-                return of
-        ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("_rank") <= first + width)
-        leaders = written(ranked.where(F.col("_rank") > first).select("key", F.col("node").alias("leader"), F.col("component").alias("_of")), "leaders")
-        pairs = placed.join(leaders, "key").where("component <> _of")
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        with_a = pairs.join(lists.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-        with_b = with_a.join(lists.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-        new = written(with_b.select("a", "b", "x", "y").mapInArrow(_verifier(least), "a long, b long"), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if of is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            of = components(links)
-        first, width = first + width, width * LEADER_GROWTH
+    first = members.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = members.join(written(first, "first"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    with_a = written(pairs, "pairs").join(lists.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+    with_b = with_a.join(lists.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+    links = written(with_b.select("a", "b", "x", "y").mapInArrow(_verifier(least), "a long, b long"), "links")
+    of = components(links)
+    placed = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
+    left = written(placed.join(written(mixed, "open"), "key", "left_semi"), "left")
+    more = written(_compared(left.join(lists, "node"), least), "more")
+    return of if more.isEmpty() else components(links.union(more))
+
+
+def _compared(left: DataFrame, least: float) -> DataFrame:
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = left.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), blocks))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return spread.select("key", "i", "j", "own", "node", "component", "words").groupBy("key", "i", "j").applyInArrow(_comparer(least), "a long, b long")
+
+
+def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two lists share; a list holds a value once."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    several = n[at] > 1
+    column = (np.cumsum(n > 1) - 1)[at[several]]
+    row, order = row[several], np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(lists), len(lists)), dtype=np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        held = np.zeros((len(lists), COLUMNS), dtype=np.float32)
+        held[row[a:b], column[a:b] - start] = 1
+        out += held @ held.T
+    return out
+
+
+def _comparer(least: float) -> Callable:
+    def run(group: pa.Table) -> pa.Table:
+        words = [np.frombuffer(w, np.uint32) for w in group.column("words").to_pylist()]
+        node, component, own = (group.column(c).to_numpy() for c in ("node", "component", "own"))
+        lists = [labelled_shingles(w.astype(np.uint64)) for w in words]
+        sizes = np.array([len(x) for x in lists])
+        common = _shared_counts(lists)
+        near = common >= least * (sizes[:, None] + sizes[None, :] - common)
+        near &= component[:, None] != component[None, :]
+        if group.column("i")[0].as_py() != group.column("j")[0].as_py():  # pairs within a block are compared where it meets itself
+            near &= own[:, None] != own[None, :]
+        links, parent = [], {int(c): int(c) for c in component}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for p, q in zip(*np.nonzero(np.triu(near)), strict=True):
+            a, b = root(int(component[p])), root(int(component[q]))
+            if a != b and aligned_similarity(words[p], words[q], least):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(node[p]), int(node[q])))
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return run
 
 
 def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -232,7 +277,7 @@ def without_near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     found = written(near_documents(docs, least).where("node IS NOT NULL"), "decided")
     dropped = written(found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "dropped")
     again = written(found.where("kept").groupBy("class_id").agg(F.count("node").alias("n")).where("n > 1").select(F.col("class_id").alias("_id")), "again")
-    row = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    row = docs.select("doc_id", F.struct("*").alias("row"))
     wide = f"doc_id long, node long, row {row.schema['row'].dataType.simpleString()}"
     noted = row.mapInArrow(_noted, wide)
     match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))
@@ -246,5 +291,5 @@ def without_near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes = [_sequence_hash(found) if len(found) else None for _, found in _each_text(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(2)], names=["doc_id", "node", "row"])
+        nodes = [_sequence_hash(found) if len(found) else None for _, found in _each(batch.column(1).field("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1)], names=["doc_id", "node", "row"])
