@@ -13,6 +13,8 @@ EDITS = 1
 MIN_CHARS = 12
 #: Characters per block of a line; variants hash the block they change, and the rest of the line once per block.
 BLOCK = 16
+#: A table of lines up to this size is sent to all workers; a larger one is joined by a shuffle.
+BROADCAST_BYTES, WANTED_ROW_BYTES = 32 << 20, 48
 
 
 def _hash(*parts: Column | str) -> list[Column]:
@@ -27,7 +29,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def normalised(line: Column) -> Column:
     """White space at both ends goes, other runs of it become one space, ASCII and other letters are lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
 
 
 def _near_keys(line: Column, n: Column) -> Column:
@@ -45,29 +47,40 @@ def _near_keys(line: Column, n: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """The whole deletion neighbourhood of each line (columns id, line): rows of k1, k2 (key), place, id.
+def _frames(lines: DataFrame) -> DataFrame:
+    """Each line (columns id, line) under each block: id, line, j, more (0: cut a character, 1: whole), frame.
 
-    A line without its character at `place`, in its block, and the line itself, under every block, with place null.
-    A block's key joins the hashes of what stands before it, of its own characters and of what stands behind it, so a
-    variant costs a block's length and not the line's.
+    Near lines are equal before the block that holds the edit and behind it, so they share that block's frame: the
+    hash of both parts and of the longer line's length, which is the line's own or one more.
     """
-    n = F.length("line")
-    blocks = lines.select("id", "line", F.explode(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int"))).alias("j"))
+    n, more = F.length("line"), F.col("more")
+    pairs = lines.select("id", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("more"))
+    blocks = pairs.select("id", "line", "more", F.explode(F.sequence(F.lit(0), F.floor((n + more - 1) / BLOCK).cast("int"))).alias("j"))
     start = F.col("j") * BLOCK
-    rest = lambda skip: F.call_function("substring", F.col("line"), start + BLOCK + skip + 1)
-    framed = blocks.select(
+    behind = F.call_function("substring", F.col("line"), start + BLOCK + 2 - more)
+    return blocks.select("id", "line", "j", "more", F.xxhash64(n + more, "j", F.left("line", start), behind).alias("frame"))
+
+
+def _variants(framed: DataFrame) -> DataFrame:
+    """The deletion neighbourhood within the given frames: rows of k1, k2 (key), place, id.
+
+    A line without its character at `place`, or, with place null, the whole line. A key joins the hashes of what stands
+    before the block, of the block's own characters and of what stands behind it, so a variant costs a block's length
+    and not the line's.
+    """
+    n, start = F.length("line"), F.col("j") * BLOCK
+    last = F.when(F.col("more") == 1, 0).otherwise(F.least(F.lit(BLOCK), n - start))
+    spread = framed.select(
         "id", "j",
         F.xxhash64(F.left("line", start)).alias("before"),
         F.call_function("substring", F.col("line"), start + 1, F.lit(BLOCK + 1)).alias("own"),
-        F.xxhash64(rest(0)).alias("after"), F.xxhash64(rest(1)).alias("after_cut"),
-        F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.greatest(n - start, F.lit(0))).cast("int"))).alias("i"),
+        F.xxhash64(F.call_function("substring", F.col("line"), start + BLOCK + 2 - F.col("more"))).alias("behind"),
+        F.explode(F.sequence(1 - F.col("more"), last.cast("int"))).alias("i"),
     )
-    own = F.col("own")
+    own, whole = F.col("own"), F.col("i") == 0
     cut = F.concat(F.left(own, F.col("i") - 1), F.call_function("substring", own, F.col("i") + 1))
-    whole = F.col("i") == 0
-    k1, k2 = _hash("j", "before", F.when(whole, F.left(own, F.lit(BLOCK))).otherwise(cut), F.when(whole, F.col("after")).otherwise(F.col("after_cut")))
-    return framed.select(k1.alias("k1"), k2.alias("k2"), F.when(~whole, F.col("j") * BLOCK + F.col("i")).alias("place"), "id")
+    k1, k2 = _hash("j", "before", F.when(whole, F.left(own, F.lit(BLOCK))).otherwise(cut), "behind")
+    return spread.select(k1.alias("k1"), k2.alias("k2"), F.when(~whole, F.col("j") * BLOCK + F.col("i")).alias("place"), "id")
 
 
 def near_lines(docs: DataFrame) -> DataFrame:
@@ -79,8 +92,8 @@ def near_lines(docs: DataFrame) -> DataFrame:
     12 characters meet equal ones only. Repeated rows give repeated lines at the same place, all alike. Null texts and
     blank lines give no rows; other columns are ignored.
 
-    Equal lines are one first. Of the rest only lines that share a half with another can be near one; these emit
-    their deletion neighbourhood. In a group of equal variants every line meets the group's earliest, never the other
+    Equal lines are one first. Of the rest only lines that share a half with another can be near one, and of these
+    only blocks that share their frame hold the edit; there lines emit their deletion neighbourhood. In a group of equal variants every line meets the group's earliest, never the other
     members, so hot groups cost a row each; pairs found so are verified by their edit distance.
     """
     line = normalised(F.col("line"))
@@ -94,7 +107,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
     halves = distinct.where("halves IS NOT NULL").select("h1", "h2", "place", F.explode("halves").alias("half"))
     shared = written(halves.groupBy("half").agg(F.count("place").alias("n")).where("n > 1").select("half"), "halves")
     wanted = halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.any_value("place").alias("place"))
-    near = _firsts(every, written(wanted, "wanted"))
+    near = _firsts(docs, written(wanted, "wanted"))
     answers = distinct.select("h1", "h2", "place").join(near, ["h1", "h2"], "left")
     answers = written(answers.select("h1", "h2", F.col("place").alias("equal"), F.col("first").alias("near")), "answers")
     told = thin.select("doc_id", "line_no", "h1", "h2").join(answers, ["h1", "h2"])
@@ -107,13 +120,21 @@ def near_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _firsts(every: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sent_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() * WANTED_ROW_BYTES <= BROADCAST_BYTES else df
+
+
+def _firsts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """For lines that have an earlier line one edit away: h1, h2 and `first`, the place of the earliest."""
-    texts = every.join(wanted.select(F.col("place.doc_id").alias("_d"), F.col("place.line_no").alias("_n"), "h1", "h2"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_n")))
+    at = _sent_if_small(wanted.select(F.col("place.doc_id").alias("_d"), F.col("place.line_no").alias("_n"), "h1", "h2"))
+    found = lines_of(docs).join(at, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_n")))
+    texts = found.select("doc_id", "line_no", "h1", "h2", normalised(F.col("line")).alias("line"))
     h1, h2 = _hash("line")
     texts = texts.where((F.col("h1") == h1) & (F.col("h2") == h2)).dropDuplicates(["h1", "h2"])
     lines = written(texts.select(F.struct("h1", "h2", F.struct("doc_id", "line_no").alias("place")).alias("id"), "line"), "texts")
-    variants = _variants(lines)
+    frames = _frames(lines)
+    shared = written(frames.groupBy("frame").agg(F.count("id").alias("n")).where("n > 1").select("frame"), "frames")
+    variants = written(_variants(frames.join(shared, "frame", "left_semi")), "variants")
     by_place = variants.groupBy("k1", "k2", "place").agg(F.min("id.place").alias("first"), F.count("id").alias("n"))
     groups = by_place.groupBy("k1", "k2").agg(
         F.min(F.when(F.col("place").isNotNull(), F.col("first"))).alias("cut"),
@@ -121,7 +142,7 @@ def _firsts(every: DataFrame, wanted: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull() & (F.col("n") > 1), F.struct("place", "first")))).alias("same"),
         F.sum("n").alias("n"),
     ).where("n > 1")
-    groups = written(groups.drop("n"), "variants")
+    groups = written(groups.drop("n"), "groups")
     met = variants.join(groups, ["k1", "k2"])
     earlier = F.when(F.col("place").isNull(), F.col("cut")).otherwise(F.least("whole", F.try_element_at("same", F.col("place"))))
     pairs = met.select("id", earlier.alias("other")).where(F.col("other") < F.col("id.place")).distinct()
