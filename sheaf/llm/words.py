@@ -29,7 +29,15 @@ SPACED = _table(~((_CODES == 32) | ((_CODES >= 9) & (_CODES <= 13))))
 #: Runs of ASCII letters and digits and of any other characters beyond ASCII; punctuation parts words.
 ALNUM = _table(((_CODES >= 48) & (_CODES <= 57)) | ((_CODES >= 65) & (_CODES <= 90)) | ((_CODES >= 97) & (_CODES <= 122)) | (_CODES >= 128))
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+class _Local(dict):
+    """A cache that stays in its process: functions that are sent to workers take it along empty."""
+
+    def __reduce__(self) -> tuple:
+        return _Local, ()
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = _Local()
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
