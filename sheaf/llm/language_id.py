@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from sheaf.llm import words as W
 
 #: Hashed n-gram features, for runs of 1 to 3 bytes of lower-cased letters with one space between words.
-FEATURES = 4096
+FEATURES = 2048
 #: Most labelled texts that centroids and thresholds are fitted on; document frequencies cover all labelled texts.
-SAMPLE = 4000
+SAMPLE = 2000
 CENTROIDS = 4
 #: A text is rejected if its similarity is below this share of what nearly all sample texts of its length reach.
 REJECT_SHARE = 0.5
@@ -59,9 +59,11 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weighed = np.log1p(counts) * idf
+    weighed = np.log1p(counts)
+    weighed *= idf
     norm = np.linalg.norm(weighed, axis=1, keepdims=True)
-    return weighed / np.where(norm > 0, norm, 1)
+    weighed /= np.where(norm > 0, norm, 1)
+    return weighed
 
 
 def _length_step(counts: np.ndarray) -> np.ndarray:

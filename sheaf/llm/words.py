@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes taken together in one array step; a longer text is still taken whole.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _RNG = np.random.default_rng(7)
 #: A random odd number for each byte, and the base of the polynomial, odd and so invertible modulo 2^64.
@@ -41,7 +41,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = _Local()
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n - 1).bit_length())
+    size = 1 << max(20, int(n - 1).bit_length())
     if size not in _powers:
         if len(_powers) > 1:  # beside the usual size, keep one of the larger ones
             _powers.pop(max(_powers))
