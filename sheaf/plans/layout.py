@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from sheaf.plans.registry import query, table
 
 #: Boxes of one page that are compared with each other.
 PAGE = "label IS NOT NULL"
+#: Hashes of one block, about, and of a block compared with the others in one array step.
+HASHES, STRIP = 2048, 256
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +94,38 @@ SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h::BIGINT, b.h::BIGINT
 FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.h::BIGINT, b.h::BIGINT)) <= 18
 """)
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image hashes of one group at most 18 bits apart."""
-    bits = F.aggregate(F.slice("embedding", 1, 60), F.lit(0).cast("long"), lambda acc, x: F.call_function("shiftleft", acc, F.lit(1)) + F.when(x > 0, 1).otherwise(0))
-    hashes = table(spark, sf_dir, "embeddings").where("vec_id < 2000").select("vec_id", "label", bits.alias("h"))
-    other = hashes.select(F.col("vec_id").alias("b"), "label", F.col("h").alias("g"))
-    apart = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
-    return hashes.join(other, "label").where("vec_id < b").select(F.col("vec_id").alias("a"), "b", apart.alias("distance")).where("distance <= 18")
+    """Image hashes of one group at most 18 bits apart; every vector and every component counts.
+
+    Hashes of a label are compared in blocks inside tasks, which give out near pairs only. (Of 19 blocks of 3 or 4 bits,
+    one of which near hashes share, each pair of a label would meet in about two: more work than all pairs once.)
+    """
+    sign = lambda acc, x: F.call_function("shiftleft", acc, F.lit(1)) + F.when(x > 0, 1).otherwise(0)
+    word = lambda k: F.aggregate(F.slice("embedding", k * 64 + 1, F.lit(64)), F.lit(0).cast("long"), sign)
+    bits = F.transform(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 64).cast("int")), word)
+    hashes = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").cast("long").alias("vec_id"), "label", bits.alias("h"))
+    blocks = hashes.groupBy("label").agg(F.ceil(F.count("h") / HASHES).alias("blocks"))
+    placed = hashes.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "h")
+    return placed.groupBy("label", "i", "j").applyInArrow(_near_hashes, "a long, b long, distance int")
+
+
+def _near_hashes(group: pa.Table) -> pa.Table:
+    ids, own, across = group.column("vec_id").to_numpy(), group.column("own").to_numpy(), group.column("i")[0] != group.column("j")[0]
+    lists = group.column("h").to_pylist()
+    h = np.zeros((len(lists), max(map(len, lists))), np.int64)
+    for k, x in enumerate(lists):
+        h[k, : len(x)] = x
+    found = []
+    for k in range(0, len(ids), STRIP):
+        at = slice(k, k + STRIP)
+        apart = sum(np.bitwise_count((h[at, None, w] ^ h[None, :, w]).view(np.uint64)).astype(np.int32) for w in range(h.shape[1]))
+        near = (apart <= 18) & (ids[at, None] < ids[None, :])
+        if across:  # pairs within a block are compared where that block meets itself
+            near &= own[at, None] != own[None, :]
+        x, y = np.nonzero(near)
+        found.append((ids[x + k], ids[y], apart[x, y]))
+    return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], names=["a", "b", "distance"])
 
 
 @query("smart_resize", """
