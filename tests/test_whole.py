@@ -25,3 +25,18 @@ def test_all_vectors_and_components_count(spark, tmp_path, monkeypatch, block):
     signs = [(i, np.array(v) > 0, label) for i, v, label in rows if v and label is not None]
     want = [(i, j, int((x != y).sum())) for i, x, k in signs for j, y, m in signs if i < j and k == m and (x != y).sum() <= 18]
     assert got == sorted(want) and len(want) > 200
+
+
+def test_every_output_is_checked(spark, tmp_path):
+    items = [(1, "red fox ran"), (2, "red"), (3, "fox red"), (4, None), (5, "red hen"), (6, "cat  dog")]
+    docs = [(k, t, s) for k, t in enumerate(["a red fox", "fox and red", "red only", None, "", "cat", "hen red fox", "redfox"] * 2) for s in ("a", None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, text, _ in docs:
+        for item, x in items:
+            a, b = (x.split(" ") + [None])[:2] if x else (None, None)
+            if text is not None and b is not None and a in text:
+                want.append((i, item, b in text, b in text[text.index(a) + len(a) :]))
+    got = catalogue.QUERIES["fixture_check"](spark, str(tmp_path)).select("doc_id", "item_id", "has_fields", "in_order").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 60
