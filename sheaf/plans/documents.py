@@ -107,7 +107,7 @@ def dup_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("author_block_score")
 def author_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = table(spark, sf_dir, "documents").select("doc_id", T.author_score(F.left("text", F.lit(2000))).alias("score"))
+    scored = table(spark, sf_dir, "documents").select("doc_id", T.author_score(F.col("text")).alias("score"))
     return scored.withColumn("is_author_block", F.col("score") >= 5)
 
 

@@ -40,3 +40,13 @@ def test_every_output_is_checked(spark, tmp_path):
                 want.append((i, item, b in text, b in text[text.index(a) + len(a) :]))
     got = catalogue.QUERIES["fixture_check"](spark, str(tmp_path)).select("doc_id", "item_id", "has_fields", "in_order").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 60
+
+
+def test_author_blocks_are_scored_whole(spark, tmp_path):
+    filler = "lorem ipsum dolor " * 150
+    rows = [
+        (1, filler + "mail@example.org University Hospital School 12345", None), (2, filler, None), (3, "mail@example.org University Hospital School 12345 " + "the of " * 2000, None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["author_block_score"](spark, str(tmp_path)).orderBy("doc_id").select("score", "is_author_block").collect()
+    assert list(map(tuple, got)) == [(8, True), (0, False), (0, False)]
