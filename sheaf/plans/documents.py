@@ -173,8 +173,7 @@ FROM (SELECT *, rtrim(text) AS a, ltrim(following) AS b FROM n) WHERE following
 def text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring pages of which the first stops inside a sentence, and the length of the two as one."""
     follow = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    cut_off = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", (F.col("turn") + 40).cast("int")).alias("text"))
-    pairs = cut_off.select("conv_id", "turn", "text", follow.alias("follow"))
+    pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", follow.alias("follow"))
     cut = pairs.where(F.col("follow").isNotNull() & ~T.ends_sentence(F.col("text")))
     return cut.select("conv_id", "turn", F.length(T.joined_pair(F.col("text"), F.col("follow"))).cast("long").alias("merged_chars"))
 

@@ -50,3 +50,11 @@ def test_author_blocks_are_scored_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalogue.QUERIES["author_block_score"](spark, str(tmp_path)).orderBy("doc_id").select("score", "is_author_block").collect()
     assert list(map(tuple, got)) == [(8, True), (0, False), (0, False)]
+
+
+def test_whole_turns_are_merged(spark, tmp_path):
+    long = "word " * 30
+    rows = [(1, 0, long + "ends here."), (1, 1, long + "is cut in"), (1, 2, long + "hyphen-"), (1, 3, "ation " + long + "end."), (2, 0, "never ends"), (2, 1, None), (3, 0, None), (3, 1, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, catalogue.QUERIES["text_merge_candidates"](spark, str(tmp_path)).select("conv_id", "turn", "merged_chars").collect()))
+    assert got == [(1, 1, len(long + "is cut in") + 1 + len(long + "hyphen-")), (1, 2, len(long + "hyphen") + len("ation " + long + "end."))]
