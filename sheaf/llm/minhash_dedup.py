@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import words as W
@@ -253,6 +253,14 @@ def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     kept marks the rows whose doc_id is the class_id. Null doc_ids and repeated rows are kept apart by nothing: equal
     rows get equal answers. Other columns are ignored; an empty table gives no rows.
     """
+    with_class = _classed(docs, least)
+    smallest = written(with_class.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id")), "smallest")
+    own = F.coalesce("class_id", "doc_id")
+    return with_class.join(smallest, "component", "left").select("doc_id", "node", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def _classed(docs: DataFrame, least: float) -> DataFrame:
+    """One row per document: doc_id, node and component (of its node; null without words)."""
     signed = written(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, node long, keys array<long>"), "signatures")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
     nodes = written(nodes, "nodes")
@@ -263,20 +271,23 @@ def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     candidates = docs.select("doc_id", "text").join(_sent_if_small(wanted, 16), F.col("doc_id").eqNullSafe(F.col("_id")))
     lists = written(candidates.select("node", "text").mapInArrow(_word_lists, "node long, words binary").dropDuplicates(["node"]), "words")
     of = _linked(members, lists, least)
-    with_class = written(signed.select("doc_id", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "classed")
-    smallest = written(with_class.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id")), "smallest")
-    own = F.coalesce("class_id", "doc_id")
-    return with_class.join(smallest, "component", "left").select("doc_id", "node", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return written(signed.select("doc_id", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "classed")
 
 
 def without_near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of `docs`, with all columns, one of each class of `near_documents`: that of the smallest doc_id.
 
-    Of repeated rows of that doc_id one stays.
+    Classes are told apart by their component, so unlike texts with one doc_id, or with none, all stay. A null doc_id
+    comes after the others; of a doc_id with several nodes in a class the smallest node stays, and of repeated rows of
+    that doc_id and node one.
     """
-    found = written(near_documents(docs, least).where("node IS NOT NULL"), "decided")
-    dropped = written(found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "dropped")
-    again = written(found.where("kept").groupBy("class_id").agg(F.count("node").alias("n")).where("n > 1").select(F.col("class_id").alias("_id")), "again")
+    rows = written(_classed(docs, least).where("node IS NOT NULL").groupBy("doc_id", "node", "component").agg(F.count("node").alias("n")), "decided")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    chosen = rows.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.doc_id").alias("_least"), F.col("first.node").alias("_first"))
+    is_first = (F.col("node") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_least"))
+    decided = rows.join(written(chosen, "chosen"), "component").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "n", is_first.alias("first"))
+    dropped = written(decided.where("NOT first").select("_id", "_node"), "dropped")
+    again = written(decided.where("first AND n > 1").select("_id", "_node"), "again")
     row = docs.select("doc_id", F.struct("*").alias("row"))
     wide = f"doc_id long, node long, row {row.schema['row'].dataType.simpleString()}"
     noted = row.mapInArrow(_noted, wide)
@@ -284,9 +295,9 @@ def without_near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     stay = noted.join(_sent_if_small(dropped, 24), match, "left_anti")
     if again.isEmpty():
         return stay.select("row.*")
-    several = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("node").isNotNull()
-    one = stay.join(again, several, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("node")))
-    return stay.join(again, several, "left_anti").select("row.*").union(one.where("_n = 1").select("row.*"))
+    again = _sent_if_small(again, 24)
+    one = stay.join(again, match, "left_semi").dropDuplicates(["doc_id", "node"])
+    return stay.join(again, match, "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
