@@ -1,9 +1,9 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification."""
+"""Benchmark decontamination: item-sized windows around shared shingles, all verified exactly; SimHash distances."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,16 +15,11 @@ from sheaf.llm import words as W
 
 SHINGLE = 5
 BITS = 128
-#: Fingerprints up to this far apart are sure to agree on one of RADIUS + 1 blocks.
-RADIUS = 23
+#: Sums of weights are taken as equal within this share.
+ROUNDING = 1e-9
 #: Benchmark text held by each worker in one pass; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 
-_EDGES = np.linspace(0, BITS, RADIUS + 2).astype(int)
-#: Bits to block values, as one matrix product.
-_TO_BLOCKS = np.zeros((BITS, RADIUS + 1), dtype=np.float32)
-for _k in range(RADIUS + 1):
-    _TO_BLOCKS[_EDGES[_k] : _EDGES[_k + 1], _k] = 1 << np.arange(_EDGES[_k + 1] - _EDGES[_k])
 _SALTS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
@@ -34,13 +29,8 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(both.view(np.uint8).reshape(len(hashes), 16), axis=1).astype(np.int32) * 2 - 1
 
 
-def _blocks(bits: np.ndarray) -> np.ndarray:
-    """The value of each block of each fingerprint."""
-    return (bits.astype(np.float32) @ _TO_BLOCKS).astype(np.intp)
-
-
 def build_index(items: list[tuple[int, str | None]]) -> dict:
-    """Items by size, each size with its fingerprints and its tables from block values to items.
+    """Items with their fingerprints and weighted shingles, and for each shingle width the items that hold a shingle.
 
     A shingle weighs the more, the fewer items hold it. Items without words can't be found.
     """
@@ -51,24 +41,21 @@ def build_index(items: list[tuple[int, str | None]]) -> dict:
             own = np.unique(W.shingles(found, min(SHINGLE, len(found))))
             held.update(own.tolist())
             kept.append((item_id, found, own))
-    sizes: dict[int, dict] = {}
-    by_size = defaultdict(list)
-    for item in kept:
-        by_size[len(item[1])].append(item)
-    for n, group in by_size.items():
-        bits = np.stack([_signs(found).sum(axis=0) > 0 for _, found, _ in group])
-        values = _blocks(bits)
-        tables = np.zeros((RADIUS + 1, 1 << int(np.diff(_EDGES).max()), len(group)), dtype=bool)
-        for i in range(len(group)):
-            tables[np.arange(RADIUS + 1), values[i], i] = True
-        weights = [np.array([math.log(1 + len(kept) / held[s]) for s in own.tolist()]) for _, _, own in group]
-        sizes[n] = {
-            "ids": [i for i, _, _ in group], "bits": np.packbits(bits, axis=1), "shingles": [own for _, _, own in group], "weights": weights,
-            "tables": np.packbits(tables, axis=2),
+    weights = [np.array([math.log(1 + len(kept) / held[s]) for s in own.tolist()]) for _, _, own in kept]
+    gates = {}
+    for k in sorted({min(SHINGLE, len(found)) for _, found, _ in kept}):
+        of = [i for i, (_, found, _) in enumerate(kept) if min(SHINGLE, len(found)) == k]
+        shingles = np.concatenate([kept[i][2] for i in of])
+        order = np.argsort(shingles, kind="stable")
+        values, first = np.unique(shingles[order], return_index=True)
+        gates[k] = {
+            "values": values, "first": np.append(first, len(order)), "items": np.repeat(of, [len(kept[i][2]) for i in of])[order],
+            "weights": np.concatenate([weights[i] for i in of])[order],
         }
-    widths = sorted({min(SHINGLE, n) for n in sizes})
-    gates = {k: np.unique(np.concatenate([s for n, x in sizes.items() if min(SHINGLE, n) == k for s in x["shingles"]])) for k in widths}
-    return {"sizes": sizes, "gates": gates}
+    return {
+        "ids": [i for i, _, _ in kept], "words": [len(found) for _, found, _ in kept], "shingles": [own for _, _, own in kept], "weights": weights,
+        "totals": np.array([w.sum() for w in weights]), "bits": [np.packbits(_signs(found).sum(axis=0) > 0) for _, found, _ in kept], "gates": gates,
+    }
 
 
 def _member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -76,50 +63,56 @@ def _member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def _regions(hits: np.ndarray, reach: int, n_words: int) -> list[tuple[int, int]]:
-    """Stretches of words within `reach` of a hit."""
-    parts = np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1)
-    return [(max(0, int(p[0]) - reach), min(n_words, int(p[-1]) + reach + SHINGLE)) for p in parts]
-
-
 def find_items(found: np.ndarray, index: dict, threshold: float) -> dict[int, tuple[float, int, int, int]]:
     """For the words of one text: item id to (similarity, Hamming distance, first word, words) of its best window.
 
-    A window that is similar enough shares a shingle with its item, so only windows around such shingles get
-    fingerprints; that loses none. Windows of every item size at every word are looked up in the tables.
+    Items of whose shingle weight the text holds less than the threshold are left; of the others every window is
+    weighed, so none is lost. For an item longer than the text the window is the text.
     """
     best: dict[int, tuple[float, int, int, int]] = {}
     for k, gate in index["gates"].items():
         own = W.shingles(found, k)
-        hits = np.flatnonzero(_member(gate, own)) if len(own) else own
+        hits = np.flatnonzero(_member(gate["values"], own)) if len(own) else own
         if not len(hits):
             continue
-        sizes = {n: x for n, x in index["sizes"].items() if min(SHINGLE, n) == k and n <= len(found)}
-        for a, b in _regions(hits, max(sizes, default=0), len(found)) if sizes else []:
-            near = hits[(hits >= a) & (hits < b)]
-            sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(found[a:b]), axis=0, dtype=np.int32)])
-            for n, x in sizes.items():
-                starts = np.arange(a, b - n + 1)
-                starts = starts[np.searchsorted(near, starts + n - k, side="right") > np.searchsorted(near, starts)]
-                if len(starts):
-                    _match(own, starts, sums[starts - a + n] - sums[starts - a] > 0, n, k, x, threshold, best)
+        there = np.unique(np.searchsorted(gate["values"], own[hits]))
+        sizes = gate["first"][there + 1] - gate["first"][there]
+        entries = np.repeat(gate["first"][there] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        items, at = np.unique(gate["items"][entries], return_inverse=True)
+        reached = np.bincount(at, weights=gate["weights"][entries])
+        for i in items[reached >= (threshold - ROUNDING) * index["totals"][items]].tolist():
+            window = _best_window(found, own, hits, k, i, index, threshold)
+            if window and (-window[0], *window[1:3]) < _rank(best.get(index["ids"][i])):
+                best[index["ids"][i]] = window
     return best
 
 
-def _match(own: np.ndarray, starts: np.ndarray, bits: np.ndarray, n: int, k: int, x: dict, threshold: float, best: dict) -> None:
-    values, tables = _blocks(bits), x["tables"]
-    listed = tables[0][values[:, 0]]
-    for t in range(1, RADIUS + 1):
-        listed |= tables[t][values[:, t]]
-    at, items = np.nonzero(np.unpackbits(listed, axis=1, count=len(x["ids"])))
-    apart = np.bitwise_count(np.packbits(bits, axis=1)[at] ^ x["bits"][items]).sum(axis=1)
-    near = np.flatnonzero(apart <= RADIUS)
-    for w, i, distance in zip(at[near].tolist(), items[near].tolist(), apart[near].tolist(), strict=True):
-        start = int(starts[w])
-        there = np.isin(x["shingles"][i], own[start : start + n - k + 1])
-        similarity = float(x["weights"][i][there].sum() / x["weights"][i].sum())
-        if similarity >= threshold and (-similarity, distance, start) < _rank(best.get(x["ids"][i])):
-            best[x["ids"][i]] = (similarity, distance, start, n)
+def _best_window(found: np.ndarray, own: np.ndarray, hits: np.ndarray, k: int, i: int, index: dict, threshold: float) -> tuple[float, int, int, int] | None:
+    """The most similar window for item i; of equal ones that of the nearest fingerprint, then the first."""
+    shingles, weights, total = index["shingles"][i], index["weights"][i], index["totals"][i]
+    n = min(index["words"][i], len(found))
+    at = hits[_member(shingles, own[hits])]
+    which = np.searchsorted(shingles, own[at])
+    order = np.argsort(which, kind="stable")
+    at, which = at[order], which[order]
+    before = np.where(np.append(False, which[1:] == which[:-1]), np.append(-1, at[:-1]), -1)  # where the shingle stood last
+    low, high = np.maximum(at - n + k, before + 1), np.minimum(at, len(found) - n)  # first words of windows that it is new to
+    low = np.maximum(low, 0)
+    some = low <= high
+    edges, place = np.unique(np.concatenate([low[some], high[some] + 1]), return_inverse=True)
+    level = np.cumsum(np.bincount(place, weights=np.concatenate([weights[which[some]], -weights[which[some]]])))
+    if level.max() < (threshold - ROUNDING) * total:
+        return None
+    best = None
+    for m in np.flatnonzero(level >= level.max() - ROUNDING * total).tolist():
+        a, b = int(edges[m]), int(edges[m + 1])
+        similarity = float(weights[np.isin(shingles, own[a : a + n - k + 1])].sum() / total)
+        sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(found[a : b + n - 1]), axis=0, dtype=np.int32)])
+        apart = np.bitwise_count(np.packbits(sums[n:] - sums[:-n] > 0, axis=1) ^ index["bits"][i]).sum(axis=1)
+        window = (similarity, int(apart.min()), a + int(apart.argmin()), n)
+        if (-similarity, *window[1:3]) < _rank(best):
+            best = window
+    return best
 
 
 def _rank(found: tuple[float, int, int, int] | None) -> tuple[float, int, int]:
@@ -150,7 +143,8 @@ def _search(texts: list[str | None], index: dict, threshold: float) -> Iterator[
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Every (document, item) where some window of the item's size holds `threshold` of the item's shingle weight.
+    """Every (document, item) where some window of the item's size, or the whole of a shorter text, holds `threshold` of
+    the item's shingle weight.
 
     Columns doc_id, item_id, similarity, hamming, first_word, n_words (of the best window, counting words of letters
     and digits, case folded). One row per document row and item; repeated rows each report their own. Null texts and

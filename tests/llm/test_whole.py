@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
-from sheaf.llm import minhash_dedup
+from sheaf.llm import decontaminate, minhash_dedup
 from tests.llm.conftest import prose
+from tests.llm.test_models import found_by_brute_force
 
 
 def test_unlike_texts_with_one_id_or_none_stay(spark):
@@ -13,3 +14,18 @@ def test_unlike_texts_with_one_id_or_none_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = Counter(map(tuple, minhash_dedup.without_near_documents(docs).collect()))
     assert kept == Counter({**{(None, prose(k, 60)): 1 for k in range(10)}, (7, prose(20, 60)): 1, (7, prose(21, 60)): 1, (None, None): 2})
+
+
+def test_items_cut_by_a_short_text_and_far_fingerprints(spark):
+    items = [(k, prose(6000 + k, 40 + k)) for k in range(20)]
+    docs = [(k, " ".join(items[k][1].split(" ")[: 35 + k])) for k in range(20)]
+    for k in range(400):  # most of an item inside other prose, cut at one end
+        item = items[k % 20][1].split(" ")
+        docs.append((1000 + k, f"{prose(2 * k, 60)} {' '.join(item[len(item) // 6 - k % 3 :] if k % 2 else item[: len(item) - len(item) // 6 + k % 3])} {prose(9000 + k, 60)}"))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame, bench).collect()}
+    want = {(docs[row][0], i) for row, i in found_by_brute_force(docs, items)} | {(k, k) for k in range(20)}
+    assert set(got) == want and len(want) > 200 and max(r["hamming"] for r in got.values()) > 23
+    assert all(got[k, k]["n_words"] == 35 + k and got[k, k]["first_word"] == 0 for k in range(20))
+    kept = {r["doc_id"] for r in decontaminate.without_contaminated(frame, bench).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
