@@ -16,7 +16,8 @@ from sheaf.sources.scratch import written
 
 #: Most vectors that the rotation is learnt from; every vector is indexed.
 SAMPLE = 20_000
-TABLES = 12
+#: Tables of keys of up to 8 bits, and more for each further bit, as wider keys agree less often.
+TABLES, MORE_TABLES = 12, 3
 #: Bits of a table's key: about one vector of a label per value, between these.
 KEY_BITS = (6, 16)
 #: Vectors of one bucket compared in one task; a larger bucket is cut into blocks, all pairs of which are compared.
@@ -40,9 +41,9 @@ def learn_rotation(vectors: np.ndarray, key_bits: int, rounds: int = 40, seed: i
     for _ in range(rounds):
         left, _, right = np.linalg.svd(np.where(projected @ turn > 0, 1.0, -1.0).T @ projected)
         turn = (left @ right).T
-    n = projected.shape[1]
-    order = np.concatenate([rng.permutation(n) for _ in range(math.ceil(TABLES * key_bits / n))])
-    return Rotation(mean, axes @ turn, order[: TABLES * key_bits].reshape(TABLES, key_bits))
+    n, tables = projected.shape[1], TABLES + MORE_TABLES * max(0, key_bits - 8)
+    order = np.concatenate([rng.permutation(n) for _ in range(math.ceil(tables * key_bits / n))])
+    return Rotation(mean, axes @ turn, order[: tables * key_bits].reshape(tables, key_bits))
 
 
 def table_keys(vectors: np.ndarray, rotation: Rotation) -> np.ndarray:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
-from sheaf.llm import decontaminate, minhash_dedup
+import numpy as np
+
+from sheaf.llm import decontaminate, embedding_dedup, minhash_dedup
 from tests.llm.conftest import prose
 from tests.llm.test_models import found_by_brute_force
 
@@ -29,3 +32,16 @@ def test_items_cut_by_a_short_text_and_far_fingerprints(spark):
     assert all(got[k, k]["n_words"] == 35 + k and got[k, k]["first_word"] == 0 for k in range(20))
     kept = {r["doc_id"] for r in decontaminate.without_contaminated(frame, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_recall_of_tables_at_wide_keys():
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    z = rng.standard_normal(v.shape)
+    z -= (z * v).sum(axis=1, keepdims=True) * v
+    near = 0.93 * v + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for bits in (8, 13, 14, 16):
+        rotation = embedding_dedup.learn_rotation(v, bits, rounds=10)
+        found = (embedding_dedup.table_keys(v, rotation) == embedding_dedup.table_keys(near, rotation)).any(axis=1).mean()
+        assert found > (0.9 if bits == 16 else 0.95)
