@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import words as W
+from sheaf.sources.scratch import written
 
 SHINGLE = 5
 BITS = 128
@@ -29,19 +30,26 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(both.view(np.uint8).reshape(len(hashes), 16), axis=1).astype(np.int32) * 2 - 1
 
 
-def build_index(items: list[tuple[int, str | None]]) -> dict:
+def _item_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of an item and its unlike shingles."""
+    found, _ = W.hashed_words([text], W.ALNUM, lower=True)
+    return found, np.unique(W.shingles(found, min(SHINGLE, len(found)))) if len(found) else found
+
+
+def build_index(items: list[tuple[int, str | None]], held: dict[int, int] | None = None, total: int = 0) -> dict:
     """Items with their fingerprints and weighted shingles, and for each shingle width the items that hold a shingle.
 
-    A shingle weighs the more, the fewer items hold it. Items without words can't be found.
+    A shingle weighs the more, the fewer items hold it: of these items, or as `held` says, of `total` items with words.
+    Items without words can't be found.
     """
-    kept, held = [], Counter()
+    kept, counts = [], Counter()
     for item_id, text in items:
-        found, _ = W.hashed_words([text], W.ALNUM, lower=True)
+        found, own = _item_shingles(text)
         if len(found):
-            own = np.unique(W.shingles(found, min(SHINGLE, len(found))))
-            held.update(own.tolist())
+            counts.update(own.tolist())
             kept.append((item_id, found, own))
-    weights = [np.array([math.log(1 + len(kept) / held[s]) for s in own.tolist()]) for _, _, own in kept]
+    held, total = (counts, len(kept)) if held is None else (held, total)
+    weights = [np.array([math.log(1 + total / held[s]) for s in own.tolist()]) for _, _, own in kept]
     gates = {}
     for k in sorted({min(SHINGLE, len(found)) for _, found, _ in kept}):
         of = [i for i, (_, found, _) in enumerate(kept) if min(SHINGLE, len(found)) == k]
@@ -120,16 +128,42 @@ def _rank(found: tuple[float, int, int, int] | None) -> tuple[float, int, int]:
 
 
 def _passes(benchmark: DataFrame) -> Iterator[dict]:
-    """One index per block of items, each block of bounded size."""
+    """One index per block of items, each block of bounded size; shingles weigh alike in all of them."""
     spark = benchmark.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block")
+    if n > 1:
+        known = benchmark.where("item_id IS NOT NULL").select(block, "text")
+        placed = written(known.mapInArrow(_placed_shingles, "block long, s long, is_first boolean"), "shingles")
+        total = placed.where("is_first").count()
+        held = written(placed.groupBy("s").agg(F.count("s").alias("n")), "held")
     for k in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
-        index = build_index(sorted(((r[0], r[1]) for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")))
+        rows = benchmark.where(block == k).select("item_id", "text").collect()
+        items = sorted(((r[0], r[1]) for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
+        if n > 1:
+            own = held.join(placed.where(F.col("block") == k).select("s").distinct(), "s", "left_semi").select("s", "n").toArrow()
+            index = build_index(items, dict(zip(own.column("s").to_numpy().view(np.uint64).tolist(), own.column("n").to_pylist(), strict=True)), total)
+        else:
+            index = build_index(items)
         yield spark.sparkContext.broadcast(index)
 
 
+def _placed_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of, found = [], []
+        for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            _, own = _item_shingles(text)
+            if len(own):
+                of.append(block)
+                found.append(own)
+        sizes = [len(x) for x in found]
+        first = np.zeros(sum(sizes), dtype=bool)
+        first[np.cumsum([0, *sizes[:-1]])[: len(sizes)]] = True
+        values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(of, np.int64), sizes)), pa.array(values), pa.array(first)], names=["block", "s", "is_first"])
+
+
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
     return batch.column(batch.schema.names.index("text")).to_pylist()
 

@@ -45,3 +45,16 @@ def test_recall_of_tables_at_wide_keys():
         rotation = embedding_dedup.learn_rotation(v, bits, rounds=10)
         found = (embedding_dedup.table_keys(v, rotation) == embedding_dedup.table_keys(near, rotation)).any(axis=1).mean()
         assert found > (0.9 if bits == 16 else 0.95)
+
+
+def test_weights_are_those_of_the_whole_benchmark(spark, monkeypatch):
+    shared = prose(31, 12)
+    items = [(k, f"{prose(7000 + k, 20)} {shared if k % 2 else prose(8000 + k, 12)}") for k in range(24)] + [(99, None), (None, prose(1, 30)), (98, "tiny one"), (97, "")]
+    docs = [(k, f"{prose(k, 50)} {' '.join((items[k % 24][1]).split(' ')[: 32 - k % 9])} {prose(500 + k, 50)}") for k in range(96)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(docs[row][0], i) for row, i in found_by_brute_force(docs, items)}
+    whole = sorted(map(tuple, decontaminate.contaminated(frame, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    got = sorted(map(tuple, decontaminate.contaminated(frame, bench).collect()))
+    assert {r[:2] for r in got} == want and got == whole and len(want) > 30
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
