@@ -26,19 +26,28 @@ def components(links: DataFrame) -> DataFrame:
     return _by_rounds(links)
 
 
+def least_labels(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """For each of the different `nodes` the place of the smallest one reachable by the links of places a, b."""
+    order = np.argsort(nodes)
+    rank = np.empty(len(nodes), dtype=np.int64)
+    rank[order] = np.arange(len(nodes))
+    a, b = rank[a], rank[b]
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        while (label[label] != label).any():
+            label = label[label]
+    return order[label[rank]]
+
+
 def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if got:
         a, b = (np.concatenate(x) for x in zip(*got, strict=True))
         nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = ends[: len(a)], ends[len(a) :]
-        label, before = np.arange(len(nodes)), None
-        while before is None or (label != before).any():
-            before = label.copy()
-            np.minimum.at(label, a, before[b])
-            np.minimum.at(label, b, before[a])
-            while (label[label] != label).any():
-                label = label[label]
+        label = least_labels(ends[: len(a)], ends[len(a) :], nodes)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], names=["node", "component"])
 
 

@@ -132,13 +132,14 @@ def vectors():
                 at += 1
     odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0] * 5, []]
     rows += [(10_000 + k, v, 1) for k, v in enumerate(odd)] + [(10_100, rows[0][1], None), (10_101, rows[0][1], None), (0, rows[0][1], 0), (10_102, [0.0] * 16, 1)]
+    rows += [(11_000, [1.0, 2.0], 1), (11_001, [1.0, 2.0], 1), (11_002, [2.0, 4.1], 1), (11_003, [-1.0, 2.0], 1), (11_004, [1.0, 2.0], 2), (11_005, [3.0], 2)]
     return rows
 
 
 def brute_links(rows):
-    ok = [k for k, (_, v, label) in enumerate(rows) if label is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    ok = [k for k, (_, v, label) in enumerate(rows) if label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     unit = {k: np.float32(rows[k][1]).astype(float) / np.linalg.norm(np.float32(rows[k][1]).astype(float)) for k in ok}
-    return [(i, j) for i in ok for j in ok if j < i and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93]
+    return [(i, j) for i in ok for j in ok if j < i and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and unit[i] @ unit[j] >= 0.93]
 
 
 @pytest.mark.parametrize("block", [embedding_dedup.BLOCK, 3])
@@ -163,3 +164,25 @@ def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
     blank = spark.createDataFrame([(1, None, None), (None, None, 1), (2, [0.0], 1)], VECTORS)
     assert sorted(map(repr, map(tuple, embedding_dedup.near_vectors(blank).collect()))) == sorted(map(repr, [(1, 0, 1, True), (None, 0, None, True), (2, 0, 2, True)]))
+
+
+def test_labels_of_any_type_and_extra_columns(spark):
+    rows = [(1, [1.0, 0.0], "a", 9), (2, [1.0, 0.1], "a", 8), (3, [1.0, 0.0], "b", 7), (4, [0.0, 1.0], "a", 6)]
+    want = {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)}
+    for kind, as_label in (("string", str), ("long", lambda x: 1 << 40 | ord(x)), ("double", lambda x: float(ord(x)))):
+        df = spark.createDataFrame([(i, v, as_label(x), n) for i, v, x, n in rows], f"vec_id long, embedding array<double>, label {kind}, n_links long")
+        assert set(map(tuple, embedding_dedup.near_vectors(df).collect())) == want
+
+
+@pytest.mark.parametrize("per_label", [2_000, 20_000, 100_000])
+def test_recall_of_keys_at_any_size(per_label):
+    """Partners at cosine 0.93 to 0.97 that share a key of some table and lie within the radius, for production keys."""
+    rng = np.random.default_rng(per_label)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    model = embedding_dedup.learn_rotation(unit(rng.standard_normal((4000, 64))), int(np.ceil(np.log2(per_label / embedding_dedup.BUCKET))), 0.93)
+    a, u = unit(rng.standard_normal((5000, 64))), rng.standard_normal((5000, 64))
+    c = rng.uniform(0.93, 0.97, (5000, 1))
+    b = c * a + np.sqrt(1 - c**2) * unit(u - (u * a).sum(axis=1, keepdims=True) * a)
+    x, y = (embedding_dedup._bits(v, model) for v in (a, b))
+    met = (embedding_dedup.table_keys(x, model) == embedding_dedup.table_keys(y, model)).any(axis=1) & ((x != y).sum(axis=1) <= model["radius"])
+    assert met.mean() >= 0.97
