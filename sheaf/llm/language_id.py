@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,9 @@ _BYTES = np.where(((_LOWER >= 97) & (_LOWER <= 122)) | (_CODES >= 128), _LOWER,
 _LENGTH_STEPS = 20
 
 
-class Model(NamedTuple):
-    languages: list[str]
-    owner: np.ndarray  # of each centroid
-    centroids: np.ndarray
-    idf: np.ndarray
-    least: np.ndarray  # similarity below which a text is rejected, by length step
+#: A fitted model, of plain lists and arrays, so that workers without this package can hold it: languages, owner (of
+#: each centroid), centroids, idf, and least (similarity below which a text is rejected, by length step).
+Model = dict
 
 
 def term_counts(texts: list[str | None]) -> np.ndarray:
@@ -92,7 +88,8 @@ def fit(labelled: DataFrame, order: Column, sample: int = SAMPLE) -> Model | Non
 
     Document frequencies come from all labelled texts. Centroids and rejection thresholds come from about `sample`
     texts, shared evenly among the languages, with the smallest values of `order`, which must spread evenly over all
-    long integers; the driver gets their counts as bytes.
+    long integers; rows with the same value, as repeated rows have, count once among them. The driver gets their counts
+    as bytes. Empty texts and texts without letters count as texts without n-grams.
     """
     spark = labelled.sparkSession
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", order.alias("_order"))
@@ -108,7 +105,7 @@ def fit(labelled: DataFrame, order: Column, sample: int = SAMPLE) -> Model | Non
     part = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         part = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(part)
-    chosen = rows.where(F.col("_order").cast("double") + 2.0**63 <= part * 2.0**64)
+    chosen = rows.where(F.col("_order").cast("double") + 2.0**63 <= part * 2.0**64).dropDuplicates(["_order"])
     got = chosen.select("text", "lang").mapInArrow(_sample_counts, "lang string, counts binary").toArrow()
     if not got.num_rows:
         return None
@@ -129,7 +126,7 @@ def _model(counts: np.ndarray, langs: np.ndarray, idf: np.ndarray) -> Model:
     for s in range(_LENGTH_STEPS):
         near = best[np.abs(step - s) <= 1]
         least[s] = REJECT_SHARE * np.quantile(near, 0.01) if len(near) >= 20 else (least[s - 1] if s else 0)
-    return Model(languages, owner, centroids.astype(np.float32), idf, least)
+    return {"languages": languages, "owner": owner, "centroids": centroids.astype(np.float32), "idf": idf, "least": least}
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +155,11 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
     for a in range(0, len(known), 500):
         part = known[a : a + 500]
         counts = term_counts([texts[i] for i in part])
-        similarity = _vectors(counts, model.idf) @ model.centroids.T
+        similarity = _vectors(counts, model["idf"]) @ model["centroids"].T
         nearest = similarity.argmax(axis=1)
         best = similarity[np.arange(len(part)), nearest]
-        for i, c, s, far in zip(part, nearest, best, best < model.least[_length_step(counts)], strict=True):
-            langs[i], scores[i], rejected[i] = model.languages[model.owner[c]], min(1.0, max(0.0, float(s))), bool(far)
+        for i, c, s, far in zip(part, nearest, best, best < model["least"][_length_step(counts)], strict=True):
+            langs[i], scores[i], rejected[i] = model["languages"][model["owner"][c]], min(1.0, max(0.0, float(s))), bool(far)
     return langs, scores, rejected
 
 
@@ -189,7 +186,10 @@ def _labeller(shared: object) -> Callable:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of `docs`, with its columns, that are not rejected."""
+    """The rows of `docs`, with its columns, that are not rejected.
+
+    Null texts, texts without a letter and, if there is no model, all texts are rejected. Repeated rows fare alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,8 +48,8 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _language_model(docs: DataFrame) -> language_id.Model | None:
-    return language_id.fit(docs.where(_remainder(3) != 1), F.xxhash64(F.lit("language"), "doc_id"))
+def _language_model(docs: DataFrame) -> dict | None:
+    return language_id.fit(docs.where(_remainder(3) != 1), F.xxhash64(F.lit("language"), "doc_id", "text"))
 
 
 @_query
