@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.llm import mixing, sharding
 
@@ -98,3 +101,43 @@ def test_shuffle_is_uniform(spark):
         for r in sharding.assign_shards(spark.range(64).repartition(4), 4, seed).collect():
             hits[r["id"] // 16, r["shard"]] += 1
     assert all(abs(n - 48) < 25 for n in hits.values()) and len(hits) == 16
+
+
+def test_draws_follow_the_hypergeometric_law():
+    for good, bad, n in ((5, 7, 6), (40, 200, 100), (3, 0, 2), (0, 4, 3), (10, 10, 0)):
+        rng = np.random.default_rng(good)
+        got = Counter(sharding._draw(rng, good, bad, n) for _ in range(20_000))
+        for k in range(0, n + 1):
+            want = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+            assert abs(got[k] / 20_000 - want) < 0.015
+    rng, good, bad, n = np.random.default_rng(1), 6 * 10**11, 94 * 10**11, 10**9  # far beyond what a table of counts could hold
+    draws = np.array([sharding._draw(rng, good, bad, n) for _ in range(300)])
+    mean, deviation = n * good / (good + bad), math.sqrt(n * 0.06 * 0.94)
+    assert abs(draws.mean() - mean) < 5 * deviation / math.sqrt(300) and 0.8 < draws.std() / deviation < 1.2
+
+
+def test_matrix_has_exact_margins():
+    rows = [0, 1, 17, 10**10 + 3, 250]
+    matrix = sharding.communication_matrix(rows, 16, 5)
+    assert [sum(line) for line in matrix] == rows
+    columns = [sum(c) for c in zip(*matrix, strict=True)]
+    assert max(columns) - min(columns) <= 1 and sum(columns) == sum(rows)
+
+
+def test_shards_against_a_plain_shuffle(spark):
+    """The same steps by plain loops: every partition permuted and dealt by its line, then every shard permuted."""
+    rows = spark.range(0, 200, 1, 3)
+    numbered = rows.select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("r"), *(F.xxhash64(F.lit(20), F.lit(s), F.monotonically_increasing_id()).alias(s) for s in ("local", "shard"))).collect()
+    parts = sorted({r["p"] for r in numbered})
+    matrix = sharding.communication_matrix([sum(r["p"] == p for r in numbered) for p in parts], 16, 20)
+    shard_of = {}
+    for p, line in zip(parts, matrix, strict=True):
+        mine = iter(sorted((r for r in numbered if r["p"] == p), key=lambda r: (r["local"], r["r"])))
+        for j, n in enumerate(line):
+            for _ in range(n):
+                shard_of[next(mine)["id"]] = j
+    want = set()
+    for j in range(16):
+        inside = sorted((r for r in numbered if shard_of[r["id"]] == j), key=lambda r: (r["shard"], r["r"]))
+        want |= {(r["id"], j, slot) for slot, r in enumerate(inside)}
+    assert {(r["id"], r["shard"], r["slot"]) for r in sharding.assign_shards(rows).collect()} == want
