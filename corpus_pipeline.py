@@ -21,7 +21,7 @@ def _settled(spark: SparkSession) -> SparkSession:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are rejected as far from every language go; the model learns from the labelled documents."""
     _settled(spark)
-    return language_id.accepted(docs, language_id.fit(docs, F.xxhash64(F.lit("language"), "doc_id")))
+    return language_id.accepted(docs, language_id.fit(docs, F.xxhash64(F.lit("language"), "doc_id", "text")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
