@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.scans import let, prefixes, xor
 from sheaf.sources.scratch import written
 
 #: Two lines are near if one insertion, deletion or substitution of a character turns one into the other.
 EDITS = 1
-#: A line below this length has equal copies only: an edit is too large a part of it.
-MIN_CHARS = 12
 #: Characters per block of a line; variants hash the block they change, and the rest of the line once per block.
 BLOCK = 16
 #: A table of lines up to this size is sent to all workers; a larger one is joined by a shuffle.
@@ -47,18 +46,63 @@ def _near_keys(line: Column, n: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def _blocks(line: Column, n: Column) -> Column:
+    """The blocks of a line as array<struct<j, more, own, a1, a2, z1, z2>>: own characters (one of the next block too),
+    and hashes of all that stands before (a) and behind (z) the block.
+
+    Near lines are equal before the block that holds the edit and behind it. more is 0 in a line that loses a character
+    in this block and 1 in one that is whole there, whose later characters stand one place nearer to the front; so what
+    is behind is hashed in blocks of the line without its first character, or of the line. Running sums of block hashes
+    give all parts in one pass.
+    """
+    cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    sums = lambda blocks, seed: prefixes(F.transform(blocks, lambda b, i: F.xxhash64(F.lit(seed), i, b)), xor)
+
+    def framed(whole: Column, one: tuple[Column, Column], other: tuple[Column, Column]) -> Column:
+        def block(j: Column, more: int) -> Column:
+            behind = one if more else other
+            rest = [F.element_at(p, -1).bitwiseXOR(F.coalesce(F.get(p, j + 1), F.element_at(p, -1))) for p in behind]
+            own = F.concat(F.coalesce(F.get(whole, j), F.lit("")), F.left(F.coalesce(F.get(whole, j + 1), F.lit("")), F.lit(1)))
+            return F.struct(
+                j.alias("j"), F.lit(more).alias("more"), own.alias("own"), F.get(one[0], j).alias("a1"), F.get(one[1], j).alias("a2"), rest[0].alias("z1"), rest[1].alias("z2")
+            )
+
+        last = F.size(whole)
+        losing = F.transform(F.sequence(F.lit(0), last - 1), lambda j: block(j, 0))
+        kept = F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), lambda j: block(j, 1))
+        return F.concat(losing, kept)
+
+    def summed(whole: Column) -> Column:
+        shifted = cut(F.call_function("substring", line, F.lit(2)))
+        four = F.struct(sums(whole, 1).alias("w1"), sums(whole, 2).alias("w2"), let(shifted, lambda b: sums(b, 1)).alias("s1"), let(shifted, lambda b: sums(b, 2)).alias("s2"))
+        return let(four, lambda x: framed(whole, (x["w1"], x["w2"]), (x["s1"], x["s2"])))
+
+    return let(cut(line), summed)
+
+
+def _one_edit_apart(a: Column, b: Column) -> Column:
+    """Whether the edit distance is EDITS: behind the first block that differs all is equal, and in it lies the edit."""
+    pieces = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    same = F.zip_with(pieces(a), pieces(b), lambda x, y: x.eqNullSafe(y))
+
+    def tested(start: Column) -> Column:
+        shorter = F.least(F.length(a), F.length(b))
+        rest = shorter - start - BLOCK  # behind the block in either line
+        tail = lambda text: F.right(text, F.greatest(rest, F.lit(0)))
+        head = lambda text: F.call_function("substring", text, start + 1, F.length(text) - start - F.greatest(rest, F.lit(0)))
+        return (F.abs(F.length(a) - F.length(b)) <= EDITS) & (tail(a) == tail(b)) & (F.levenshtein(head(a), head(b), EDITS) >= 0)
+
+    return let((F.array_position(same, False).cast("int") - 1) * BLOCK, tested)
+
+
 def _frames(lines: DataFrame) -> DataFrame:
-    """Each line (columns id, line) under each block: id, line, j, more (0: cut a character, 1: whole), frame.
+    """Each line (columns id, line, n; not empty) under each block: id, n (its length), frame and the block's columns.
 
-    Near lines are equal before the block that holds the edit and behind it, so they share that block's frame: the
-    hash of both parts and of the longer line's length, which is the line's own or one more.
+    Near lines share the frame of the block that holds the edit: the hash of what stands before and behind it and of
+    the longer line's length, which is the line's own or one more.
     """
-    n, more = F.length("line"), F.col("more")
-    pairs = lines.select("id", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("more"))
-    blocks = pairs.select("id", "line", "more", F.explode(F.sequence(F.lit(0), F.floor((n + more - 1) / BLOCK).cast("int"))).alias("j"))
-    start = F.col("j") * BLOCK
-    behind = F.call_function("substring", F.col("line"), start + BLOCK + 2 - more)
-    return blocks.select("id", "line", "j", "more", F.xxhash64(n + more, "j", F.left("line", start), behind).alias("frame"))
+    blocks = lines.select("id", "n", F.explode(_blocks(F.col("line"), F.col("n"))).alias("b")).select("id", "n", "b.*")
+    return blocks.withColumn("frame", F.xxhash64(F.col("n") + F.col("more"), "j", "a1", "z1"))
 
 
 def _variants(framed: DataFrame) -> DataFrame:
@@ -68,39 +112,34 @@ def _variants(framed: DataFrame) -> DataFrame:
     before the block, of the block's own characters and of what stands behind it, so a variant costs a block's length
     and not the line's.
     """
-    n, start = F.length("line"), F.col("j") * BLOCK
-    last = F.when(F.col("more") == 1, 0).otherwise(F.least(F.lit(BLOCK), n - start))
-    spread = framed.select(
-        "id", "j",
-        F.xxhash64(F.left("line", start)).alias("before"),
-        F.call_function("substring", F.col("line"), start + 1, F.lit(BLOCK + 1)).alias("own"),
-        F.xxhash64(F.call_function("substring", F.col("line"), start + BLOCK + 2 - F.col("more"))).alias("behind"),
-        F.explode(F.sequence(1 - F.col("more"), last.cast("int"))).alias("i"),
-    )
     own, whole = F.col("own"), F.col("i") == 0
+    last = F.when(F.col("more") == 1, 0).otherwise(F.least(F.lit(BLOCK), F.col("n") - F.col("j") * BLOCK))
+    spread = framed.withColumn("i", F.explode(F.sequence(1 - F.col("more"), last.cast("int"))))
     cut = F.concat(F.left(own, F.col("i") - 1), F.call_function("substring", own, F.col("i") + 1))
-    k1, k2 = _hash("j", "before", F.when(whole, F.left(own, F.lit(BLOCK))).otherwise(cut), "behind")
+    rest = F.when(whole, F.left(own, F.lit(BLOCK))).otherwise(cut)
+    k1, k2 = F.xxhash64(F.lit(1), "j", "a1", rest, "z1"), F.xxhash64(F.lit(2), "j", "a2", rest, "z2")
     return spread.select(k1.alias("k1"), k2.alias("k2"), F.when(~whole, F.col("j") * BLOCK + F.col("i")).alias("place"), "id")
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """One row per line that is not blank: doc_id, line_no, kept, first_doc_id, first_line_no, edits.
 
     Lines are compared as `normalised`. A line's first is the earliest line, by doc_id (null first) and line_no, that
     is equal (edits 0) or one edit away (edits 1), if it comes before the line; kept lines have none. Of two equal
     firsts the same holds, so what is dropped is always within one edit of an earlier line, kept or not. Lines under
-    12 characters meet equal ones only. Repeated rows give repeated lines at the same place, all alike. Null texts and
+    `min_chars` meet equal ones only; by default all lines meet. Repeated rows give repeated lines at the same place, all alike. Null texts and
     blank lines give no rows; other columns are ignored.
 
     Equal lines are one first. Of the rest only lines that share a half with another can be near one, and of these
-    only blocks that share their frame hold the edit; there lines emit their deletion neighbourhood. In a group of equal variants every line meets the group's earliest, never the other
-    members, so hot groups cost a row each; pairs found so are verified by their edit distance.
+    only blocks that share their frame hold the edit; there lines emit their deletion neighbourhood. In a group of equal
+    variants every line meets the group's earliest, never the other members, so hot groups cost a row each; pairs found
+    so are verified by their edit distance.
     """
     line = normalised(F.col("line"))
     place = F.struct("doc_id", "line_no").alias("place")
     every = lines_of(docs).select("doc_id", "line_no", line.alias("line")).where("line <> ''")
     h1, h2 = _hash("line")
-    half = F.when(F.length("line") >= MIN_CHARS, _near_keys(F.col("line"), F.length("line")))
+    half = F.when(F.length("line") >= min_chars, _near_keys(F.col("line"), F.length("line")))
     thin = written(every.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), half.alias("halves")), "lines")
     grouped = thin.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.any_value("halves").alias("halves"))
     distinct = written(grouped, "distinct")
@@ -120,18 +159,18 @@ def near_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _sent_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() * WANTED_ROW_BYTES <= BROADCAST_BYTES else df
-
-
 def _firsts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """For lines that have an earlier line one edit away: h1, h2 and `first`, the place of the earliest."""
-    at = _sent_if_small(wanted.select(F.col("place.doc_id").alias("_d"), F.col("place.line_no").alias("_n"), "h1", "h2"))
+    at = wanted.select(F.col("place.doc_id").alias("_d"), F.col("place.line_no").alias("_n"), "h1", "h2")
+    if at.count() * WANTED_ROW_BYTES <= BROADCAST_BYTES:
+        at = F.broadcast(at)
+    else:  # documents without a wanted line are never split and shuffled
+        docs = docs.join(at.select(F.col("_d").alias("_wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
     found = lines_of(docs).join(at, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_n")))
     texts = found.select("doc_id", "line_no", "h1", "h2", normalised(F.col("line")).alias("line"))
     h1, h2 = _hash("line")
     texts = texts.where((F.col("h1") == h1) & (F.col("h2") == h2)).dropDuplicates(["h1", "h2"])
-    lines = written(texts.select(F.struct("h1", "h2", F.struct("doc_id", "line_no").alias("place")).alias("id"), "line"), "texts")
+    lines = written(texts.select(F.struct("h1", "h2", F.struct("doc_id", "line_no").alias("place")).alias("id"), "line", F.length("line").alias("n")), "texts")
     frames = _frames(lines)
     shared = written(frames.groupBy("frame").agg(F.count("id").alias("n")).where("n > 1").select("frame"), "frames")
     variants = written(_variants(frames.join(shared, "frame", "left_semi")), "variants")
@@ -149,16 +188,16 @@ def _firsts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     pairs = written(pairs, "line-pairs")
     left = pairs.join(lines, "id")
     right = lines.select(F.col("id.place").alias("other"), F.col("line").alias("other_line"))
-    verified = left.join(right, "other").where(F.levenshtein("line", "other_line", EDITS) >= 0)
+    verified = left.join(right, "other").where(_one_edit_apart(F.col("line"), F.col("other_line")))
     return verified.groupBy("id").agg(F.min("other").alias("first")).select("id.h1", "id.h2", "first")
 
 
-def without_near_lines(docs: DataFrame) -> DataFrame:
+def without_near_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """The rows of `docs` with each text cut down to its kept and its blank lines, all other columns unchanged.
 
     Repeated rows of the same doc_id are cut alike. Texts are put together again from (position, line) pairs of one row.
     """
-    dropped = near_lines(docs).where("NOT kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("numbers"))
+    dropped = near_lines(docs, min_chars).where("NOT kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("numbers"))
     dropped = written(dropped.withColumnRenamed("doc_id", "_id"), "dropped")
     row = docs.select("doc_id", "text", F.struct("*").alias("row")).join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     numbers = F.coalesce("numbers", F.expr("cast(array() AS array<int>)"))

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import duckdb
+import pytest
 
 from sheaf.llm import line_dedup, queries
 
@@ -17,14 +19,14 @@ def distance_at_most_one(a: str, b: str) -> bool:
     return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :]
 
 
-def brute(lines):
+def brute(lines, least=0):
     """lines: (doc_id, line_no, normalised), in any order."""
     first = {}
     for d, n, s in sorted(lines):
         first.setdefault(s, (d, n))
     out = {}
     for d, n, s in lines:
-        near = [p for t, p in first.items() if len(t) >= 12 and len(s) >= 12 and t != s and p < first[s] and distance_at_most_one(s, t)]
+        near = [p for t, p in first.items() if min(len(t), len(s)) >= least and t != s and p < first[s] and distance_at_most_one(s, t)]
         out[d, n] = (min(near), 1) if near else (first[s], 0) if first[s] < (d, n) else (None, None)
     return out
 
@@ -32,7 +34,7 @@ def brute(lines):
 def made(spark, seed=3, docs=60):
     rng, base = random.Random(seed), []
     for _ in range(40):
-        base.append("".join(rng.choice("ab c") for _ in range(rng.choice((8, 11, 12, 13, 15, 16, 17, 31, 32, 33, 48)))))
+        base.append("".join(rng.choice("ab c") for _ in range(rng.choice((1, 2, 3, 8, 11, 12, 13, 15, 16, 17, 31, 32, 33, 48)))))
     rows = []
     for d in range(docs):
         lines = []
@@ -46,11 +48,12 @@ def made(spark, seed=3, docs=60):
     return spark.createDataFrame(rows, "doc_id long, text string"), rows
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("least", [0, 12])
+def test_against_all_pairs(spark, least):
     df, rows = made(spark)
     lines = [(d, n, re.sub(" +", " ", x).strip(" ")) for d, t in rows for n, x in enumerate(t.split("\n"))]
-    want = brute([x for x in lines if x[2]])
-    got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"], r["edits"], r["kept"]) for r in line_dedup.near_lines(df).collect()}
+    want = brute([x for x in lines if x[2]], least)
+    got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"], r["edits"], r["kept"]) for r in line_dedup.near_lines(df, least).collect()}
     assert set(got) == set(want)
     for key, (first, edits) in want.items():
         assert got[key] == ((*first, edits, False) if first else (None, None, None, True)), key
@@ -89,6 +92,35 @@ def test_kept_lines_stay_in_order(spark):
     assert line_dedup.without_near_lines(df).where("doc_id = 2").first()["text"] == "first here now\n\nlast one here"
 
 
+def test_long_near_lines(spark):
+    """Two pairs of lines of a million characters, one edit apart, and one pair two edits apart."""
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(97, 123)] + ["é", "\U0001f600"]
+    whole = "".join(rng.choices(letters, k=1_000_000))
+    other = "".join(rng.choices(letters, k=1_000_000))
+    rows = [(1, whole), (2, whole[:777_777] + "#" + whole[777_778:]), (3, other), (4, other[:123_456] + other[123_457:]), (5, other[:5] + "#" + other[6:900_000] + "#" + other[900_001:])]
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["first_doc_id"], r["edits"]) for r in line_dedup.near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (None, None), 2: (1, 1), 3: (None, None), 4: (3, 1), 5: (None, None)} and time.monotonic() - began < 60
+
+
+def test_one_edit_apart(spark):
+    rng = random.Random(2)
+    rows = []
+    for n in (1, 2, 15, 16, 17, 18, 31, 32, 33, 49):
+        for _ in range(60):
+            a = [rng.choice("ab") for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.choice((1, 1, 2))):
+                k = rng.randrange(len(b) + 1)
+                b[k : k + rng.choice((0, 1))] = rng.choice(("", "a", "c"))
+            if a != b and b:
+                rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", line_dedup._one_edit_apart(df["a"], df["b"]).alias("near")).collect():
+        assert r["near"] == distance_at_most_one(r["a"], r["b"]), r
+
+
 def test_no_python_in_the_plan(spark, awkward):
     plan = line_dedup.near_lines(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
