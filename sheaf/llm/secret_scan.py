@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.llm.scans import add, let, prefixes
 from sheaf.sources.scratch import written
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,6 +23,8 @@ ENCODINGS = (
     _DIGITS,
     _DIGITS + "abcdef",
     _DIGITS + "ABCDEF",
+    _LOWER,
+    _UPPER,
     _UPPER + "234567",
     _DIGITS + _LOWER,
     _DIGITS + _UPPER,
@@ -30,15 +33,12 @@ ENCODINGS = (
     _UPPER + _LOWER + _DIGITS + "_-",
 )
 _WIDEST = _UPPER + _LOWER + _DIGITS + "+/_-"
-#: Share of neighbours in running text that differ in kind (digit, lower, upper, other).
-TEXT_CHANGES = 0.05
-#: A token stays a candidate while the summed squares of its test scores are below the 0.999 quantile of chi-squared 3.
-BATTERY_LIMIT = 16.27
-FALSE_DISCOVERIES = 0.001
-#: Lengths from which a new stratum of the false-discovery control begins.
+#: Of the tokens that are ruled out as not random, the share of random ones that is allowed for.
+FALSE_DISCOVERIES = 0.05
+#: Lengths from which a new stratum of the false-discovery control begins, within each encoding.
 STRATA = (20, 24, 32, 48, 96)
-#: Steps per unit of -ln p, and the largest value told apart.
-STEPS, MOST = 4, 60
+#: Steps per unit of the battery's statistic, and the largest value told apart.
+STEPS, MOST = 4, 120
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -49,16 +49,15 @@ def _located(text: Column, pattern: str, inner: Column | None = None) -> Column:
     The pieces between matches and the matches alternate, so running sums of their lengths are the places.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("a"), found.alias("b"), (found if inner is None else inner).alias("c"))
-    parts = F.transform(zipped, lambda x: F.struct(F.length(x["a"]).alias("gap"), x["b"].alias("text"), x["c"].alias("inner")))
-    empty = F.expr("struct(0L AS at, cast(array() AS array<struct<start:bigint,end:bigint,text:string,inner:string>>) AS out)")
+    zipped = F.arrays_zip(pieces.alias("a"), found.alias("b"), (found if inner is None else inner).alias("c"))
+    matches = F.filter(zipped, lambda x: x["b"].isNotNull())  # one piece more than matches
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"), x["inner"].alias("inner")))).alias("out"))
+    def placed(x: Column) -> Column:
+        ends = prefixes(F.transform(x, lambda m: (F.length(m["a"]) + F.length(m["b"])).cast("long")), add)
+        place = lambda m, end: F.struct((end - F.length(m["b"])).alias("start"), end.alias("end"), m["b"].alias("text"), m["c"].alias("inner"))
+        return F.zip_with(x, F.slice(ends, F.lit(2), F.size(x)), place)
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, empty, step, lambda acc: acc["out"]))
+    return F.when(text.rlike(pattern), let(matches, placed))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -66,12 +65,6 @@ def _spans(found: Column, kind: str) -> Column:
     return F.coalesce(of, F.expr(f"cast(array() AS {_SPANS})"))
 
 
-def _changes(token: Column) -> Column:
-    """How often neighbours differ in kind."""
-    kinds = F.translate(token, _WIDEST, "U" * 26 + "l" * 26 + "d" * 10 + "ssss")
-    return F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
-
-
 def _alphabet(token: Column) -> Column:
     out = F.lit(_WIDEST)
     for letters in reversed(ENCODINGS):
@@ -117,49 +110,47 @@ def _serial(token: Column, alphabet: Column) -> Column:
     return F.when(squares > 0, F.aggregate(products, F.lit(0.0), add) / squares * F.sqrt(n)).otherwise(F.lit(99.0))
 
 
-def _evidence(changes: Column, n: Column) -> Column:
-    """-ln of a bound on the chance that text of n characters changes kind so often (Chernoff)."""
-    share = changes / (n - 1)
-    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - TEXT_CHANGES))).otherwise(F.lit(0.0))
-    bound = (n - 1) * (share * F.log(share / TEXT_CHANGES) + rest)
-    return F.when(share > TEXT_CHANGES, bound).otherwise(F.lit(0.0))
+def p_value(statistic: float) -> float:
+    """How often the battery's statistic is so large for a random token: the tail of chi-squared of three degrees."""
+    return math.erfc(math.sqrt(statistic / 2)) + math.sqrt(2 * statistic / math.pi) * math.exp(-statistic / 2)
 
 
-def _stratum(n: Column) -> Column:
-    out = F.lit(0)
+def _stratum(n: Column, alphabet: Column) -> Column:
+    """A number for the encoding and the length of a token."""
+    length, encoding = F.lit(0), F.lit(len(ENCODINGS))
     for k, least in enumerate(STRATA):
-        out = F.when(n >= least, k).otherwise(out)
-    return out
+        length = F.when(n >= least, k).otherwise(length)
+    for k, letters in reversed(list(enumerate(ENCODINGS))):
+        encoding = F.when(alphabet == letters, k).otherwise(encoding)
+    return encoding * len(STRATA) + length
 
 
 def _candidates(found: Column) -> Column:
-    """Tokens of several kinds of characters with their stratum, step of evidence, and whether the battery passes them."""
-    mixed = F.filter(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("t"), _changes(m["text"]).alias("c"))), lambda m: m["c"] > 0)
-    coded = F.transform(mixed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["t"].alias("t"), m["c"].alias("c"), _alphabet(m["t"]).alias("a")))
+    """Tokens with their stratum and the step of the battery's statistic: the summed squares of its three scores."""
 
-    def judged(m: Column) -> Column:
+    def judged(m: Column, alphabet: Column) -> Column:
         square = lambda x: x * x
-        battery = square(_uniformity(m["t"], m["a"])) + square(_runs(m["t"], m["a"])) + square(_serial(m["t"], m["a"]))
-        step = F.least(F.lit(MOST * STEPS), F.floor(_evidence(m["c"], F.length(m["t"])) * STEPS)).cast("int")
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), _stratum(F.length(m["t"])).alias("stratum"), step.alias("step"), (battery < BATTERY_LIMIT).alias("random"))
+        battery = square(_uniformity(m["text"], alphabet)) + square(_runs(m["text"], alphabet)) + square(_serial(m["text"], alphabet))
+        step = F.floor(F.least(F.lit(float(MOST)), battery) * STEPS).cast("int")
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), _stratum(F.length(m["text"]), alphabet).alias("stratum"), step.alias("step"))
 
-    return F.coalesce(F.transform(coded, judged), F.expr("cast(array() AS array<struct<start:bigint,end:bigint,stratum:int,step:int,random:boolean>>)"))
+    each = F.transform(found, lambda m: let(_alphabet(m["text"]), lambda a: judged(m, a)))
+    return F.coalesce(each, F.expr("cast(array() AS array<struct<start:bigint,end:bigint,stratum:int,step:int>>)"))
 
 
 def _limits(scanned: DataFrame) -> DataFrame:
-    """For each stratum the least step at which false discoveries stay below their share (Benjamini and Hochberg).
+    """For each stratum the least step that rules a token out as not random (Benjamini and Hochberg).
 
-    All candidates count as hypotheses; those that the battery passes may be discoveries. Counts by step are enough,
-    so one row per stratum and step is all that is gathered.
+    Every token is one hypothesis, that it is random, and its p-value that of the battery. The rule holds in each
+    stratum by itself, so what is ruled out among short tokens, where the battery sees little, takes nothing from long
+    ones. Counts by step are enough, so one row per stratum and step is all that is gathered.
     """
-    counts = scanned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.step").agg(
-        F.count("c").cast("double").alias("all"), F.count_if("c.random").cast("double").alias("passed")
-    )
-    up = Window.partitionBy("stratum").orderBy(F.desc("step"))
-    whole = Window.partitionBy("stratum")
-    ranked = counts.select("stratum", "step", F.sum("passed").over(up).alias("found"), F.sum("all").over(whole).alias("tests"))
-    held = ranked.where(F.col("tests") * F.exp(-F.col("step") / STEPS) <= FALSE_DISCOVERIES * F.col("found"))
-    return held.groupBy("stratum").agg(F.min("step").alias("least"))
+    counts = scanned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.step").agg(F.count("c").cast("double").alias("n"))
+    up, whole = Window.partitionBy("stratum").orderBy(F.desc("step")), Window.partitionBy("stratum")
+    ranked = counts.select("stratum", "step", F.sum("n").over(up).alias("out"), F.sum("n").over(whole).alias("tests"))
+    chances = F.array(*(F.lit(p_value(k / STEPS)) for k in range(MOST * STEPS + 1)))
+    ruled_out = ranked.where(F.col("tests") * F.get(chances, F.col("step")) <= FALSE_DISCOVERIES * F.col("out"))
+    return ruled_out.groupBy("stratum").agg(F.min("step").alias("least"))
 
 
 def _joined(spans: Column) -> Column:
@@ -172,8 +163,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     base_spans holds what the three patterns find, leftmost and not overlapping within a kind, in code points, ends
     exclusive; spans holds these and the added ones, as kind:start:end by start and then kind, comma-joined. Added are
-    tokens of 20 or more letters, digits and +/_- that pass the battery and the false-discovery control of their
-    length, and overlap no base span. A null text is empty; whole texts of any length count; repeated rows each get
+    tokens of 20 or more letters, digits and +/_- that the battery doesn't rule out as not random, under the
+    false-discovery control of their encoding and length, and that overlap no base span. In short tokens of one kind of
+    letters the battery sees little: a long word whose letters are spread evenly may be added. A null text is empty; whole texts of any length count; repeated rows each get
     their row; other columns are ignored. All of it is built-in functions; texts are read once.
     """
     text = F.coalesce("text", F.lit(""))
@@ -190,7 +182,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.concat("assign", "access", "hex")
     judged = scanned.select("*", base.alias("base_spans"), limits.scalar().alias("limits"))
     clear = lambda c: ~F.exists("base_spans", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-    real = F.filter("candidates", lambda c: c["random"] & (c["step"] >= F.coalesce(F.try_element_at("limits", c["stratum"]), F.lit(math.inf))) & clear(c))
+    real = F.filter("candidates", lambda c: (c["step"] < F.coalesce(F.try_element_at("limits", c["stratum"]), F.lit(math.inf))) & clear(c))
     added = judged.withColumn("added_spans", F.transform(real, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"))))
     size = lambda c: F.size(c).cast("long")
     return added.select(

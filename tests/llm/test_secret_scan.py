@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
+from collections import Counter
 
 from sheaf.llm import secret_scan
 
@@ -39,6 +42,71 @@ def test_random_strings_are_added_and_text_is_not(spark, nothing):
     assert secret_scan.scan(nothing).collect() == []
 
 
+def battery(token):
+    """Encoding and statistic of a token by plain loops."""
+    kind = next((k for k, letters in enumerate(secret_scan.ENCODINGS) if set(token) <= set(letters)), None)
+    letters = secret_scan._WIDEST if kind is None else secret_scan.ENCODINGS[kind]
+    n, k, free = len(token), len(letters), len(letters) - 1
+    statistic = sum(token.count(c) ** 2 for c in letters) * k / n - n
+    uniform = (math.copysign(abs(statistic / free) ** (1 / 3), statistic) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    high = [letters.index(c) >= k // 2 for c in token]
+    ones, turns = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)) - 1
+    mean = 2 * ones * (n - ones) / n
+    spread = mean * (mean - 1) / (n - 1)
+    runs = (turns - mean) / math.sqrt(spread) if spread > 0 else 99.0
+    apart = [letters.index(c) + 1 - (k + 1) / 2 for c in token]
+    squares = sum(x * x for x in apart)
+    serial = sum(a * b for a, b in zip(apart, apart[1:], strict=False)) / squares * math.sqrt(n) if squares else 99.0
+    return len(secret_scan.ENCODINGS) if kind is None else kind, uniform**2 + runs**2 + serial**2
+
+
+def added(texts):
+    """The added spans of all texts, by plain loops."""
+    found = []
+    for k, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t):
+            kind, statistic = battery(m[0])
+            length = max(i for i, least in enumerate(secret_scan.STRATA) if len(m[0]) >= least)
+            found.append((k, m.start(), m.end(), (kind, length), math.floor(min(statistic, secret_scan.MOST) * secret_scan.STEPS)))
+    out = {k: [] for k in range(len(texts))}
+    for stratum in {f[3] for f in found}:
+        mine = [f for f in found if f[3] == stratum]
+        by_p = sorted(secret_scan.p_value(f[4] / secret_scan.STEPS) for f in mine)
+        ruled = [p for i, p in enumerate(by_p) if p <= secret_scan.FALSE_DISCOVERIES * (i + 1) / len(mine)]
+        for k, a, b, _, step in mine:
+            if secret_scan.p_value(step / secret_scan.STEPS) > max(ruled, default=-1):
+                out[k].append((a, b))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_added_spans_by_plain_loops(spark):
+    rng = random.Random(5)
+    kinds = ["0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    texts = [f"see {''.join(rng.choices(letters, k=rng.choice((20, 23, 24, 40, 64, 120))))} now" for letters in kinds for _ in range(40)]
+    texts += [f"a {w * 2} b {w.upper() * 3} c" for w in ("internationalisation", "incomprehensibilities", "aaaaaaaaaaaaaaaaaaaaaa", "some-path/to-a/file_name") for _ in range(5)]
+    want = added(texts)
+    got = {r["doc_id"]: r["added_spans"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, spans in want.items():
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base(texts[k]).split(",") if x]
+        assert got[k] == ",".join(f"random:{a}:{b}" for a, b in spans if not any(a < d and c < b for _, c, d in [(0, *x) for x in taken])), texts[k]
+
+
+def test_tokens_of_one_kind_of_character(spark):
+    rng = random.Random(7)
+    kinds = {"lower": "abcdefghijklmnopqrstuvwxyz", "digits": "0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    rows = [(f"{kind} {k}", f"see {''.join(rng.choices(letters, k=40))} now") for kind, letters in kinds.items() for k in range(50)]
+    df = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
+    found = Counter(rows[r["doc_id"]][0].split()[0] for r in secret_scan.scan(df).collect() if r["spans"])
+    assert all(found[kind] >= 45 for kind in kinds), found
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token={k:012d}" for k in range(100_000))
+    began = time.monotonic()
+    row = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_assign"] == 100_000 and row["base_spans"] == base(text) and time.monotonic() - began < 60
+
+
 def test_no_python_in_the_plan(spark, awkward):
     plan = secret_scan.scan(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
