@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.scans import let, prefixes, xor
 from sheaf.operators.prefix import running_totals
 from sheaf.sources.scratch import written
 
@@ -14,19 +15,20 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: The first character of a control string of this or another common template, wherever one begins.
 CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|<SYS>>|</SYS>>)"
 TURN = r"(?s)<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n"
-#: Characters of a node's path per level: 64 bits of a digest of the turn and of all before it.
-STEP = 16
 
 
 class Forest(NamedTuple):
-    """conversations: conv_id, n_turns, leaf (path of the last turn).
+    """conversations: c (its number), conv_id, n_turns.
 
-    nodes: path, depth, role, segment, n_tokens, start (of its tokens in the depth-first layout), position (of its
-    first token in any conversation through it), attends (intervals [start, end) of the layout that its tokens see
-    besides the earlier ones of the node itself), loss_start and loss_end (code points of the segment; null: no loss).
+    steps: c, level, h1, h2: the node of each turn.
+    nodes: h1, h2 (128 bits of hash of the turn and of all before it), depth, role, segment, n_tokens, start (of its
+    tokens in the depth-first layout), position (of its first token in any conversation through it), attends (intervals
+    [start, end) of the layout that its tokens see besides the earlier ones of the node itself), loss_start and
+    loss_end (code points of the segment; null: no loss).
     """
 
     conversations: DataFrame
+    steps: DataFrame
     nodes: DataFrame
 
 
@@ -40,14 +42,17 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
-def _paths(turns: Column) -> Column:
-    """The path of each turn: those of all turns before it and STEP characters of its own."""
-    step = lambda acc, t: F.struct(
-        F.concat(acc["path"], F.left(F.md5(F.concat_ws("|", acc["path"], F.md5(t["role"].cast("binary")), F.md5(t["text"].cast("binary"))).cast("binary")), F.lit(STEP))).alias("path"),
-        F.array_append(acc["all"], acc["path"]).alias("all"),
-    )
-    start = F.expr("struct('' AS path, cast(array() AS array<string>) AS all)")
-    return F.aggregate(turns, start, step, lambda acc: F.slice(F.array_append(acc["all"], acc["path"]), F.lit(2), F.size(acc["all"])))
+def _identified(turns: Column) -> Column:
+    """array<struct<h1, h2, key>> by turn: two hashes of the turn and of all before it, and 16 bytes of its own."""
+    own = lambda seed: F.transform(turns, lambda t, i: F.xxhash64(F.lit(seed), i, t["role"], t["text"]))
+
+    def joined(one: Column, two: Column) -> Column:
+        ends = lambda x: F.slice(prefixes(x, xor), F.lit(2), F.size(x))
+        hexed = lambda x: F.lpad(F.hex(x), 16, "0")
+        keys = F.zip_with(one, two, lambda a, b: F.unhex(F.concat(hexed(a), hexed(b))))
+        return F.arrays_zip(ends(one).alias("h1"), ends(two).alias("h2"), keys.alias("key"))
+
+    return let(own(1), lambda one: let(own(2), lambda two: joined(one, two)))
 
 
 def build_forest(conversations: DataFrame) -> Forest:
@@ -59,30 +64,45 @@ def build_forest(conversations: DataFrame) -> Forest:
     OPEN role newline text CLOSE newline; control strings inside roles and texts are escaped, reversibly. The text of
     assistant turns is under the loss mask. Other columns are ignored; an empty table gives an empty forest.
 
-    One conversation's turns are the most that a task gathers. The layout is a range sort by path and distributed
-    prefix sums, so a tree that holds most conversations needs no task of its own.
+    One conversation's turns are the most that a task gathers. Depth first is the order of (rank of the first
+    conversation through a node, depth), with conversations ranked by the digests of their turns: a range sort and
+    distributed prefix sums, so a tree that holds most conversations needs no task of its own. Nodes with one first
+    conversation are neighbours in the layout, so ancestors are a few intervals, one for each place where the tree
+    parts, and all of it grows with the rows and not with the square of a conversation's length.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    pathed = written(grouped.withColumn("paths", _paths(F.col("turns"))), "conversations")
-    leaves = pathed.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.element_at("paths", -1).alias("leaf"))
-    each = pathed.select(F.explode(F.arrays_zip("paths", "turns")).alias("x")).select("x.paths", "x.turns.role", "x.turns.text")
-    unique = each.groupBy(F.col("paths").alias("path")).agg(F.any_value(F.struct("role", "text")).alias("t"))
+    numbered = grouped.withColumn("c", F.monotonically_increasing_id()).withColumn("ids", _identified(F.col("turns")))
+    pathed = written(numbered, "conversations")
+    convs = pathed.select("c", "conv_id", F.size("turns").cast("long").alias("n_turns"))
+    steps = pathed.select("c", F.posexplode("ids").alias("level", "x")).select("c", (F.col("level") + 1).alias("level"), "x.h1", "x.h2")
+    keys = pathed.select("c", F.array_join(F.transform("ids", lambda x: F.hex(x["key"])), "").alias("key"), F.lit(1).cast("long").alias("one"))
+    ranks = written(running_totals(keys, ["key", "c"], {"rank": "one"}).select("c", "rank"), "ranks")
+    ranked = written(steps.join(ranks, "c").select("c", "rank", "level", "h1", "h2"), "steps")
+    firsts = ranked.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.min("level").alias("depth"))
+    each = pathed.select(F.explode(F.arrays_zip("ids", "turns")).alias("x")).select("x.ids.h1", "x.ids.h2", "x.turns.role", "x.turns.text")
+    unique = each.groupBy("h1", "h2").agg(F.any_value(F.struct("role", "text")).alias("t")).join(firsts, ["h1", "h2"])
     header = F.concat(F.lit(OPEN), F.replace(escaped(F.col("t.role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
-    parts = unique.select("path", (F.length("path") / STEP).cast("int").alias("depth"), F.col("t.role").alias("role"), header.alias("header"), escaped(F.col("t.text")).alias("body"))
+    parts = unique.select("h1", "h2", "first", "depth", F.col("t.role").alias("role"), header.alias("header"), escaped(F.col("t.text")).alias("body"))
     loss = F.when(F.col("role") == "assistant", F.length("header"))
     segment = F.concat("header", "body", F.lit(CLOSE + "\n"))
-    nodes = parts.select("path", "depth", "role", segment.alias("segment"), F.octet_length(segment).cast("long").alias("n_tokens"), loss.alias("loss_start"), (loss + F.length("body")).alias("loss_end"))
-    nodes = written(nodes, "nodes")
-    laid = written(running_totals(nodes.select("path", "n_tokens"), ["path"], {"start": "n_tokens"}), "laid")
-    above = nodes.where("depth > 1").select("path", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("level"))
-    above = above.select("path", F.left("path", F.col("level") * STEP).alias("ancestor"))
-    seen = above.join(laid.select(F.col("path").alias("ancestor"), "start", "n_tokens"), "ancestor")
-    interval = F.struct("start", (F.col("start") + F.col("n_tokens")).alias("end"))
-    attends = seen.groupBy("path").agg(F.sort_array(F.collect_list(interval)).alias("attends"), F.sum("n_tokens").alias("position"))
-    placed = nodes.join(laid.select("path", "start"), "path").join(attends, "path", "left")
+    sized = parts.select("h1", "h2", "first", "depth", "role", segment.alias("segment"), F.octet_length(segment).cast("long").alias("n_tokens"), loss.alias("loss_start"), (loss + F.length("body")).alias("loss_end"))
+    nodes = written(sized, "nodes")
+    narrow = nodes.select("h1", "h2", "first", "depth", "n_tokens")
+    laid = written(running_totals(narrow, ["first", "depth"], {"start": "n_tokens"}).select("h1", "h2", "first", "start", "n_tokens"), "laid")
+    runs = ranked.join(laid, ["h1", "h2"]).groupBy("rank", "first").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_tokens")).alias("end"))
+    above = F.when(F.col("first") < F.col("rank"), F.struct("start", "end"))
+    seen = written(runs, "runs").groupBy("rank").agg(F.sort_array(F.collect_list(above)).alias("above"), F.min(F.when(F.col("first") == F.col("rank"), F.col("start"))).alias("head"))
+    placed = nodes.join(laid.select("h1", "h2", "start"), ["h1", "h2"]).join(seen.where("head IS NOT NULL"), F.col("first") == F.col("rank"))
     none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
-    return Forest(leaves, placed.withColumns({"attends": F.coalesce("attends", none), "position": F.coalesce("position", F.lit(0).cast("long"))}))
+    own = F.when(F.col("start") > F.col("head"), F.array(F.struct(F.col("head").alias("start"), F.col("start").alias("end")))).otherwise(none)
+    placed = placed.withColumn("attends", F.concat("above", own)).drop("first", "rank", "above", "head")
+    return Forest(convs, ranked.drop("rank"), placed.withColumn("position", seen_tokens(F.col("attends"))))
+
+
+def seen_tokens(attends: Column) -> Column:
+    """How many tokens the intervals hold."""
+    return F.aggregate(attends, F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
 
 
 def token_ids(nodes: DataFrame) -> DataFrame:
@@ -92,21 +112,24 @@ def token_ids(nodes: DataFrame) -> DataFrame:
 
 
 def read_back(forest: Forest) -> DataFrame:
-    """Each conversation as the forest has it: conv_id, formatted, turns (role and text, unescaped), loss (texts).
+    """Each conversation as the forest has it: conv_id, formatted, turns (role and text, unescaped), loss (texts),
+    n_positions (one more than the last position id), attended (tokens that its turns see before them, all together).
 
-    A conversation's nodes are its leaf's path and that path's beginnings; the texts come from the nodes alone.
+    The texts and positions come from the nodes alone.
     """
-    steps = forest.conversations.select("conv_id", "leaf", F.explode(F.sequence(F.lit(1), F.col("n_turns").cast("int"))).alias("level"))
-    steps = written(steps.select("conv_id", "level", F.left("leaf", F.col("level") * STEP).alias("path")), "steps")
-    nodes = written(forest.nodes.select("path", "segment", "loss_start", "loss_end"), "segments")
-    node = F.struct("level", "segment", "loss_start", "loss_end")
-    whole = steps.join(nodes, "path").groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    nodes = forest.nodes.select("h1", "h2", F.struct("segment", "loss_start", "loss_end", "position", "n_tokens", seen_tokens(F.col("attends")).alias("seen")).alias("node"))
+    whole = forest.steps.join(written(nodes, "segments"), ["h1", "h2"]).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("level", "node"))).alias("nodes"))
+    whole = whole.join(forest.conversations.select("c", "conv_id"), "c").select("conv_id", F.transform("nodes", lambda n: n["node"]).alias("nodes"))
     under = F.filter("nodes", lambda n: n["loss_start"].isNotNull())
     masked = lambda n: unescaped(F.call_function("substring", n["segment"], n["loss_start"] + 1, n["loss_end"] - n["loss_start"]))
-    joined = whole.select("conv_id", F.array_join(F.transform("nodes", lambda n: n["segment"]), "").alias("formatted"), F.transform(under, masked).alias("loss"))
+    last = F.element_at("nodes", -1)
+    joined = whole.select(
+        "conv_id", F.array_join(F.transform("nodes", lambda n: n["segment"]), "").alias("formatted"), F.transform(under, masked).alias("loss"),
+        (last["position"] + last["n_tokens"]).alias("n_positions"), F.aggregate("nodes", F.lit(0).cast("long"), lambda acc, n: acc + n["seen"]).alias("attended"),
+    )
     parsed = F.arrays_zip(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(1)).alias("role"), F.regexp_extract_all("formatted", F.lit(TURN), F.lit(2)).alias("text"))
     plain = F.transform(parsed, lambda t: F.struct(unescaped(t["role"]).alias("role"), unescaped(t["text"]).alias("text")))
-    return joined.select("conv_id", "formatted", plain.alias("turns"), "loss")
+    return joined.select("conv_id", "formatted", plain.alias("turns"), "loss", "n_positions", "attended")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
@@ -120,4 +143,6 @@ def digests(conversations: DataFrame) -> DataFrame:
         F.length(learnt).cast("long").alias("loss_chars"),
         F.sha2(learnt, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_positions",
+        "attended",
     )

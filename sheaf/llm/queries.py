@@ -104,13 +104,20 @@ WITH every AS (
            + 2 * len(regexp_extract_all(role, '<\||\[/?INST\]|</?s>|<</?SYS>>'))
            + len(regexp_extract_all(role, '\n')) AS role_chars
   FROM every
+), sized AS (
+  SELECT *, 12 + role_chars + 1 + body_chars + 10 + 1 AS chars,
+         12 + role_chars + 1 + body_chars + 10 + 1 + strlen(role) - length(role) + strlen(text) - length(text) AS bytes
+  FROM written
+), placed AS (
+  SELECT *, coalesce(sum(bytes) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(12 + role_chars + 1 + body_chars + 10 + 1) AS BIGINT) AS formatted_chars
-FROM written GROUP BY conv_id
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(sum(bytes) AS BIGINT) AS n_positions, CAST(sum(before) AS BIGINT) AS attended
+FROM placed GROUP BY conv_id
 """
 
 
@@ -127,11 +134,11 @@ WITH raw AS (
   SELECT line, min(row(doc_id, line_no)) AS place FROM every GROUP BY line
 ), cut AS (
   SELECT line, place, i, left(line, i - 1) || substr(line, i + 1) AS v
-  FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= 12)
+  FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM firsts)
 ), pairs AS (
   SELECT a.line, b.place FROM cut a JOIN cut b USING (v, i) WHERE a.line <> b.line
-  UNION ALL SELECT a.line, b.place FROM cut a JOIN firsts b ON a.v = b.line WHERE length(b.line) >= 12
-  UNION ALL SELECT b.line, a.place FROM cut a JOIN firsts b ON a.v = b.line WHERE length(b.line) >= 12
+  UNION ALL SELECT a.line, b.place FROM cut a JOIN firsts b ON a.v = b.line
+  UNION ALL SELECT b.line, a.place FROM cut a JOIN firsts b ON a.v = b.line
 ), near AS (
   SELECT line, min(place) AS place FROM pairs GROUP BY line
 ), told AS (

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from sheaf.llm import chat_format
 
@@ -38,17 +39,52 @@ def test_no_control_string_survives_in_texts(spark):
 
 
 def test_layout(spark):
-    df, _ = conversations(spark)
-    nodes = sorted(chat_format.build_forest(df).nodes.collect(), key=lambda r: r["start"])
+    df, rows = conversations(spark)
+    forest = chat_format.build_forest(df)
+    nodes = sorted(forest.nodes.collect(), key=lambda r: r["start"])
     assert [r["start"] for r in nodes] == [sum(x["n_tokens"] for x in nodes[:k]) for k in range(len(nodes))]
     assert sum(r["segment"] == "<|im_start|>user\nhello<|im_end|>\n" for r in nodes) == 1  # shared by ten conversations
-    at = {r["path"]: r for r in nodes}
+    steps, at = {}, {(r["h1"], r["h2"]): r for r in nodes}
+    for r in forest.steps.collect():
+        steps.setdefault(r["c"], {})[r["level"]] = (r["h1"], r["h2"])
+    parent = {}
+    for path in steps.values():
+        for level, node in path.items():
+            assert parent.setdefault(node, path.get(level - 1)) == path.get(level - 1) and at[node]["depth"] == level
+    assert set(parent) == set(at)
+    below = lambda node, top: node is not None and (node == top or below(parent[node], top))
     for k, r in enumerate(nodes):
-        above = [at[r["path"][: chat_format.STEP * d]] for d in range(1, r["depth"])]
-        assert [tuple(x) for x in r["attends"]] == [(x["start"], x["start"] + x["n_tokens"]) for x in above]
+        above, node = [], parent[r["h1"], r["h2"]]
+        while node:
+            above.append(at[node])
+            node = parent[node]
+        held = {t for x in above for t in range(x["start"], x["start"] + x["n_tokens"])}
+        seen = [t for a, b in r["attends"] for t in range(a, b)]
+        assert len(seen) == len(held) and set(seen) == held
         assert r["position"] == sum(x["n_tokens"] for x in above) and all(x["start"] < r["start"] for x in above)
         if k and r["depth"] > 1:  # depth first: a node follows its parent or something below it
-            assert nodes[k - 1]["path"].startswith(r["path"][: -chat_format.STEP])
+            assert below((nodes[k - 1]["h1"], nodes[k - 1]["h2"]), parent[r["h1"], r["h2"]])
+
+
+def test_positions_and_attention_reach_the_digests(spark):
+    df, rows = conversations(spark)
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.read_back(chat_format.build_forest(df))).collect()}
+    formatted = {r["conv_id"]: r["formatted"] for r in chat_format.read_back(chat_format.build_forest(df)).collect()}
+    for conv, text in formatted.items():
+        sizes = [len(f"{x}<|im_end|>\n".encode()) for x in text.split("<|im_end|>\n")[:-1]]
+        assert got[conv]["n_positions"] == sum(sizes) and got[conv]["attended"] == sum(sum(sizes[:k]) for k in range(len(sizes)))
+
+
+def test_extra_columns_and_long_conversations(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(20_000)] + [(2, t, ("user", "assistant")[t % 2], f"turn {t}" if t < 9000 else f"other {t}") for t in range(10_000)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS path", "1 AS h1", "2 AS c", "3 AS level", "4 AS segment")
+    began = time.monotonic()
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.read_back(chat_format.build_forest(df))).collect()}
+    assert time.monotonic() - began < 60
+    for conv, n in ((1, 20_000), (2, 10_000)):
+        mine = [r for r in rows if r[0] == conv]
+        assert (got[conv]["n_turns"], got[conv]["turns_sha256"]) == (n, digest("".join(f"{r}\n{x}\n" for _, _, r, x in mine)))
+        assert got[conv]["loss_sha256"] == digest("".join(x for _, _, r, x in mine if r == "assistant"))
 
 
 def test_tokens(spark):
