@@ -19,16 +19,20 @@ FLUSH = 3 << 20
 BUCKET_BYTES = 8 << 20
 #: A model up to this size is sent to all workers whole; beyond, texts' n-grams travel to the buckets.
 BROADCAST_BYTES = 256 << 20
-#: Probes per level; a filter of PROBES / ln 2 bits per entry errs upwards once in 2 ** PROBES.
-PROBES = 6
+#: Probes of the first level and of each further one; a filter of 1 / ln 2 bits per probe errs upwards once in 2 to the
+#: power of the probes.
+PROBES, MORE_PROBES = 10, 6
 #: Weight of the bigram estimate.
 BIGRAM_WEIGHT = 0.6
 MOST_LEVELS = 40
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-UNIGRAM, BIGRAM = 0, 1
-#: Count that stands for each level: level q holds counts from 2^(q-1) to 2^q - 1.
-_LEVEL_COUNTS = np.array([0.0, *(math.sqrt(2.0 ** (q - 1) * (2.0**q - 1)) for q in range(1, MOST_LEVELS))])
+UNIGRAM, BIGRAM, HISTORY = 0, 1, 2
+#: Count that stands for each level, the least one it holds: level q holds counts from 2^(q-1) to 2^q - 1.
+_LEVEL_COUNTS = np.array([0, *(1 << (q - 1) for q in range(1, MOST_LEVELS))], dtype=np.int64)
+#: What the filter reads, on average, for a held count of 1, and for an absent n-gram: false levels double the count.
+READ_HELD = 1 + 2.0**-MORE_PROBES / (1 - 2 * 2.0**-MORE_PROBES)
+READ_ABSENT = 2.0**-PROBES * READ_HELD
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,64 +54,90 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _counted(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _counted(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in order, their summed counts, and a place of each."""
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
     if counts is None:
-        return ordered[first], np.diff(np.append(first, len(ordered)))
-    return ordered[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        return ordered[first], np.diff(np.append(first, len(ordered))), order[first]
+    return ordered[first], np.add.reduceat(counts[order], first) if len(first) else counts, order[first]
 
 
 def _counter(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        singles, pairs, held = [], [], 0
+        singles, before, held = [], [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in W.chunks(texts):
                 found, starts = tokens(texts[a:b])
                 singles.append(found)
-                pairs.append(bigrams(found, starts)[1])
+                before.append(bigrams(found, starts)[0])
                 held += len(found)
                 if held >= FLUSH:
-                    yield _parts(singles, pairs, bits)
-                    singles, pairs, held = [], [], 0
+                    yield _parts(np.concatenate(singles), np.concatenate(before), bits)
+                    singles, before, held = [], [], 0
         if singles:
-            yield _parts(singles, pairs, bits)
+            yield _parts(np.concatenate(singles), np.concatenate(before), bits)
 
     return run
 
 
-def _parts(singles: list[np.ndarray], pairs: list[np.ndarray], bits: int) -> pa.RecordBatch:
+_PART = {"kind": pa.int32(), "bucket": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "befores": pa.binary()}
+_SEGMENT = {"kind": pa.int32(), "bucket": pa.int64(), "size": pa.int64(), "total": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "sums": pa.binary()}
+_PART_SQL, _SEGMENT_SQL = (", ".join(f"{c} {'int' if t == pa.int32() else 'long' if t == pa.int64() else 'binary'}" for c, t in of.items()) for of in (_PART, _SEGMENT))
+
+
+def _rows(rows: list[tuple], of: dict) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate(of.values())]
+
+
+def _by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """The buckets that sorted hashes fall into, each with its range."""
+    buckets = _bucket(hashes, bits)
+    edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    return zip(buckets[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(buckets)], strict=True)
+
+
+def _parts(found: np.ndarray, before: np.ndarray, bits: int) -> pa.RecordBatch:
     rows = []
-    for kind, lists in ((UNIGRAM, singles), (BIGRAM, pairs)):
-        hashes, counts = _counted(np.concatenate(lists))
-        buckets = _bucket(hashes, bits)
-        edges = np.searchsorted(buckets, np.arange((1 << bits) + 1))
-        rows += [(kind, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-    kinds, buckets, hashes, counts = zip(*rows, strict=True) if rows else ([], [], [], [])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.int32()), pa.array(buckets, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())],
-        names=["kind", "bucket", "hashes", "counts"],
-    )
-
-
-_SEGMENT = "kind int, bucket long, size long, total long, hashes binary, counts binary"
-
-
-def _segment(group: pa.Table) -> pa.Table:
-    """All counts of one bucket: of unigrams in full, of bigrams as a filter (bits in `hashes`)."""
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()]).astype(np.int64)
-    hashes, counts = _counted(hashes, counts)
-    kind, size, total = group.column("kind")[0].as_py(), len(hashes), int(counts.sum())
-    if kind == BIGRAM:
-        body, tail = _filter(hashes, counts), b""
-    else:
-        body, tail = hashes.tobytes(), counts.tobytes()
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    values = (kind, group.column("bucket")[0].as_py(), size, total, body, tail)
-    return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["kind", "bucket", "size", "total", "hashes", "counts"])
+    hashes, counts, _ = _counted(found)
+    rows += [(UNIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), b"") for k, a, b in _by_bucket(hashes, bits)]
+    hashes, counts, at = _counted(W.mix(before * np.uint64(W.BASE) + found))
+    before = before[at]
+    rows += [(BIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), before[a:b].tobytes()) for k, a, b in _by_bucket(hashes, bits)]
+    return pa.RecordBatch.from_arrays(_rows(rows, _PART), names=list(_PART))
+
+
+def _joined(group: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(column).to_pylist()), kind)
+
+
+def _segment(bits: int) -> Callable:
+    def run(group: pa.Table) -> pa.Table:
+        """All counts of one bucket: of unigrams in full, of bigrams as a filter, and what each history holds of it."""
+        hashes, counts, at = _counted(_joined(group, "hashes", np.uint64), _joined(group, "counts", np.uint32).astype(np.int64))
+        kind, bucket = (group.column(c)[0].as_py() for c in ("kind", "bucket"))
+        if kind == UNIGRAM:
+            rows = [(kind, bucket, len(hashes), int(counts.sum()), hashes.tobytes(), counts.tobytes(), b"")]
+        else:
+            rows = [(kind, bucket, len(hashes), int(counts.sum()), _filter(hashes, counts), b"", b"")]
+            histories, sums, _ = _counted(_joined(group, "befores", np.uint64)[at], _LEVEL_COUNTS[levels_of(counts)])
+            rows += [(HISTORY, k, b - a, 0, histories[a:b].tobytes(), b"", sums[a:b].tobytes()) for k, a, b in _by_bucket(histories, bits)]
+        return pa.table(_rows(rows, _SEGMENT), names=list(_SEGMENT))
+
+    return run
+
+
+def _with_sums(group: pa.Table) -> pa.Table:
+    """The counts of one bucket of unigrams, and the sums of what stands in the filter behind each of them."""
+    kinds = group.column("kind").to_numpy()
+    own, of = group.filter(pa.array(kinds == UNIGRAM)), group.filter(pa.array(kinds == HISTORY))
+    hashes, counts = _joined(own, "hashes", np.uint64), _joined(own, "counts", np.int64)
+    histories, sums, _ = _counted(_joined(of, "hashes", np.uint64), _joined(of, "sums", np.int64))
+    every = np.union1d(hashes, histories)  # START is a history and no token
+    row = (UNIGRAM, group.column("bucket")[0].as_py(), len(hashes), int(counts.sum()), every.tobytes(), _looked_up(hashes, counts, every).tobytes(), _looked_up(histories, sums, every).tobytes())
+    return pa.table(_rows([row], _SEGMENT), names=list(_SEGMENT))
 
 
 def _places(hashes: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
@@ -116,6 +146,10 @@ def _places(hashes: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.
     return ((h + np.uint64(probe) * ((h >> np.uint64(32)) | np.uint64(1))) % size).astype(np.int64)
 
 
+def _probes(level: int) -> int:
+    return PROBES if level == 1 else MORE_PROBES
+
+
 def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(counts.astype(np.float64))[1], MOST_LEVELS - 1)
 
@@ -123,11 +157,12 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 def _filter(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """A Bloom filter that holds (n-gram, j) for all levels j up to that of the n-gram's count."""
     levels = levels_of(counts)
-    size = 64 * max(1, math.ceil(int(levels.sum()) * PROBES / math.log(2) / 64))
+    set_bits = int((PROBES * (levels > 0) + MORE_PROBES * np.maximum(levels - 1, 0)).sum())
+    size = 64 * max(1, math.ceil(set_bits / math.log(2) / 64))
     bits = np.zeros(size, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         held = hashes[levels >= level]
-        for probe in range(PROBES):
+        for probe in range(_probes(level)):
             bits[_places(held, level, probe, np.uint64(size))] = True
     return np.packbits(bits).tobytes()
 
@@ -136,7 +171,7 @@ def _probed(hashes: np.ndarray, bits: np.ndarray, offset: np.ndarray, size: np.n
     """The level of each n-gram: so many levels in turn have all their bits set. offset, size: of its bucket's filter."""
     levels, live = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes))
     for level in range(1, MOST_LEVELS):
-        for probe in range(PROBES):
+        for probe in range(_probes(level)):
             at = offset[live] + _places(hashes[live], level, probe, size[live])
             live = live[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
             if not len(live):
@@ -146,11 +181,13 @@ def _probed(hashes: np.ndarray, bits: np.ndarray, offset: np.ndarray, size: np.n
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """The model of the texts of `docs`, one row per kind and bucket of n-grams (see _SEGMENT)."""
+    """The model of the texts of `docs`, one row per kind and bucket of n-grams (see `_segment`, `_with_sums`)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
-    parts = docs.select("text").mapInArrow(_counter(bits), "kind int, bucket long, hashes binary, counts binary")
-    return written(parts.groupBy("kind", "bucket").applyInArrow(_segment, _SEGMENT), "lm")
+    parts = docs.select("text").mapInArrow(_counter(bits), _PART_SQL)
+    first = written(parts.groupBy("kind", "bucket").applyInArrow(_segment(bits), _SEGMENT_SQL), "lm-first")
+    whole = first.where(F.col("kind") != BIGRAM).groupBy("bucket").applyInArrow(_with_sums, _SEGMENT_SQL)
+    return written(first.where(F.col("kind") == BIGRAM).unionByName(whole), "lm")
 
 
 def _looked_up(sorted_hashes: np.ndarray, values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -160,32 +197,46 @@ def _looked_up(sorted_hashes: np.ndarray, values: np.ndarray, hashes: np.ndarray
     return np.where(sorted_hashes[at] == hashes, values[at], 0)
 
 
-def _scores(texts: list[str | None], totals: tuple[int, int, int], count_of: Callable, level_of: Callable) -> list[np.ndarray]:
+def _scores(texts: list[str | None], totals: tuple[int, int, int], counts_of: Callable, level_of: Callable) -> list[np.ndarray]:
     """n_tokens, n_known, base score and score of each text. totals: N, V and training texts."""
     n, v, n_texts = totals
     found, starts = tokens(texts)
     before, pairs = bigrams(found, starts)
-    words, word_of = np.unique(found, return_inverse=True)
-    counts = count_of(words)[word_of]
+    words, word_of = np.unique(np.append(found, START), return_inverse=True)
+    counts, sums = (x[word_of] for x in counts_of(words))
+    counts, of_start = counts[:-1], sums[-1]
+    first, sums = np.roll(counts, 1), np.roll(sums[:-1], 1)
+    first[starts[:-1]], sums[starts[:-1]] = n_texts, of_start
     kinds, pair_of = np.unique(pairs, return_inverse=True)
-    together = _LEVEL_COUNTS[level_of(kinds)][pair_of]
-    first = np.roll(counts, 1)
-    first[starts[:-1]] = n_texts
     alone = (counts + 0.5) / (n + 0.5 * (v + 1))
-    joint = BIGRAM_WEIGHT * np.minimum(1.0, together / np.maximum(first, 1)) + (1 - BIGRAM_WEIGHT) * alone
+    full = probability(alone, _LEVEL_COUNTS[level_of(kinds)][pair_of], first, sums, v)
     each = lambda values: np.add.reduceat(values, starts[:-1])
-    return [np.diff(starts), each((counts > 0).astype(np.int64)), each(np.log10(alone)), each(np.log10(np.where(first > 0, joint, alone)))]
+    return [np.diff(starts), each((counts > 0).astype(np.int64)), each(np.log10(alone)), each(np.log10(full))]
+
+
+def probability(alone: np.ndarray, together: np.ndarray, first: np.ndarray, sums: np.ndarray, v: int) -> np.ndarray:
+    """Of words with unigram probability `alone` behind a history of count `first`, with `together` read in the filter.
+
+    sums: of the counts that stand in the filter for the history's followers. What the filter reads over all v words
+    and the unknown one, false levels included, is READ_HELD * sums + READ_ABSENT * (v + 1) on average; the bigram part
+    is a share of that, and the back-off weight is what it leaves. So the probabilities behind a history sum to one, up
+    to chance in the filter's errors, and a rare history, behind which a hit says little, leaves more to the unigrams.
+    """
+    noise = READ_ABSENT * (v + 1)
+    mass = np.maximum(first, 1) + noise
+    left = 1 - BIGRAM_WEIGHT * (READ_HELD * sums + noise) / mass
+    return np.where(first > 0, BIGRAM_WEIGHT * together / mass + left * alone, alone)
 
 
 def score(docs: DataFrame, model: DataFrame, n_texts: int) -> DataFrame:
     """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, for rows of doc_id, held_out, text.
 
     Tokens are words between white space, A-Z lower-cased, and each text's end; a null text is empty. base_score is
-    the additively smoothed unigram log10 probability, from exact counts. score mixes it, word by word, with the
-    bigram estimate from the filter's quantised counts. Tokens are told apart by 64-bit hashes. Texts of any length
+    the additively smoothed unigram log10 probability, from exact counts. score is the log10 probability with bigrams:
+    see `probability`, on counts quantised in the filter and read by repeated membership probes. Tokens are told apart by 64-bit hashes. Texts of any length
     count whole; repeated rows each get their row; other columns are ignored.
     """
-    sizes = {r["kind"]: r for r in model.groupBy("kind").agg(F.sum("size").alias("v"), F.sum("total").alias("n"), F.sum(F.length("hashes") + F.length("counts")).alias("bytes")).collect()}
+    sizes = {r["kind"]: r for r in model.groupBy("kind").agg(F.sum("size").alias("v"), F.sum("total").alias("n"), F.sum(F.length("hashes") + F.length("counts") + F.length("sums")).alias("bytes")).collect()}
     singles = sizes.get(UNIGRAM)
     totals = (int(singles["n"]), int(singles["v"]), n_texts) if singles else (0, 0, 0)
     rows = docs.select("doc_id", "held_out", "text")
@@ -199,19 +250,21 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _assembled(model: DataFrame) -> dict:
+    """The model as plain arrays; the pieces go as they are joined."""
     got = model.toArrow().sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    kinds, buckets = (got.column(c).to_numpy() for c in ("kind", "bucket"))
-    parts, tails = got.column("hashes").to_pylist(), got.column("counts").to_pylist()
-    single, pair = np.flatnonzero(kinds == UNIGRAM), np.flatnonzero(kinds == BIGRAM)
-    join = lambda lists, kind: np.frombuffer(b"".join(lists), kind)
+    kinds = got.column("kind").to_numpy()
+    single, pair = (got.filter(pa.array(kinds == kind)) for kind in (UNIGRAM, BIGRAM))
+    del got
+    buckets = pair.column("bucket").to_numpy()
     n = 1 << max(0, int(buckets.max(initial=0))).bit_length()
     sizes, offsets = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-    sizes[buckets[pair]] = [8 * len(parts[k]) for k in pair]
+    sizes[buckets] = [8 * len(x.as_buffer()) for x in pair.column("hashes")]
     offsets[1:] = np.cumsum(sizes)[:-1]
-    return {
-        "hashes": join([parts[k] for k in single], np.uint64), "counts": join([tails[k] for k in single], np.int64).astype(np.uint32 if len(single) and got.column("total").to_numpy()[single].max() < 1 << 32 else np.int64),
-        "bits": join([parts[k] for k in pair], np.uint8), "sizes": sizes, "offsets": offsets,
-    }
+    bits = _joined(pair, "hashes", np.uint8)
+    del pair
+    small = lambda x: x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
+    counts, sums = (small(_joined(single, c, np.int64)) for c in ("counts", "sums"))
+    return {"hashes": _joined(single, "hashes", np.uint64), "counts": counts, "sums": sums, "bits": bits, "sizes": sizes, "offsets": offsets}
 
 
 def _level_lookup(model: dict) -> Callable:
@@ -226,10 +279,10 @@ def _level_lookup(model: dict) -> Callable:
     return level_of
 
 
-def _scored_batch(batch: pa.RecordBatch, totals: tuple[int, int, int], count_of: Callable, level_of: Callable) -> Iterator[pa.RecordBatch]:
+def _scored_batch(batch: pa.RecordBatch, totals: tuple[int, int, int], counts_of: Callable, level_of: Callable) -> Iterator[pa.RecordBatch]:
     texts = batch.column(batch.schema.names.index("text")).to_pylist()
     for a, b in W.chunks(texts):
-        n_tokens, n_known, base, full = _scores(texts[a:b], totals, count_of, level_of)
+        n_tokens, n_known, base, full = _scores(texts[a:b], totals, counts_of, level_of)
         columns = [batch.column(k).slice(a, b - a) for k in range(2)]
         columns += [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([totals[0]] * (b - a), pa.int64()), pa.array(base), pa.array(full)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -240,7 +293,7 @@ def _scorer(shared: object, totals: tuple[int, int, int]) -> Callable:
         model = shared.value
         level_of = _level_lookup(model)
         for batch in batches:
-            yield from _scored_batch(batch, totals, lambda h: _looked_up(model["hashes"], model["counts"], h), level_of)
+            yield from _scored_batch(batch, totals, lambda h: [_looked_up(model["hashes"], model[c], h) for c in ("counts", "sums")], level_of)
 
     return run
 
@@ -258,50 +311,52 @@ def _scored_by_buckets(rows: DataFrame, model: DataFrame, totals: tuple[int, int
 
     def asked(group: pa.Table) -> pa.Table:
         found, starts = tokens(group.column("text").to_pylist())
-        out = []
-        for kind, hashes in ((UNIGRAM, found), (BIGRAM, bigrams(found, starts)[1])):
+        out, chunk = [], group.column("chunk")[0].as_py()
+        for kind, hashes in ((UNIGRAM, np.append(found, START)), (BIGRAM, bigrams(found, starts)[1])):
             own = np.unique(hashes)
-            edges = np.searchsorted(_bucket(own, width), np.arange((1 << width) + 1))
-            out += [(kind, k, own[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        kinds, buckets, lists = zip(*out, strict=True)
-        chunks = [group.column("chunk")[0].as_py()] * len(out)
-        return pa.table([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int64()), pa.array(chunks, pa.int64()), pa.array(lists, pa.binary())], names=["kind", "bucket", "chunk", "asked"])
+            out += [(kind, k, chunk, own[a:b].tobytes()) for k, a, b in _by_bucket(own, width)]
+        return pa.table(_rows(out, _ASKED), names=list(_ASKED))
 
     def answered(questions: pa.Table, segment: pa.Table) -> pa.Table:
         out = []
-        for chunk_id, blob in zip(questions.column("chunk").to_pylist(), questions.column("asked").to_pylist(), strict=True):
+        blobs = {c: segment.column(c)[0].as_py() for c in ("hashes", "counts", "sums")} if segment.num_rows else {}
+        for kind, chunk, blob in zip(*(questions.column(c).to_pylist() for c in ("kind", "chunk", "asked")), strict=True):
             hashes = np.frombuffer(blob, np.uint64)
-            values = np.zeros(len(hashes), np.int64)
-            if segment.num_rows:
-                body = segment.column("hashes")[0].as_py()
-                if segment.column("kind")[0].as_py() == UNIGRAM:
-                    values = _looked_up(np.frombuffer(body, np.uint64), np.frombuffer(segment.column("counts")[0].as_py(), np.int64), hashes)
-                else:
-                    all_of = np.full(len(hashes), 8 * len(body), dtype=np.uint64)
-                    values = _probed(hashes, np.frombuffer(body, np.uint8), np.zeros(len(hashes), np.int64), all_of)
-            out.append((questions.column("kind")[0].as_py(), chunk_id, blob, values.astype(np.int64).tobytes()))
-        kinds, chunks, lists, values = zip(*out, strict=True) if out else ([], [], [], [])
-        return pa.table([pa.array(kinds, pa.int32()), pa.array(chunks, pa.int64()), pa.array(lists, pa.binary()), pa.array(values, pa.binary())], names=["kind", "chunk", "asked", "got"])
+            got = [np.zeros(len(hashes), np.int64)] * 2
+            if blobs and kind == UNIGRAM:
+                got = [_looked_up(np.frombuffer(blobs["hashes"], np.uint64), np.frombuffer(blobs[c], np.int64), hashes) for c in ("counts", "sums")]
+            elif blobs:
+                all_of = np.full(len(hashes), 8 * len(blobs["hashes"]), dtype=np.uint64)
+                got[0] = _probed(hashes, np.frombuffer(blobs["hashes"], np.uint8), np.zeros(len(hashes), np.int64), all_of)
+            out.append((kind, chunk, blob, got[0].tobytes(), got[1].tobytes() if kind == UNIGRAM else b""))
+        return pa.table(_rows(out, _ANSWER), names=list(_ANSWER))
 
     def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tables = {}
+        kinds, tables = answers.column("kind").to_numpy(), {}
         for kind in (UNIGRAM, BIGRAM):
-            own = [(a, g) for k, a, g in zip(*(answers.column(c).to_pylist() for c in ("kind", "asked", "got")), strict=True) if k == kind]
-            hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(a, np.uint64) for a, _ in own)])
-            values = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(g, np.int64) for _, g in own)])
+            own = answers.filter(pa.array(kinds == kind))
+            hashes = _joined(own, "asked", np.uint64)
             order = np.argsort(hashes)
-            tables[kind] = (hashes[order], values[order])
+            tables[kind] = (hashes[order], *(_joined(own, c, np.int64)[order] for c in (("got", "more") if kind == UNIGRAM else ("got",))))
+        words, counts, sums = tables[UNIGRAM]
         batches = texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
-        out = [r for b in batches for r in _scored_batch(b, totals, lambda h: _looked_up(*tables[UNIGRAM], h), lambda h: _looked_up(*tables[BIGRAM], h))]
-        return pa.Table.from_batches(out)
+        both = lambda h: [_looked_up(words, x, h) for x in (counts, sums)]
+        return pa.Table.from_batches([r for b in batches for r in _scored_batch(b, totals, both, lambda h: _looked_up(*tables[BIGRAM], h))])
 
     questions = placed.groupBy("chunk").applyInArrow(asked, "kind int, bucket long, chunk long, asked binary")
-    answers = questions.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(answered, "kind int, chunk long, asked binary, got binary")
+    answers = questions.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(answered, "kind int, chunk long, asked binary, got binary, more binary")
     return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, _SCORED)
 
 
+_ASKED = {"kind": pa.int32(), "bucket": pa.int64(), "chunk": pa.int64(), "asked": pa.binary()}
+_ANSWER = {"kind": pa.int32(), "chunk": pa.int64(), "asked": pa.binary(), "got": pa.binary(), "more": pa.binary()}
+
+
 def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Learns from the rows that are not held out and scores all; see `train` and `score`."""
+    """Learns from the rows that are not held out and scores all; see `train` and `score`.
+
+    Null texts are empty ones, in training too; repeated rows count each. Without training rows every probability is 1.
+    """
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     learnt = rows.where("NOT held_out")
     return score(rows, train(learnt), learnt.count())
