@@ -120,9 +120,16 @@ def _matched_shingles(a: np.ndarray, b: np.ndarray, most_edits: int) -> int:
     return 0
 
 
-def _sequence_hash(found: np.ndarray) -> int:
-    power, _ = W._power_tables(len(found))
-    return int(W.mix((found * power[: len(found)]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+def _sequence_hashes(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sequences of words apart."""
+    power = W._power_tables(len(found))[0][: len(found)]
+    sums = [(x * power).sum(dtype=np.uint64) for x in (found, W.mix(found ^ np.uint64(0x94D049BB133111EB)))]
+    one, two = W.mix(np.array(sums, dtype=np.uint64)).view(np.int64).tolist()
+    return one, two
+
+
+def _hash_columns(hashes: list[tuple[int, int] | None]) -> list[pa.Array]:
+    return [pa.array([h[k] if h else None for h in hashes], pa.int64()) for k in range(2)]
 
 
 def _each_text(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -138,19 +145,20 @@ def _each(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
+        hashes, keys = [], []
         for _, found in _each_text(batch):
-            nodes.append(_sequence_hash(found) if len(found) else None)
+            hashes.append(_sequence_hashes(found) if len(found) else None)
             keys.append(sketch_keys(found).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *_hash_columns(hashes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "keys"])
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        wanted, nodes, lists = batch.column(batch.schema.names.index("node")).to_pylist(), [], []
+        node, h1, h2 = (batch.column(k).to_pylist() for k in range(3))
+        nodes, lists = [], []
         for i, found in _each_text(batch):
-            if len(found) and _sequence_hash(found) == wanted[i]:
-                nodes.append(wanted[i])
+            if len(found) and _sequence_hashes(found) == (h1[i], h2[i]):
+                nodes.append(node[i])
                 lists.append((found >> np.uint64(32)).astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lists, pa.binary())], names=["node", "words"])
 
@@ -245,62 +253,64 @@ def _comparer(least: float) -> Callable:
 
 
 def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, node (hash of its words), class_id (smallest doc_id of its class), kept.
+    """One row per document: doc_id, class_id (smallest doc_id of its class), kept.
 
-    Documents with the same words (letters and digits, case folded) are copies, one node. Nodes link if the shingles
-    of five words that an alignment matches are `least` or more of all shingles of both; classes are the connected
-    components. Texts under five words have copies only; null texts and texts without words are classes of their own.
-    kept marks the rows whose doc_id is the class_id. Null doc_ids and repeated rows are kept apart by nothing: equal
-    rows get equal answers. Other columns are ignored; an empty table gives no rows.
+    Documents with the same words (letters and digits, case folded) are copies, one node, told apart by 128 bits of
+    hash. Nodes link if the shingles of five words that an alignment matches are `least` or more of all shingles of
+    both; classes are the connected components. Texts under five words have copies only; null texts and texts without
+    words are classes of their own. kept marks the rows whose doc_id is the class_id. Null doc_ids and repeated rows are
+    kept apart by nothing: equal rows get equal answers. Other columns are ignored; an empty table gives no rows.
     """
     with_class = _classed(docs, least)
     smallest = written(with_class.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id")), "smallest")
     own = F.coalesce("class_id", "doc_id")
-    return with_class.join(smallest, "component", "left").select("doc_id", "node", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return with_class.join(smallest, "component", "left").select("doc_id", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:
-    """One row per document: doc_id, node and component (of its node; null without words)."""
-    signed = written(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, node long, keys array<long>"), "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
-    nodes = written(nodes, "nodes")
+    """One row per document: doc_id, h1 and h2 (of its words) and component (all null without words)."""
+    signed = written(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, h1 long, h2 long, keys array<long>"), "signatures")
+    nodes = signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(placed.groupBy("key").agg(F.count("node").alias("n")).where("n > 1"), "shared")
     members = written(placed.join(shared, "key"), "members")
-    wanted = written(nodes.select("node", F.col("doc_id").alias("_id")).join(members.select("node").distinct(), "node", "left_semi"), "wanted")
-    candidates = docs.select("doc_id", "text").join(_sent_if_small(wanted, 16), F.col("doc_id").eqNullSafe(F.col("_id")))
-    lists = written(candidates.select("node", "text").mapInArrow(_word_lists, "node long, words binary").dropDuplicates(["node"]), "words")
+    wanted = nodes.select("node", "h1", "h2", F.col("doc_id").alias("_id")).join(members.select("node").distinct(), "node", "left_semi")
+    wanted = written(wanted, "wanted")
+    candidates = docs.select("doc_id", "text").join(_sent_if_small(wanted, 32), F.col("doc_id").eqNullSafe(F.col("_id")))
+    lists = written(candidates.select("node", "h1", "h2", "text").mapInArrow(_word_lists, "node long, words binary").dropDuplicates(["node"]), "words")
     of = _linked(members, lists, least)
-    return written(signed.select("doc_id", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "classed")
+    named = written(nodes.select("node", "h1", "h2").join(of, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "named")
+    return written(signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left"), "classed")
 
 
 def without_near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of `docs`, with all columns, one of each class of `near_documents`: that of the smallest doc_id.
 
     Classes are told apart by their component, so unlike texts with one doc_id, or with none, all stay. A null doc_id
-    comes after the others; of a doc_id with several nodes in a class the smallest node stays, and of repeated rows of
-    that doc_id and node one.
+    comes after the others; of a doc_id with several nodes in a class the one with the smallest hashes stays, and of
+    repeated rows of that doc_id and node one. Null texts and texts without words stay.
     """
-    rows = written(_classed(docs, least).where("node IS NOT NULL").groupBy("doc_id", "node", "component").agg(F.count("node").alias("n")), "decided")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    chosen = rows.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.doc_id").alias("_least"), F.col("first.node").alias("_first"))
-    is_first = (F.col("node") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_least"))
-    decided = rows.join(written(chosen, "chosen"), "component").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "n", is_first.alias("first"))
-    dropped = written(decided.where("NOT first").select("_id", "_node"), "dropped")
-    again = written(decided.where("first AND n > 1").select("_id", "_node"), "again")
+    rows = written(_classed(docs, least).where("h1 IS NOT NULL").groupBy("doc_id", "h1", "h2", "component").agg(F.count("h1").alias("n")), "decided")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")
+    chosen = rows.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.doc_id").alias("_least"), F.col("first.h1").alias("_f1"), F.col("first.h2").alias("_f2"))
+    is_first = (F.col("h1") == F.col("_f1")) & (F.col("h2") == F.col("_f2")) & F.col("doc_id").eqNullSafe(F.col("_least"))
+    decided = rows.join(written(chosen, "chosen"), "component").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "n", is_first.alias("first"))
+    dropped = written(decided.where("NOT first").select("_id", "_h1", "_h2"), "dropped")
+    again = written(decided.where("first AND n > 1").select("_id", "_h1", "_h2"), "again")
     row = docs.select("doc_id", F.struct("*").alias("row"))
-    wide = f"doc_id long, node long, row {row.schema['row'].dataType.simpleString()}"
+    wide = f"doc_id long, h1 long, h2 long, row {row.schema['row'].dataType.simpleString()}"
     noted = row.mapInArrow(_noted, wide)
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))
-    stay = noted.join(_sent_if_small(dropped, 24), match, "left_anti")
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    stay = noted.join(_sent_if_small(dropped, 32), match, "left_anti")
     if again.isEmpty():
         return stay.select("row.*")
-    again = _sent_if_small(again, 24)
-    one = stay.join(again, match, "left_semi").dropDuplicates(["doc_id", "node"])
+    again = _sent_if_small(again, 32)
+    one = stay.join(again, match, "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     return stay.join(again, match, "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes = [_sequence_hash(found) if len(found) else None for _, found in _each(batch.column(1).field("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1)], names=["doc_id", "node", "row"])
+        hashes = [_sequence_hashes(found) if len(found) else None for _, found in _each(batch.column(1).field("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *_hash_columns(hashes), batch.column(1)], names=["doc_id", "h1", "h2", "row"])

@@ -66,7 +66,7 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_documents(_table(spark, sf_dir, "documents")).drop("node")
+    return minhash_dedup.near_documents(_table(spark, sf_dir, "documents"))
 
 
 @_query
