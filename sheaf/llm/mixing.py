@@ -45,8 +45,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return ranked.select("source", "source_rank", "source_size", target.alias("target"))
 
 
-def _keyed(df: DataFrame, seed: int) -> DataFrame:
-    return df.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "source"))
+def _key(seed: int) -> Column:
+    """The place of a document in its source: random, the same in every run, and spread where one id has many texts."""
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("_key")
 
 
 def _budgeted(targets: DataFrame) -> DataFrame:
@@ -64,13 +65,13 @@ def mix(
     Columns doc_id, source, size, source_size, target, epochs, taken. Sizes count words (null text: 0). A source's
     documents come in the order of hash-random keys; each whole pass takes all of them, and the last pass is cut where
     the source's rounded target is met, inside a document if need be, so taken words sum to it exactly. Keys depend on
-    doc_id and source alone: reruns agree. Rows that tie on key, doc_id and size are alike here. Null doc_ids and
+    doc_id, source and text alone: reruns agree. Rows that tie on key, doc_id and size are alike here. Null doc_ids and
     sources are values of their own; other columns are ignored; an empty table gives no rows.
     """
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed)), "mix-sizes")
     targets = written(_budgeted(source_targets(sizes, weights, share, cap)), "mix-targets")
     named = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    summed = running_totals(_keyed(named, seed), ORDER, {"_before": "size"}, "source_rank")
+    summed = running_totals(named, ORDER, {"_before": "size"}, "source_rank")
     partial = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("_rest") - F.col("_before")))
     return summed.select(
         "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + partial).alias("taken")
@@ -83,16 +84,18 @@ def mixed_rows(
     """The mixed documents: each row as often as the mix takes it, with the columns of `docs`, whatever their names.
 
     The cut of a source's last pass is a place in its key order, so wide rows meet only one small row per source and
-    are never sorted. Documents stay whole: the one on which the budget ends is in if at least half of it fits.
+    are never sorted. Documents stay whole: the one on which the budget ends is in if at least half of it fits. Null
+    and empty texts have no words and come as often as the whole passes, and once more before the cut; equal rows fare
+    alike. Null doc_ids and sources are values of their own; an empty table gives no rows.
     """
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed)), "mix-sizes")
     targets = written(_budgeted(source_targets(sizes, weights, share, cap)), "mix-targets")
     named = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    summed = running_totals(_keyed(named, seed), ORDER, {"_before": "size"}, "source_rank")
+    summed = running_totals(named, ORDER, {"_before": "size"}, "source_rank")
     out = (F.col("_rest") <= 0) | (F.col("_before") + F.col("size") / 2 > F.col("_rest"))
     cuts = summed.where(out).groupBy("source_rank").agg(F.min(_place()).alias("cut"))
     plan = targets.join(cuts, "source_rank", "left").select(F.col("source").alias("of"), "epochs", "cut")
-    rows = _keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row")), seed)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed), F.struct("*").alias("row"))
     joined = rows.join(written(plan, "mix-plan"), F.col("source").eqNullSafe(F.col("of")))
     copies = F.col("epochs") + F.when(F.col("cut").isNull() | (_place() < F.col("cut")), 1).otherwise(0)
     repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int"))))
