@@ -9,30 +9,22 @@ from sheaf.llm import decontaminate, language_id, minhash_dedup, mixing, shardin
 from sheaf.sources.scratch import written
 
 
-#: Rows per Arrow batch: documents are wide, and a batch is held several times over between the JVM and Python.
-BATCH_ROWS = "500"
-
-
-def _settled(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are rejected as far from every language go; the model learns from the labelled documents."""
-    _settled(spark)
+    """Documents that are rejected as far from every language go; the model learns from the labelled documents.
+
+    Null texts and texts without a letter have no language and go too.
+    """
     return language_id.accepted(docs, language_id.fit(docs, F.xxhash64(F.lit("language"), "doc_id", "text")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    _settled(spark)
     return minhash_dedup.without_near_documents(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.without_contaminated(docs, _settled(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
