@@ -14,14 +14,16 @@ from sheaf.llm import words as W
 from sheaf.sources.scratch import written
 
 #: Tokens that a task counts before it passes its counts on.
-FLUSH = 3 << 20
+FLUSH = 3 << 19
 #: Training text per bucket of n-grams: a bucket, its filter segment and its counts stay of bounded size.
 BUCKET_BYTES = 8 << 20
 #: A model up to this size is sent to all workers whole; beyond, texts' n-grams travel to the buckets.
 BROADCAST_BYTES = 256 << 20
+#: Bytes of the model, about, that come to the driver at a time.
+PIECE_BYTES = 16 << 20
 #: Probes of the first level and of each further one; a filter of 1 / ln 2 bits per probe errs upwards once in 2 to the
 #: power of the probes.
-PROBES, MORE_PROBES = 10, 6
+PROBES, MORE_PROBES = 8, 6
 #: Weight of the bigram estimate.
 BIGRAM_WEIGHT = 0.6
 MOST_LEVELS = 40
@@ -110,7 +112,8 @@ def _parts(found: np.ndarray, before: np.ndarray, bits: int) -> pa.RecordBatch:
 
 
 def _joined(group: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(group.column(column).to_pylist()), kind)
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in group.column(column)]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _segment(bits: int) -> Callable:
@@ -123,6 +126,7 @@ def _segment(bits: int) -> Callable:
         else:
             rows = [(kind, bucket, len(hashes), int(counts.sum()), _filter(hashes, counts), b"", b"")]
             histories, sums, _ = _counted(_joined(group, "befores", np.uint64)[at], _LEVEL_COUNTS[levels_of(counts)])
+            sums = np.minimum(sums, (1 << 32) - 1).astype(np.uint32)  # a bucket holds far fewer n-grams
             rows += [(HISTORY, k, b - a, 0, histories[a:b].tobytes(), b"", sums[a:b].tobytes()) for k, a, b in _by_bucket(histories, bits)]
         return pa.table(_rows(rows, _SEGMENT), names=list(_SEGMENT))
 
@@ -134,7 +138,7 @@ def _with_sums(group: pa.Table) -> pa.Table:
     kinds = group.column("kind").to_numpy()
     own, of = group.filter(pa.array(kinds == UNIGRAM)), group.filter(pa.array(kinds == HISTORY))
     hashes, counts = _joined(own, "hashes", np.uint64), _joined(own, "counts", np.int64)
-    histories, sums, _ = _counted(_joined(of, "hashes", np.uint64), _joined(of, "sums", np.int64))
+    histories, sums, _ = _counted(_joined(of, "hashes", np.uint64), _joined(of, "sums", np.uint32).astype(np.int64))
     every = np.union1d(hashes, histories)  # START is a history and no token
     row = (UNIGRAM, group.column("bucket")[0].as_py(), len(hashes), int(counts.sum()), every.tobytes(), _looked_up(hashes, counts, every).tobytes(), _looked_up(histories, sums, every).tobytes())
     return pa.table(_rows([row], _SEGMENT), names=list(_SEGMENT))
@@ -187,7 +191,7 @@ def train(docs: DataFrame) -> DataFrame:
     parts = docs.select("text").mapInArrow(_counter(bits), _PART_SQL)
     first = written(parts.groupBy("kind", "bucket").applyInArrow(_segment(bits), _SEGMENT_SQL), "lm-first")
     whole = first.where(F.col("kind") != BIGRAM).groupBy("bucket").applyInArrow(_with_sums, _SEGMENT_SQL)
-    return written(first.where(F.col("kind") == BIGRAM).unionByName(whole), "lm")
+    return first.where(F.col("kind") == BIGRAM).unionByName(written(whole, "lm"))
 
 
 def _looked_up(sorted_hashes: np.ndarray, values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -240,8 +244,9 @@ def score(docs: DataFrame, model: DataFrame, n_texts: int) -> DataFrame:
     singles = sizes.get(UNIGRAM)
     totals = (int(singles["n"]), int(singles["v"]), n_texts) if singles else (0, 0, 0)
     rows = docs.select("doc_id", "held_out", "text")
-    if sum(r["bytes"] for r in sizes.values()) <= BROADCAST_BYTES:
-        shared = docs.sparkSession.sparkContext.broadcast(_assembled(model))
+    size = sum(r["bytes"] for r in sizes.values())
+    if size <= BROADCAST_BYTES:
+        shared = docs.sparkSession.sparkContext.broadcast(_assembled(model, size))
         return rows.mapInArrow(_scorer(shared, totals), _SCORED)
     return _scored_by_buckets(rows, model, totals)
 
@@ -249,22 +254,25 @@ def score(docs: DataFrame, model: DataFrame, n_texts: int) -> DataFrame:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _assembled(model: DataFrame) -> dict:
-    """The model as plain arrays; the pieces go as they are joined."""
-    got = model.toArrow().sort_by([("kind", "ascending"), ("bucket", "ascending")])
-    kinds = got.column("kind").to_numpy()
-    single, pair = (got.filter(pa.array(kinds == kind)) for kind in (UNIGRAM, BIGRAM))
-    del got
-    buckets = pair.column("bucket").to_numpy()
-    n = 1 << max(0, int(buckets.max(initial=0))).bit_length()
+def _assembled(model: DataFrame, size: int) -> dict:
+    """The model as plain arrays. It comes in pieces of some buckets, which go as they are joined."""
+    n = 1 << int(model.agg(F.coalesce(F.max("bucket"), F.lit(0))).first()[0]).bit_length()
+    pieces = min(n, math.ceil(size / PIECE_BYTES)) or 1
     sizes, offsets = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-    sizes[buckets] = [8 * len(x.as_buffer()) for x in pair.column("hashes")]
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("hashes", "counts", "sums", "bits")}
+    for k in range(pieces):
+        got = model.where(F.col("bucket").between(k * n // pieces, (k + 1) * n // pieces - 1)).toArrow().sort_by("bucket")
+        single, pair = (got.filter(pa.array(got.column("kind").to_numpy() == kind)) for kind in (UNIGRAM, BIGRAM))
+        sizes[pair.column("bucket").to_numpy()] = [8 * len(x.as_buffer()) for x in pair.column("hashes")]
+        parts["bits"].append(_joined(pair, "hashes", np.uint8))
+        parts["hashes"].append(_joined(single, "hashes", np.uint64))
+        for c in ("counts", "sums"):
+            parts[c].append(_joined(single, c, np.int64))
     offsets[1:] = np.cumsum(sizes)[:-1]
-    bits = _joined(pair, "hashes", np.uint8)
-    del pair
-    small = lambda x: x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
-    counts, sums = (small(_joined(single, c, np.int64)) for c in ("counts", "sums"))
-    return {"hashes": _joined(single, "hashes", np.uint64), "counts": counts, "sums": sums, "bits": bits, "sizes": sizes, "offsets": offsets}
+    whole = {c: np.concatenate(parts.pop(c)) for c in list(parts)}
+    for c in ("counts", "sums"):
+        whole[c] = whole[c].astype(np.uint32) if whole[c].max(initial=0) < 1 << 32 else whole[c]
+    return whole | {"sizes": sizes, "offsets": offsets}
 
 
 def _level_lookup(model: dict) -> Callable:
