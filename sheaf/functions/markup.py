@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions import text as T
+from sheaf.functions.values import let
+
 
 def single_braces(text: Column) -> Column:
     r"""Repeated escaped braces as one: \{\{ is \{."""
@@ -35,9 +38,34 @@ def formula_body(text: Column) -> Column:
 
 
 def formula_block(text: Column) -> Column:
-    """A formula as a block of its own; text with inline delimiters only and empty text stay."""
-    body = formula_body(single_braces(text))
-    return F.when(F.trim(text) == "", text).otherwise(F.concat(F.lit("$$\n"), body, F.lit("\n$$")))
+    r"""A formula as a block of its own, $$ on lines of their own around it.
+
+    The first rule that holds decides: a lone $$ of a line goes; $$ or \[ \] around the whole give a block, unless more
+    dollars stand inside; text with \[ \] in a line, with inline formulas or without LaTeX stays; other LaTeX becomes a
+    block, without its preamble and without back quotes around it. White space at the ends always goes.
+    """
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    inside = lambda x: strip(F.call_function("substring", x, F.lit(3), F.greatest(F.length(x) - 4, F.lit(0))))
+    block = lambda x: F.concat(F.lit("$$\n"), x, F.lit("\n$$"))
+    dollars = F.lit("$$")
+
+    def paired(x: Column) -> Column:
+        one_line = ~F.contains(x, F.lit("\n"))
+        opens, closes = F.startswith(x, dollars), F.endswith(x, dollars)
+        opened = F.when(opens & ~closes & one_line, F.regexp_replace(x, r"(?U)^\$\$\s*", ""))
+        return opened.when(closes & ~opens & one_line, F.regexp_replace(x, r"(?U)\s*\$\$$", "")).otherwise(x)
+
+    def decided(x: Column) -> Column:
+        bare = F.when(F.contains(x, F.lit("usepackage")), T.without_preamble(x)).otherwise(x)
+        unquoted = F.regexp_replace(bare, r"(?s)^`(.*)`$", "$1")
+        return (
+            F.when(F.startswith(x, dollars) & F.endswith(x, dollars), F.when(F.contains(inside(x), F.lit("$")), x).otherwise(block(inside(x))))
+            .when(x.rlike(r"(?s)^\\\[.*\\\]$"), block(inside(x)))
+            .when(x.rlike(r"\\\[.*\\\]") | x.rlike(r"\$[^$]+\$") | ~T.has_latex(x), x)
+            .otherwise(block(unquoted))
+        )
+
+    return let(single_braces(strip(text)), lambda x: let(paired(x), decided))
 
 
 def without_images(markdown: Column) -> Column:
@@ -60,17 +88,48 @@ def compact_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r">\s+<", "><"), r"\s+", " "))
 
 
-def safe_component(name: Column, most: int = 120) -> Column:
-    """A path component of safe characters; a long one is cut and told apart by its md5."""
-    safe = F.regexp_replace(F.regexp_replace(name, r'(?U)[^\w.\-()\[\] ]', "_"), r"^[. ]+|[. ]+$", "")
-    safe = F.when(safe == "", "_").otherwise(safe)
-    return F.when(F.octet_length(safe) > most, F.concat(F.left(safe, F.lit(most // 2)), F.lit("_"), F.left(F.md5(name.cast("binary")), F.lit(8)))).otherwise(safe)
+# Bytes of a file name and of a path, what is kept free of each, and characters that names can't hold.
+NAME_MOST, PATH_MOST, NAME_FREE, PATH_FREE = 255, 4096, 4, 12
+UNSAFE_IN_NAMES = r'[:*?"<>|]'
+
+
+def safe_component(name: Column) -> Column:
+    """A path component without characters that names can't hold; blank or null is `unnamed`."""
+    bare = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+    safe = F.regexp_replace(F.replace(bare, F.lit("/"), F.lit("_")), UNSAFE_IN_NAMES, "_")
+    return F.when(F.coalesce(bare, F.lit("")) == "", "unnamed").otherwise(safe)
+
+
+def local_path(key: Column, base_bytes: int = 0) -> Column:
+    """An object key as a relative path below a folder whose own path has `base_bytes` bytes.
+
+    Two dots and slashes in front go; parts are trimmed and made safe, blank ones are `unnamed`, single dots are no
+    part. A file name or path too long for the system loses the end of its stem, and eight digits of the key's md5 tell
+    it apart.
+    """
+    bare = F.regexp_replace(F.replace(F.coalesce(key, F.lit("")), F.lit(".."), F.lit("")), "^/+", "")
+    safe = F.when(bare == "", "unnamed").otherwise(bare)
+
+    def part(p: Column) -> Column:
+        cleaned = F.regexp_replace(F.regexp_replace(p, r"(?U)^\s+|\s+$", ""), UNSAFE_IN_NAMES, "_")
+        return F.when(cleaned == "", "unnamed").otherwise(cleaned)
+
+    def shortened(k: Column, parts: Column) -> Column:
+        name = F.element_at(parts, -1)
+        suffix = F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]*)$", 1)
+        stem = F.left(name, F.length(name) - F.length(suffix))
+        room = F.greatest(F.lit(8), F.lit(NAME_MOST - 8 - 2) - F.octet_length(suffix))
+        fits = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(NAME_MOST)), lambda n: F.octet_length(F.left(stem, n)) <= room))
+        cut = F.when(F.octet_length(stem) > room, F.regexp_replace(F.left(stem, fits), r"[_\-. ]+$", "")).otherwise(stem)
+        new = F.concat(F.when(cut == "", "file").otherwise(cut), F.lit("_"), F.left(F.md5(k.cast("binary")), F.lit(8)), suffix)
+        return F.array_append(F.slice(parts, F.lit(1), F.size(parts) - 1), new)
 
+    def pathed(k: Column, parts: Column) -> Column:
+        whole = F.array_join(F.filter(parts, lambda p: p != "."), "/")
+        long = (F.octet_length(whole) + base_bytes > PATH_MOST - PATH_FREE) | (F.octet_length(F.element_at(parts, -1)) > NAME_MOST - NAME_FREE)
+        return F.when(long, F.array_join(F.filter(shortened(k, parts), lambda p: p != "."), "/")).otherwise(whole)
 
-def local_path(key: Column) -> Column:
-    """An object key as a relative path of safe components; empty, here and up are no components."""
-    parts = F.filter(F.split(key, r"[/\\]", -1), lambda p: ~p.isin("", ".", ".."))
-    return F.array_join(F.transform(parts, lambda p: safe_component(p)), "/")
+    return let(safe, lambda k: let(F.transform(F.split(k, "/", -1), part), lambda parts: pathed(k, parts)))
 
 
 def output_stem(key: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheaf.functions import vocab
+from sheaf.functions.values import let
 
 
 def any_fragment(text: Column, fragments: tuple[str, ...]) -> Column:
@@ -52,11 +53,7 @@ def is_transient(message: Column) -> Column:
 
 def plain_text(markdown: Column) -> Column:
     """Markdown without code, images, link targets, tags and marks; runs of white space are one space. Order matters."""
-    steps = (
-        (r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"<[^>]+>", " "), (r"[#*_>]", " "), (r"(?U)\s+", " "),
-    )
-    for pattern, new in steps:
+    for pattern, new in (*vocab.PLAIN_STEPS, (r"(?U)\s+", " ")):
         markdown = F.regexp_replace(markdown, pattern, new)
     return markdown
 
@@ -72,13 +69,23 @@ def estimated_words(actual: Column, sampled: Column, total: Column) -> Column:
 
 
 def script_language(text: Column) -> Column:
-    """The language with most letters of its own set; ties by fixed order; Others without any letter."""
-    counts = [
-        F.struct(F.regexp_count(text, F.lit(f"[{vocab.LANGUAGE_LETTERS[name]}]")).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name"))
-        for k, name in enumerate(vocab.LANGUAGE_ORDER)
-    ]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["name"]).otherwise("Others")
+    """The language with most letters of its own set; ties by fixed order; Others without any letter.
+
+    The text is read twice: for its ASCII letters, and for what is not ASCII, usually little, in which the other sets
+    are counted. A language with the letters of an earlier one never wins and isn't counted.
+    """
+    sets = [vocab.LANGUAGE_LETTERS[name] for name in vocab.LANGUAGE_ORDER]
+    firsts = [(k, name) for k, name in enumerate(vocab.LANGUAGE_ORDER) if sets[k] not in sets[:k]]
+    ascii_letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
+
+    def best_of(read: Column) -> Column:
+        count = lambda name: read["n"] if vocab.LANGUAGE_LETTERS[name].isascii() else F.regexp_count(read["rest"], F.lit(f"[{vocab.LANGUAGE_LETTERS[name]}]"))
+        counts = F.array(*(F.struct(count(name).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, name in firsts))
+        none = F.struct(read["n"].alias("n"), F.lit(0).alias("k"), F.lit("English").alias("name"))
+        best = F.when(F.coalesce(read["rest"], F.lit("")) == "", none).otherwise(F.array_max(counts))
+        return F.when(best["n"] > 0, best["name"]).otherwise("Others")
+
+    return let(F.struct(ascii_letters.alias("n"), F.regexp_replace(text, r"[\x00-\x7F]+", "").alias("rest")), best_of)
 
 
 def has_table(text: Column) -> Column:
@@ -90,7 +97,7 @@ def has_table(text: Column) -> Column:
         lambda acc, line: F.when(line.rlike(r"^\s*\|.*\|\s*$"), F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most"))).otherwise(F.struct(F.lit(0).alias("now"), acc["most"].alias("most"))),
         lambda acc: acc["most"],
     )
-    return (run >= 3) | text.rlike(r"(?is)<table\b.*?>.*?</table>")
+    return (F.contains(text, F.lit("|")) & (run >= 3)) | text.rlike(r"(?is)<table\b.*?>.*?</table>")
 
 
 def has_image(text: Column) -> Column:
@@ -98,11 +105,11 @@ def has_image(text: Column) -> Column:
 
 
 def has_latex(text: Column) -> Column:
-    return text.rlike(r"(?s)\$\$.*?\$\$|\$[^$\n]+?\$|\\[a-zA-Z]+|\\\[.*?\\\]|\\\(.*?\\\)")
+    return text.rlike(vocab.LATEX)
 
 
 def without_preamble(latex: Column) -> Column:
-    for pattern in (r"\\documentclass\{[^}]+\}", r"\\usepackage\{[^}]+\}", r"\\usepackage\[[^\]]*\]\{[^}]+\}", r"\\begin\{document\}", r"\\end\{document\}"):
+    for pattern in vocab.LATEX_PREAMBLE:
         latex = F.regexp_replace(latex, "(?i)" + pattern, "")
     return latex
 
@@ -124,17 +131,25 @@ def human_bytes(size: Column) -> Column:
 
 
 def joined_pair(left: Column, right: Column) -> Column:
-    """Two text blocks as one: a hyphen at the break goes, ASCII letters or digits on both sides get a space."""
-    a, b = F.rtrim(left), F.ltrim(right)
-    hyphen = a.rlike("[A-Za-z]-$") & b.rlike("^[a-z]")
-    spaced = a.rlike("[A-Za-z0-9,.;:!?)]$") & b.rlike("^[A-Za-z0-9(]")
+    """Two text blocks as one: a hyphen before a letter goes, ASCII letters or digits on both sides get a space."""
+    a, b = F.regexp_replace(left, r"(?U)\s+$", ""), F.regexp_replace(right, r"(?U)^\s+", "")
+    hyphen = F.endswith(a, F.lit("-")) & (F.length(a) > 1) & b.rlike("^[a-zA-Z]")
+    spaced = a.rlike("[a-zA-Z0-9]$") & b.rlike("^[a-zA-Z0-9]")
     return F.when(hyphen, F.concat(F.left(a, F.length(a) - 1), b)).when(spaced, F.concat(a, F.lit(" "), b)).otherwise(F.concat(a, b))
 
 
 def ends_sentence(text: Column) -> Column:
-    """Whether the text ends a sentence, closing quotes and brackets aside."""
-    closers, ends = "\"'”’)\\]}）】》」』", ".!?。！？…;；:："
-    return F.regexp_replace(F.rtrim(text), f"[{closers}\\s]+$", "").rlike(f"[{ends}]$")
+    """Whether the text ends a sentence, closing quotes and brackets aside; closers alone do, an empty text doesn't."""
+    bare = F.regexp_replace(text, f"(?U)[{vocab.CLOSERS}\\s]+$", "")
+    return F.when(text == "", False).otherwise((bare == "") | bare.rlike(f"[{vocab.SENTENCE_ENDS}]$"))
+
+
+def goes_on(first: Column, second: Column) -> Column:
+    """Whether a text block goes on in the next one."""
+    a, b = F.regexp_replace(first, r"(?U)\s+$", ""), F.regexp_replace(second, r"(?U)^\s+", "")
+    halts = (a == "") | (b == "") | a.rlike("[0-9]$") | ends_sentence(first) | (a.rlike("[a-zA-Z]$") & second.rlike("[一-龥]"))
+    starts = second.rlike(f"^(?:{vocab.NEW_PARAGRAPH})") | b.rlike(r"^[-*•]") | first.rlike(vocab.CONTENTS_ENTRY) | second.rlike(vocab.CONTENTS_ENTRY)
+    return F.coalesce(~halts & ~starts, F.lit(False))
 
 
 def author_score(text: Column) -> Column:

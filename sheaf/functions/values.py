@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECRET_KEYS = ("api_key", "token", "secret", "password", "authorization")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def whole_number(value: Column) -> Column:
     """A count out of a string: negative ones and what is no whole number are 0."""
     return F.greatest(F.coalesce(F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(value).try_cast("bigint")), F.lit(0)), F.lit(0)).cast("long")

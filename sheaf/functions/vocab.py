@@ -110,3 +110,18 @@ AUTHOR_INSTITUTIONS = (
     "Correspondence", "email", "e-mail", "Oncology", "Medicine", "Received", "Accepted",
 )
 AUTHOR_DEGREES = ("MD", "PhD", "PHD", "MPH", "MLIS", "MBA")
+
+# Patterns by which text blocks go on over a break, and the letters and marks around them.
+NEW_PARAGRAPH = r"\s*(#+|　　|[■●◆➢]|[(\[（【].*?[)\]）】]|\d+[.、)\s]|[a-zA-Z][.)\s]|[一二三四五六七八九十百千]+[、.)\s]|[①-⑳])"
+CONTENTS_ENTRY = r"[.…]{4,}"
+SENTENCE_ENDS = "。？！.?!"
+CLOSERS = "\"'”’』)）\\]"
+PATH_CATEGORIES = ("Picture", "Page-header", "Page-footer", "Section-header", "Footnote")
+
+# Patterns of Markdown marks, in the order in which they go.
+PLAIN_STEPS = (
+    (r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", " "), (r"[#*_>]", " "),
+)
+# Patterns of LaTeX in text, and of what stands before a document's body.
+LATEX = r"(?s)\$\$.*?\$\$|\$[^$\n]+?\$|\\[a-zA-Z]+|\\\[.*?\\\]|\\\(.*?\\\)"
+LATEX_PREAMBLE = (r"\\documentclass\{[^}]+\}", r"\\usepackage\{[^}]+\}", r"\\usepackage\[[^\]]*\]\{[^}]+\}", r"\\begin\{document\}", r"\\end\{document\}")

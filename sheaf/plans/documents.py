@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 from sheaf.functions import vocab
+from sheaf.functions.values import let
 from sheaf.plans.registry import query, table
 
 
@@ -69,8 +70,8 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = "text"
-for _pattern, _new in ((r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"<[^>]+>", " "), (r"[#*_>]", " "), (r"\s+", " ")):
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_new}', 'g')"
+for _pattern, _new in (*vocab.PLAIN_STEPS, (r"\s+", " ")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_new.replace('$1', chr(92) + '1')}', 'g')"
 
 
 @query("word_stats", f"""
@@ -97,12 +98,20 @@ def md_table_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dup_suppression", """
 SELECT doc_id, source FROM documents
-QUALIFY count(*) OVER (PARTITION BY source, text) < 2 OR row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1
+QUALIFY (count(*) OVER (PARTITION BY source, text) < 5 OR row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1)
+    AND (n_chars IS NULL OR row_number() OVER (PARTITION BY lang, n_chars, left(text, 64) ORDER BY doc_id) = 1)
 """)
 def dup_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of rows with the same source and text the first stays; texts meet as 128 bits of hash, not as texts."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("h1"), F.md5(F.col("text").cast("binary")).alias("h2"))
-    return rows.groupBy("source", "h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+    """Of five or more rows with one category and text the first stays, and of several with one box the first.
+
+    Sources stand in for categories, and (lang, n_chars, first characters) for boxes. Texts meet as 128 bits of hash.
+    """
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.xxhash64("text").alias("h1"), F.md5(F.col("text").cast("binary")).alias("h2"), "lang", "n_chars", F.left("text", F.lit(64)).alias("begins")
+    )
+    texts, boxes = Window.partitionBy("source", "h1", "h2"), Window.partitionBy("lang", "n_chars", "begins")
+    counted = rows.select("doc_id", "source", "n_chars", F.count("*").over(texts).alias("n"), F.row_number().over(texts.orderBy("doc_id")).alias("k"), F.row_number().over(boxes.orderBy("doc_id")).alias("b"))
+    return counted.where("(n < 5 OR k = 1) AND (n_chars IS NULL OR b = 1)").select("doc_id", "source")
 
 
 @query("author_block_score")
@@ -164,23 +173,46 @@ def markdown_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", F.array_join(F.col("p.body"), "\n\n").alias("markdown"), F.size("p").cast("long").alias("pages"))
 
 
-@query("text_merge_candidates", r"""
-WITH n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM (SELECT conv_id, turn, left(text, 40 + turn) AS text FROM conversations))
-SELECT conv_id, turn, length(CASE WHEN regexp_matches(a, '[A-Za-z]-$') AND regexp_matches(b, '^[a-z]') THEN left(a, length(a) - 1) || b
-       WHEN regexp_matches(a, '[A-Za-z0-9,.;:!?)]$') AND regexp_matches(b, '^[A-Za-z0-9(]') THEN a || ' ' || b ELSE a || b END) AS merged_chars
-FROM (SELECT *, rtrim(text) AS a, ltrim(following) AS b FROM n) WHERE following IS NOT NULL AND NOT regexp_matches(rtrim(text), '[.!?;:…]["'')}\]\s]*$')
-""")
-def text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring pages of which the first stops inside a sentence, and the length of the two as one."""
+_MERGE_PROBES = (
+    (-1, 0, "an exam-"), (-1, 1, "ple goes on, and"), (-1, 2, "stops."), (-1, 3, "Next"), (-1, 4, "1. listed"), (-1, 5, "wide 中"), (-1, 6, "文 words (so)"), (-1, 7, "and 7"), (-1, 8, "x"), (-1, 9, "- y"), (-1, 10, "no end,"), (-1, 11, "(a) z"), (-1, 12, "entry ..... "), (-1, 13, "end”"),
+)
+
+
+_MERGE = rf"""
+WITH every AS (SELECT conv_id, turn, text FROM (SOURCE)),
+n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM every),
+s AS (SELECT *, regexp_replace(text, '\s+$', '') AS a, regexp_replace(following, '^\s+', '') AS b, regexp_replace(text, '[{vocab.CLOSERS.replace("'", "''")}\s]+$', '') AS bare FROM n)
+SELECT conv_id, turn, length(CASE WHEN ends_with(a, '-') AND length(a) > 1 AND regexp_matches(b, '^[a-zA-Z]') THEN left(a, length(a) - 1) || b
+       WHEN regexp_matches(a, '[a-zA-Z0-9]$') AND regexp_matches(b, '^[a-zA-Z0-9]') THEN a || ' ' || b ELSE a || b END) AS merged_chars
+FROM s WHERE a <> '' AND b <> '' AND NOT regexp_matches(a, '[0-9]$') AND bare <> '' AND NOT regexp_matches(bare, '[{vocab.SENTENCE_ENDS}]$')
+  AND NOT (regexp_matches(a, '[a-zA-Z]$') AND regexp_matches(following, '[一-龥]')) AND NOT regexp_matches(following, '^(?:{vocab.NEW_PARAGRAPH})') AND NOT regexp_matches(b, '^[-*•]')
+  AND NOT regexp_matches(text, '{vocab.CONTENTS_ENTRY}') AND NOT regexp_matches(following, '{vocab.CONTENTS_ENTRY}')
+"""
+
+
+def _merged(turns: DataFrame) -> DataFrame:
+    """Neighbouring pages of which the first goes on in the second, and the length of the two as one."""
     follow = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", follow.alias("follow"))
-    cut = pairs.where(F.col("follow").isNotNull() & ~T.ends_sentence(F.col("text")))
-    return cut.select("conv_id", "turn", F.length(T.joined_pair(F.col("text"), F.col("follow"))).cast("long").alias("merged_chars"))
+    pairs = turns.select("conv_id", "turn", "text", follow.alias("follow")).where(T.goes_on(F.col("text"), F.col("follow")))
+    return pairs.select("conv_id", "turn", F.length(T.joined_pair(F.col("text"), F.col("follow"))).cast("long").alias("merged_chars"))
+
+
+@query("text_merge_candidates", _MERGE.replace("SOURCE", "SELECT * FROM conversations"))
+def text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(table(spark, sf_dir, "conversations"))
+
+
+@query("text_merge_rules", _MERGE.replace("SOURCE", "SELECT conv_id, turn, text FROM (VALUES " + ", ".join(f"({c}, {t}, {_quoted(x)})" for c, t, x in _MERGE_PROBES) + ") v(conv_id, turn, text) UNION ALL SELECT doc_id, k, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)"))
+def text_merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules on probes of every kind and on the lines of all documents."""
+    probes = spark.createDataFrame(_MERGE_PROBES, "conv_id long, turn long, text string")
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.posexplode(F.split("text", "\n", -1)).alias("turn", "text"))
+    return _merged(probes.union(lines.select("conv_id", (F.col("turn") + 1).cast("long").alias("turn"), "text")))
 
 
 @query("fixture_check", """
 WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
-d AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0 AND source IS NOT NULL)
+d AS (SELECT doc_id, text FROM documents)
 SELECT doc_id, item_id, contains(text, w[1]) AND contains(text, w[2]) AS has_fields,
        contains(text, w[1]) AND contains(substr(text, instr(text, w[1]) + length(w[1])), w[2]) AS in_order
 FROM d, b WHERE contains(text, w[1]) AND len(w) >= 2
@@ -288,35 +320,49 @@ def taxonomy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("p_partkey", F.coalesce("known", "first").alias("matched"), F.col("known").isNotNull().alias("exact"))
 
 
-SEEDS = 16
+#: Hash functions of a signature, and the prime that bounds them: function k is (h * _factor(k) + k) modulo PRIME.
+SEEDS, PRIME = 64, 2**31 - 1
+
+
+def _factor(seed: int) -> int:
+    return seed * 2654435761 % PRIME
 
 
-@query("minhash_label_match", f"""
-WITH lab AS (SELECT DISTINCT p_type AS label FROM part),
-texts AS (SELECT 'd' || p_partkey AS id, p_name AS t FROM part UNION ALL SELECT 'l' || label, label FROM lab),
-sh AS (SELECT DISTINCT id, substr(lower(t), i, 3) AS s FROM (SELECT id, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM texts)),
-sig AS (SELECT id, seed, min(md5(seed || ':' || s)) AS m FROM sh, (SELECT unnest(range({SEEDS})) AS seed) GROUP BY ALL),
-sc AS (SELECT d.id AS doc, substr(l.id, 2) AS label, count(*) AS agree FROM sig d JOIN sig l USING (seed, m) WHERE d.id LIKE 'd%' AND l.id LIKE 'l%' GROUP BY ALL)
-SELECT CAST(substr(doc, 2) AS BIGINT) AS p_partkey, label, agree FROM sc QUALIFY row_number() OVER (PARTITION BY doc ORDER BY agree DESC, label) = 1
+@query("minhash_label_match", rf"""
+WITH lab AS (SELECT trim(p_type) AS label, min(p_partkey) AS pos FROM part WHERE trim(p_type) <> '' GROUP BY 1),
+texts AS (SELECT 'd' || p_partkey AS id, p_name AS t FROM part WHERE trim(p_name) <> '' UNION ALL SELECT 'l' || label, label FROM lab),
+norm AS (SELECT id, regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS t FROM texts),
+sh AS (SELECT DISTINCT id, substr(t, i, 3) AS s FROM (SELECT id, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM norm)),
+h AS (SELECT id, CAST('0x' || left(md5(s), 12) AS BIGINT) % {PRIME} AS h FROM sh),
+sig AS (SELECT id, seed, min((h * (seed * 2654435761 % {PRIME}) + seed) % {PRIME}) AS m FROM h, (SELECT unnest(range(1, {SEEDS} + 1)) AS seed) GROUP BY ALL),
+sc AS (SELECT d.id AS doc, substr(l.id, 2) AS label, count(*) AS agree FROM sig d JOIN sig l USING (seed, m) WHERE d.id LIKE 'd%' AND l.id LIKE 'l%' GROUP BY ALL),
+best AS (SELECT doc, label, agree FROM sc JOIN lab USING (label) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY agree DESC, pos) = 1)
+SELECT p_partkey, coalesce(best.label, (SELECT arg_min(label, pos) FROM lab)) AS label, coalesce(agree, 0) AS agree
+FROM part LEFT JOIN best ON doc = 'd' || p_partkey WHERE trim(p_name) <> ''
 """)
 def minhash_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label that agrees with each text on most of its hash minima; ties go to the first label.
+    """The label that agrees with each text on most of 64 hash minima; ties, and texts that agree with none, get the
+    label that comes first.
 
-    Signatures meet by (seed, minimum), an equi join, so labels that agree nowhere are never compared.
+    Every shingle is hashed once, and the 64 functions are arithmetic on that. Signatures meet by (seed, minimum), an
+    equi join, so labels that agree nowhere are never compared.
     """
     def signed(texts: DataFrame, key: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1)))
-        shingles = F.array_distinct(F.transform(starts, lambda k: F.call_function("substring", F.lower("t"), k, F.lit(3))))
-        rows = texts.select(key, shingles.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed"))
-        least = F.array_min(F.transform("s", lambda s: F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), s).cast("binary"))))
-        return rows.select(key, "seed", least.alias("m"))
+        bare = F.regexp_replace(F.lower("t"), r"(?U)[^\w]+", "")
+        shingles = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda k: F.call_function("substring", t, k, F.lit(3))))
+        hashed = F.transform(let(bare, shingles), lambda s: F.call_function("conv", F.left(F.md5(s.cast("binary")), F.lit(12)), F.lit(16), F.lit(10)).cast("long") % PRIME)
+        factors = F.array(*(F.struct(F.lit(k).alias("seed"), F.lit(_factor(k)).cast("long").alias("factor")) for k in range(1, SEEDS + 1)))
+        signature = F.transform(factors, lambda f: F.struct(f["seed"].alias("seed"), F.array_min(F.transform(F.col("h"), lambda x: (x * f["factor"] + f["seed"]) % PRIME)).alias("m")))
+        return texts.select(key, hashed.alias("h")).select(key, F.explode(signature).alias("x")).select(key, "x.seed", "x.m")
 
     part = table(spark, sf_dir, "part")
-    texts = signed(part.select("p_partkey", F.col("p_name").alias("t")), "p_partkey")
-    labels = signed(part.select(F.col("p_type").alias("label"), F.col("p_type").alias("t")).distinct(), "label")
-    agree = texts.join(labels, ["seed", "m"]).groupBy("p_partkey", "label").agg(F.count("seed").alias("agree"))
-    best = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("agree"), "label"))
-    return agree.withColumn("n", best).where("n = 1").drop("n")
+    asked = part.where("trim(p_name) <> ''").select("p_partkey", F.col("p_name").alias("t"))
+    labels = part.where("trim(p_type) <> ''").groupBy(F.trim("p_type").alias("label")).agg(F.min("p_partkey").alias("pos")).withColumn("t", F.col("label"))
+    found = signed(asked, "p_partkey").join(signed(labels, "label"), ["seed", "m"]).groupBy("p_partkey", "label").agg(F.count("seed").alias("agree"))
+    best = found.join(labels.select("label", "pos"), "label").groupBy("p_partkey").agg(F.min(F.struct(-F.col("agree"), "pos", "label")).alias("b"))
+    first = labels.agg(F.min_by("label", "pos").alias("first")).scalar()
+    named = asked.join(best, "p_partkey", "left")
+    return named.select("p_partkey", F.coalesce("b.label", first).alias("label"), F.coalesce(-F.col("b.col1"), F.lit(0)).cast("long").alias("agree"))
 
 
 @query("html_links", r"""

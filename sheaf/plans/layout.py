@@ -89,9 +89,9 @@ def title_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("near_dup_groups", """
-WITH v AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[k + 1] > 0 THEN 1::HUGEINT << k ELSE 0::HUGEINT END FOR k IN range(60)]) AS h FROM embeddings WHERE vec_id < 2000)
-SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h::BIGINT, b.h::BIGINT)) AS INTEGER) AS distance
-FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.h::BIGINT, b.h::BIGINT)) <= 18
+WITH v AS (SELECT vec_id, label, [x > 0 FOR x IN embedding] AS h FROM embeddings WHERE len(embedding) > 0 AND label IS NOT NULL)
+SELECT a.vec_id AS a, b.vec_id AS b, CAST(len(list_filter(list_zip(a.h, b.h), lambda x: x[1] <> x[2])) AS INTEGER) AS distance
+FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE len(list_filter(list_zip(a.h, b.h), lambda x: x[1] <> x[2])) <= 18
 """)
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image hashes of one group at most 18 bits apart; every vector and every component counts.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -15,7 +16,13 @@ def test_markup(spark):
     assert one(M.smart_joined(F.array(*map(F.lit, ("one", "two", "中", "3", "!"))))) == "one two中3!"
     assert one(M.on_one_line(F.lit("## A\n b\n\nc"), F.lit("Title"))) == "## A b c" and one(M.on_one_line(F.lit("a\nb"), F.lit("Table"))) == "a\nb"
     assert [one(M.formula_body(F.lit(x))) for x in ("$$ a $$", r"\[b\]", r"\( c \)", "$d$", "e")] == ["a", "b", "c", "d", "e"]
-    assert one(M.formula_block(F.lit("$x$"))) == "$$\nx\n$$" and one(M.formula_block(F.lit(" "))) == " "
+    cases = {
+        "$x$": "$x$", " ": "", " $$ x $$ ": "$$\nx\n$$", "$$ a $ b $$": "$$ a $ b $$", "$$ x": "x", r"\alpha $$": "$$\n\\alpha\n$$", "$$ x\ny": "$$ x\ny", r"\[ x \]": "$$\nx\n$$",
+        r"so \[x\] is": r"so \[x\] is", "plain prose": "plain prose", r"a \frac{1}{2}": "$$\na \\frac{1}{2}\n$$", r"`\beta`": "$$\n\\beta\n$$", r"\usepackage{x}\beta": "$$\n\\beta\n$$",
+        r"\{\{\beta\}": "$$\n\\{\\beta\\}\n$$", "$$": "$$\n\n$$",
+    }
+    for text, want in cases.items():
+        assert one(M.formula_block(F.lit(text))) == want, text
     assert one(M.without_images(F.lit("a\n\n![x](y)\n\nb"))) == "a\n\nb"
     assert one(M.without_fences(F.lit("```json\n{}\n```"))) == "{}" and one(M.without_fences(F.lit("x ``` y"))) == "x ``` y"
     assert one(M.valid_escapes(F.lit(r'"\d\n"'))) == r'"\\d\n"'
@@ -24,9 +31,14 @@ def test_markup(spark):
 
 def test_paths_and_times(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(M.local_path(F.lit("a/../b?c//./d e.pdf"))) == "a/b_c/d e.pdf"
-    long = one(M.safe_component(F.lit("x" * 300)))
-    assert len(long) == 69 and long == one(M.safe_component(F.lit("x" * 300))) and one(M.safe_component(F.lit("..."))) == "_"
+    cases = {
+        "a/../b?c//./d e.pdf": "a/unnamed/b_c/unnamed/d e.pdf", "": "unnamed", "..": "unnamed", "//x/ y /z": "x/y/z", "a/..b": "a/b", None: "unnamed",
+        "d/" + "x" * 300 + ".pdf": "d/" + "x" * (255 - 4 - 10) + "_" + hashlib.md5(("d/" + "x" * 300 + ".pdf").encode()).hexdigest()[:8] + ".pdf",
+        "é" * 200: "é" * (245 // 2) + "_" + hashlib.md5(("é" * 200).encode()).hexdigest()[:8],
+    }
+    for key, want in cases.items():
+        assert one(M.local_path(F.lit(key))) == want, key
+    assert [one(M.safe_component(F.lit(x))) for x in (" a/b:c ", "...", " ", None)] == ["a_b_c", "...", "unnamed", "unnamed"]
     assert one(M.output_stem(F.lit("a/b.c.pdf"))).startswith("b.c_") and one(M.output_stem(F.lit("x/b.pdf"))) != one(M.output_stem(F.lit("y/b.pdf")))
     assert one(M.bare_identifier(F.lit(" 978 1 "))) == "9781" and one(M.bare_identifier(F.lit("  "))) is None
     want = datetime.datetime(2024, 1, 2, 3, 4, 5)
