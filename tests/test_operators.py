@@ -67,10 +67,21 @@ def test_formulas():
     assert labels == ["inline_formula", "display_formula", "text"]
 
 
-def test_overlaps():
+BOXES = "array<struct<label: string, score: double, bbox: array<double>>>"
+
+
+def stay(spark, boxes, **how):
+    page = spark.createDataFrame([([(b["label"], b["score"], b["bbox"]) for b in boxes],)], f"b {BOXES}")
+    return [b["label"] for b in page.select(layout.without_overlaps(F.col("b"), **how)).first()[0]]
+
+
+def test_overlaps(spark):
     boxes = [box("text", 0, 0, 3, 50), box("text", 0, 0, 50, 50), box("text", 0, 0, 40, 40), box("table", 0, 0, 45, 45), box("image", 1, 1, 44, 44), box("reference", 0, 0, 90, 90)]
-    assert [b["label"] for b in layout.filtered_overlaps(boxes)] == ["text", "image"]
-    assert [b["label"] for b in layout.filtered_overlaps([box("image", 0, 0, 50, 50), box("table", 1, 1, 49, 49)])] == ["image", "table"]
+    assert stay(spark, boxes) == ["text", "image"]
+    assert stay(spark, [box("image", 0, 0, 50, 50), box("table", 1, 1, 49, 49)]) == ["image", "table"]
+    formula = [box("inline_formula", 0, 0, 10, 10), box("text", 0, 0, 10, 30), box("inline_formula", 50, 50, 52, 60)]
+    assert stay(spark, formula) == ["text"] and stay(spark, formula, drop_inline=False) == ["inline_formula", "text", "inline_formula"]
+    assert stay(spark, []) == [] and stay(spark, [box("text", 0, 0, 9, 9)] * 3) == ["text"]
 
 
 def cell(category, text, *bbox):
@@ -85,16 +96,31 @@ def test_captions():
 def test_text_goes_on():
     cells = [cell("Text", "an exam-"), cell("Text", "ple of a"), cell("Text", "merge."), cell("Text", "Next"), cell("Table", ""), cell("Text", "more 1"), cell("Text", "digit")]
     assert [c["text"] for c in layout.merged_text(cells)] == ["an example of a merge.", "Next", "", "more 1", "digit"]
-    pages = [[cell("Text", "this goes"), cell("Page-footer", "1")], [cell("Page-header", "x"), cell("Text", "on here.")], [cell("Text", "end")]]
-    assert [[c["text"] for c in p] for p in layout.merged_over_pages(pages)] == [["this goes on here.", "1"], ["x"], ["end"]]
+
+
+def merged(spark, *docs):
+    rows = [(d, p, i, c["category"], c["text"]) for d, pages in enumerate(docs) for p, page in enumerate(pages) for i, c in enumerate(page)]
+    out = layout.merged_over_pages(spark.createDataFrame(rows, "doc int, page int, i int, category string, text string")).orderBy("doc", "page", "i").collect()
+    return [[[r["text"] for r in out if (r["doc"], r["page"]) == (d, p)] for p in range(len(pages))] for d, pages in enumerate(docs)]
+
+
+def test_text_over_pages(spark):
+    goes = [[cell("Text", "this goes"), cell("Page-footer", "1")], [cell("Page-header", "x"), cell("Text", "on here.")], [cell("Text", "end")]]
     blocked = [[cell("Text", "this goes"), cell("Table", "t")], [cell("Text", "on here.")]]
-    assert layout.merged_over_pages(blocked) == blocked
+    header = [[cell("Text", "this goes")], [cell("Section-header", "1. new"), cell("Text", "on here.")]]
+    plain = [[cell("Text", "this goes")], [cell("Section-header", "more"), cell("Text", "on here.")]]
+    gap = [[cell("Text", "this goes")], [], [cell("Text", "on here.")]]
+    hyphen = [[cell("Text", "an exam-")], [cell("Text", "ple of"), cell("Text", "it goes")], [cell("Text", "on")]]
+    got = merged(spark, goes, blocked, header, plain, gap, hyphen)
+    assert got[0] == [["this goes on here.", "1"], ["x"], ["end"]]
+    assert got[1:3] == [[["this goes", "t"], ["on here."]], [["this goes"], ["1. new", "on here."]]]
+    assert got[3:] == [[["this goes on here."], ["more"]], [["this goes"], [], ["on here."]], [["an example of"], ["it goes on"], []]]
 
 
 def test_pages_in_spark(spark):
     schema = "page int, i int, label string, score double, bbox array<double>"
     rows = [(1, 0, "text", 0.5, [0.0, 0.0, 50.0, 50.0]), (1, 1, "text", 0.5, [0.0, 0.0, 40.0, 40.0]), (2, 0, "text", 0.5, [0.0, 0.0, 40.0, 40.0])]
-    out = layout.per_page(spark.createDataFrame(rows, schema), ["page"], layout.filtered_overlaps)
+    out = layout.per_page(spark.createDataFrame(rows, schema), ["page"], lambda boxes: boxes[:1])
     assert sorted((r["page"], r["i"]) for r in out.collect()) == [(1, 0), (2, 0)]
 
 
