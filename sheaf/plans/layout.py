@@ -46,7 +46,17 @@ def bbox_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("page", "i", "j", r(G.iou).alias("iou"), r(G.overlap).alias("overlap"), r(G.cover).alias("cover"))
 
 
-@query("nms_keep")
+@query("nms_keep", "WITH RECURSIVE" + _BOXES.strip().removeprefix("WITH") + """, o AS (SELECT page, i, x1, y1, x2, y2, row_number() OVER (PARTITION BY page ORDER BY score DESC, i) AS k FROM b),
+s AS (
+  SELECT DISTINCT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(i BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept FROM o
+  UNION ALL
+  SELECT o.page, o.k, CASE WHEN len(list_filter(s.kept, lambda q: greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1)) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1)) > 0.5 * (
+      (q.x2 - q.x1) * (q.y2 - q.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1)) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1))))) > 0
+    THEN s.kept ELSE list_append(s.kept, {'i': o.i, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}) END
+  FROM s JOIN o ON o.page = s.page AND o.k = s.k + 1
+)
+SELECT page, kept.i AS i FROM (SELECT page, unnest(kept) AS kept FROM (SELECT page, kept FROM s QUALIFY k = max(k) OVER (PARTITION BY page)))
+""")
 def nms_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = F.collect_list(F.struct("score", F.col("i").alias("index"), "bbox"))
     return _boxes(spark, sf_dir).groupBy("page").agg(boxes.alias("boxes")).select("page", F.explode(G.kept_boxes(F.col("boxes"), 0.5)).alias("i"))

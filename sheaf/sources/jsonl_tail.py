@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 SCHEMA = "file string, offset long, line string"
+#: Bytes of a file that one batch takes, about: whole lines, so a longer line is taken by itself.
+BATCH_BYTES = 16 << 20
 
 
 def complete_lines(path: str, offset: int) -> tuple[int, list[tuple[int, str]]]:
@@ -18,7 +20,9 @@ def complete_lines(path: str, offset: int) -> tuple[int, list[tuple[int, str]]]:
         return offset, []
     with open(path, "rb") as handle:
         handle.seek(offset)
-        body = handle.read()
+        body = handle.read(BATCH_BYTES)
+        while b"\n" not in body and (more := handle.read(BATCH_BYTES)):
+            body += more
     body = body[: body.rfind(b"\n") + 1]
     found, at = [], offset
     for line in body.splitlines(keepends=True):

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import valid_relative_path
+from sheaf.operators.prefix import running_totals
+from sheaf.sources.scratch import written
 
 
 def scan_directory(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
@@ -19,20 +21,24 @@ def scan_directory(spark: SparkSession, root: str, suffix: str = "pdf") -> DataF
 def read_manifest(spark: SparkSession, path: str, pdf_only: bool = True) -> DataFrame:
     """Manifest lines with their first violation in `problem` (null: a good row).
 
-    line_no counts from 1 over the files in name order. Types are strict: a number in quotes or with a point is none.
-    A relative path that occurred before is a duplicate; the first line keeps it.
+    line_no counts the lines of each file from 1, blank ones too. Types are strict: a number in quotes or with a point is
+    none. A relative path that occurred before, by file name and line, is a duplicate; the first line keeps it.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.lit(1).cast("long").alias("one"))
+    lines = written(lines, "manifest")
+    numbers = running_totals(lines.select("file", "at", "one"), ["at"], {"before": "one"}, "file").select("file", "at", (F.col("before") + 1).alias("line_no"))
+    lines = lines.join(numbers, ["file", "at"])
     doc = F.try_parse_json("value")
     kind = lambda key: F.schema_of_variant(F.try_variant_get(doc, f"$.{key}", "variant"))
     text = lambda key: F.try_variant_get(doc, f"$.{key}", "string")
     number = lambda key: F.try_variant_get(doc, f"$.{key}", "bigint")
     read = lines.where(F.trim("value") != "").select(
-        "file", "at", doc.isNotNull().alias("is_json"), text("input_path").alias("input_path"), text("relative_path").alias("relative_path"),
+        "file", "line_no", doc.isNotNull().alias("is_json"), text("input_path").alias("input_path"), text("relative_path").alias("relative_path"),
         number("size_bytes").alias("size_bytes"), number("mtime_ns").alias("mtime_ns"),
         ((kind("input_path") == "STRING") & (kind("relative_path") == "STRING")).alias("texts"), ((kind("size_bytes") == "BIGINT") & (kind("mtime_ns") == "BIGINT")).alias("numbers"),
     )
-    again = F.row_number().over(Window.partitionBy("relative_path").orderBy("file", "at")) > 1
+    own = F.coalesce("relative_path", F.concat_ws(":", "file", F.col("line_no").cast("string")))  # lines without a path don't meet
+    again = F.row_number().over(Window.partitionBy(F.col("relative_path").isNull(), own).orderBy("file", "line_no")) > 1
     good_path = valid_relative_path(F.col("relative_path")) if pdf_only else valid_relative_path(F.concat("relative_path", F.lit(".pdf")))
     yes = lambda c: F.coalesce(c, F.lit(False))
     problem = (
@@ -40,7 +46,7 @@ def read_manifest(spark: SparkSession, path: str, pdf_only: bool = True) -> Data
         .when(~yes(F.col("numbers")) | (F.col("size_bytes") < 0) | (F.col("mtime_ns") < 0), "bad_number").when(~F.startswith("input_path", F.lit("/")), "input_path_not_absolute")
         .when(~good_path, "bad_relative_path").when(again, "duplicate_path")
     )
-    return read.select("file", "at", "input_path", "relative_path", "size_bytes", "mtime_ns", problem.alias("problem"))
+    return read.select("file", "line_no", "input_path", "relative_path", "size_bytes", "mtime_ns", problem.alias("problem"))
 
 
 def read_spool(spark: SparkSession, path: str) -> DataFrame:

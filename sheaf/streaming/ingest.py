@@ -19,13 +19,15 @@ def parsed(lines: DataFrame) -> DataFrame:
 def deduplicated(events: DataFrame, horizon: str = "1 day") -> DataFrame:
     """Drops repeats within the horizon; the batch form has none, see `operators.events.first_seen`.
 
-    Events that can't repeat get a key of their own, so one stateful operator serves all.
+    Events that can't repeat go round the stateful operator and leave nothing in its state.
     """
     payload = F.col("payload")
     repeats = payload["file_path"].isNotNull() & (F.col("type").isin("file_started", "file_done", "file_failed") | ((F.col("type") == "page_done") & payload["page_no"].isNotNull()))
     page = F.when(F.col("type") == "page_done", payload["page_no"].cast("string"))
-    key = F.when(repeats, F.concat_ws("\x1f", "job_id", "type", payload["file_path"], page)).otherwise(F.uuid())
-    return events.withColumn("_key", key).withWatermark("created_at", horizon).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    repeats = F.coalesce(repeats, F.lit(False))
+    keyed = events.where(repeats).withColumn("_key", F.concat_ws("\x1f", "job_id", "type", payload["file_path"], page))
+    once = keyed.withWatermark("created_at", horizon).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    return once.unionByName(events.where(~repeats))
 
 
 def running_counts(events: DataFrame) -> DataFrame:

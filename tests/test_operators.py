@@ -137,7 +137,7 @@ def test_manifest(spark, tmp_path):
     good = {"input_path": "/a/b.pdf", "relative_path": "b.pdf", "size_bytes": 3, "mtime_ns": 4}
     bad = [good | {"size_bytes": "3"}, good | {"relative_path": "../b.pdf"}, good | {"input_path": "a"}, good | {"mtime_ns": 1.5}, good | {"size_bytes": True}, good]
     (tmp_path / "m.jsonl").write_text("\n".join([json.dumps(good), "{oops", *map(json.dumps, bad)]) + "\n")
-    rows = manifest.read_manifest(spark, str(tmp_path / "m.jsonl")).orderBy("at").collect()
+    rows = manifest.read_manifest(spark, str(tmp_path / "m.jsonl")).orderBy("line_no").collect()
     assert [r["problem"] for r in rows] == [None, "bad_json", "bad_number", "bad_relative_path", "input_path_not_absolute", "bad_number", "bad_number", "duplicate_path"]
 
 
