@@ -15,6 +15,8 @@ from sheaf.sources.scratch import written
 
 #: Tokens that a task counts before it passes its counts on.
 FLUSH = 3 << 19
+#: Texts that are Python strings at a time.
+ROWS = 512
 #: Training text per bucket of n-grams: a bucket, its filter segment and its counts stay of bounded size.
 BUCKET_BYTES = 8 << 20
 #: A model up to this size is sent to all workers whole; beyond, texts' n-grams travel to the buckets.
@@ -66,10 +68,18 @@ def _counted(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.n
     return ordered[first], np.add.reduceat(counts[order], first) if len(first) else counts, order[first]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time become Python strings; what Arrow keeps of earlier batches goes back first."""
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def _counter(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         singles, before, held = [], [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(0).to_pylist()
             for a, b in W.chunks(texts):
                 found, starts = tokens(texts[a:b])
@@ -106,7 +116,8 @@ def _parts(found: np.ndarray, before: np.ndarray, bits: int) -> pa.RecordBatch:
     hashes, counts, _ = _counted(found)
     rows += [(UNIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), b"") for k, a, b in _by_bucket(hashes, bits)]
     hashes, counts, at = _counted(W.mix(before * np.uint64(W.BASE) + found))
-    before = before[at]
+    order = np.lexsort((before[at], _bucket(hashes, bits)))  # equal histories side by side, which a shuffle packs well
+    hashes, counts, before = hashes[order], counts[order], before[at][order]
     rows += [(BIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), before[a:b].tobytes()) for k, a, b in _by_bucket(hashes, bits)]
     return pa.RecordBatch.from_arrays(_rows(rows, _PART), names=list(_PART))
 
@@ -300,7 +311,7 @@ def _scorer(shared: object, totals: tuple[int, int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         level_of = _level_lookup(model)
-        for batch in batches:
+        for batch in _slices(batches):
             yield from _scored_batch(batch, totals, lambda h: [_looked_up(model["hashes"], model[c], h) for c in ("counts", "sums")], level_of)
 
     return run
