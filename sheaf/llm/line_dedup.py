@@ -12,6 +12,8 @@ from sheaf.sources.scratch import written
 EDITS = 1
 #: Characters per block of a line; variants hash the block they change, and the rest of the line once per block.
 BLOCK = 16
+#: White space of lines.
+BLANKS = " \t\n\x0b\x0c\r"
 #: A table of lines up to this size is sent to all workers; a larger one is joined by a shuffle.
 BROADCAST_BYTES, WANTED_ROW_BYTES = 32 << 20, 48
 
@@ -28,7 +30,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def normalised(line: Column) -> Column:
     """White space at both ends goes, other runs of it become one space, ASCII and other letters are lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
+    spaced = F.lit(False)
+    for held in ("  ", *BLANKS[1:]):
+        spaced = spaced | F.contains(line, F.lit(held))
+    return F.lower(F.trim(F.when(spaced, F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")).otherwise(line)))
 
 
 def _near_keys(line: Column, n: Column) -> Column:
@@ -137,7 +142,7 @@ def near_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """
     line = normalised(F.col("line"))
     place = F.struct("doc_id", "line_no").alias("place")
-    every = lines_of(docs).select("doc_id", "line_no", line.alias("line")).where("line <> ''")
+    every = lines_of(docs).where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", line.alias("line"))
     h1, h2 = _hash("line")
     half = F.when(F.length("line") >= min_chars, _near_keys(F.col("line"), F.length("line")))
     thin = written(every.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), half.alias("halves")), "lines")
