@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -17,6 +19,8 @@ from sheaf.sources.scratch import written
 FLUSH = 3 << 19
 #: Texts that are Python strings at a time.
 ROWS = 512
+#: Parts by the first three bits of the hash in which pairs of tokens are counted.
+SHARES = 8
 #: Training text per bucket of n-grams: a bucket, its filter segment and its counts stay of bounded size.
 BUCKET_BYTES = 8 << 20
 #: A model up to this size is sent to all workers whole; beyond, texts' n-grams travel to the buckets.
@@ -69,28 +73,38 @@ def _counted(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.n
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Few texts at a time become Python strings; what Arrow keeps of earlier batches goes back first."""
+    """Few texts at a time become Python strings; memory that is freed goes back to the system after each batch."""
     for batch in batches:
-        pa.default_memory_pool().release_unused()
         for a in range(0, batch.num_rows, ROWS):
             yield batch.slice(a, ROWS)
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory returns to the system, as far as the C library can do that: an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _counter(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        singles, before, held = [], [], 0
+        held, n = np.empty((2, FLUSH), dtype=np.uint64), 0
         for batch in _slices(batches):
             texts = batch.column(0).to_pylist()
             for a, b in W.chunks(texts):
                 found, starts = tokens(texts[a:b])
-                singles.append(found)
-                before.append(bigrams(found, starts)[0])
-                held += len(found)
-                if held >= FLUSH:
-                    yield _parts(np.concatenate(singles), np.concatenate(before), bits)
-                    singles, before, held = [], [], 0
-        if singles:
-            yield _parts(np.concatenate(singles), np.concatenate(before), bits)
+                before = bigrams(found, starts)[0]
+                for k in range(0, len(found), FLUSH):  # a text may be longer than a flush
+                    part, behind = found[k : k + FLUSH], before[k : k + FLUSH]
+                    if n + len(part) > FLUSH:
+                        yield from _parts(held[0, :n], held[1, :n], bits)
+                        n = 0
+                    held[:, n : n + len(part)] = part, behind
+                    n += len(part)
+        yield from _parts(held[0, :n], held[1, :n], bits)
+        del held
+        _give_back()
 
     return run
 
@@ -111,15 +125,20 @@ def _by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     return zip(buckets[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(buckets)], strict=True)
 
 
-def _parts(found: np.ndarray, before: np.ndarray, bits: int) -> pa.RecordBatch:
-    rows = []
+def _parts(found: np.ndarray, before: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the tokens and, some buckets at a time, of the pairs of tokens."""
     hashes, counts, _ = _counted(found)
-    rows += [(UNIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), b"") for k, a, b in _by_bucket(hashes, bits)]
-    hashes, counts, at = _counted(W.mix(before * np.uint64(W.BASE) + found))
-    order = np.lexsort((before[at], _bucket(hashes, bits)))  # equal histories side by side, which a shuffle packs well
-    hashes, counts, before = hashes[order], counts[order], before[at][order]
-    rows += [(BIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), before[a:b].tobytes()) for k, a, b in _by_bucket(hashes, bits)]
-    return pa.RecordBatch.from_arrays(_rows(rows, _PART), names=list(_PART))
+    rows = [(UNIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), b"") for k, a, b in _by_bucket(hashes, bits)]
+    yield pa.RecordBatch.from_arrays(_rows(rows, _PART), names=list(_PART))
+    pairs = W.mix(before * np.uint64(W.BASE) + found)
+    for share in range(SHARES):
+        mine = np.flatnonzero((pairs >> np.uint64(61)).astype(np.int64) == share)
+        hashes, counts, at = _counted(pairs[mine])
+        behind = before[mine[at]]
+        order = np.lexsort((behind, _bucket(hashes, bits)))  # equal histories side by side, which a shuffle packs well
+        hashes, counts, behind = hashes[order], counts[order], behind[order]
+        rows = [(BIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), behind[a:b].tobytes()) for k, a, b in _by_bucket(hashes, bits)]
+        yield pa.RecordBatch.from_arrays(_rows(rows, _PART), names=list(_PART))
 
 
 def _joined(group: pa.Table, column: str, kind: type) -> np.ndarray:
