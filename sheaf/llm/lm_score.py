@@ -121,7 +121,9 @@ def _rows(rows: list[tuple], of: dict) -> list[pa.Array]:
 def _by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """The buckets that sorted hashes fall into, each with its range."""
     buckets = _bucket(hashes, bits)
-    edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    if not len(buckets):
+        return iter(())
+    edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
     return zip(buckets[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(buckets)], strict=True)
 
 
@@ -277,7 +279,9 @@ def score(docs: DataFrame, model: DataFrame, n_texts: int) -> DataFrame:
     size = sum(r["bytes"] for r in sizes.values())
     if size <= BROADCAST_BYTES:
         shared = docs.sparkSession.sparkContext.broadcast(_assembled(model, size))
-        return rows.mapInArrow(_scorer(shared, totals), _SCORED)
+        scored = written(rows.mapInArrow(_scorer(shared, totals), _SCORED), "scored")
+        shared.destroy()  # or every run would leave its model in all workers
+        return scored
     return _scored_by_buckets(rows, model, totals)
 
 
