@@ -16,9 +16,9 @@ from sheaf.llm import words as W
 from sheaf.sources.scratch import written
 
 #: Tokens that a task counts before it passes its counts on.
-FLUSH = 3 << 19
+FLUSH = 1 << 20
 #: Texts that are Python strings at a time.
-ROWS = 512
+ROWS = 256
 #: Parts by the first three bits of the hash in which pairs of tokens are counted.
 SHARES = 8
 #: Training text per bucket of n-grams: a bucket, its filter segment and its counts stay of bounded size.
@@ -29,7 +29,7 @@ BROADCAST_BYTES = 256 << 20
 PIECE_BYTES = 16 << 20
 #: Probes of the first level and of each further one; a filter of 1 / ln 2 bits per probe errs upwards once in 2 to the
 #: power of the probes.
-PROBES, MORE_PROBES = 8, 6
+PROBES, MORE_PROBES = 6, 6
 #: Weight of the bigram estimate.
 BIGRAM_WEIGHT = 0.6
 MOST_LEVELS = 40
