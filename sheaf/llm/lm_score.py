@@ -16,11 +16,9 @@ from sheaf.llm import words as W
 from sheaf.sources.scratch import written
 
 #: Tokens that a task counts before it passes its counts on.
-FLUSH = 1 << 20
+FLUSH = 3 << 19
 #: Texts that are Python strings at a time.
 ROWS = 256
-#: Parts by the first three bits of the hash in which pairs of tokens are counted.
-SHARES = 8
 #: Training text per bucket of n-grams: a bucket, its filter segment and its counts stay of bounded size.
 BUCKET_BYTES = 8 << 20
 #: A model up to this size is sent to all workers whole; beyond, texts' n-grams travel to the buckets.
@@ -29,14 +27,15 @@ BROADCAST_BYTES = 256 << 20
 PIECE_BYTES = 16 << 20
 #: Probes of the first level and of each further one; a filter of 1 / ln 2 bits per probe errs upwards once in 2 to the
 #: power of the probes.
-PROBES, MORE_PROBES = 6, 6
+PROBES, MORE_PROBES = 8, 6
 #: Weight of the bigram estimate.
 BIGRAM_WEIGHT = 0.6
 MOST_LEVELS = 40
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-UNIGRAM, BIGRAM, HISTORY = 0, 1, 2
-#: Count that stands for each level, the least one it holds: level q holds counts from 2^(q-1) to 2^q - 1.
+UNIGRAM, BIGRAM = 0, 1
+#: Count that stands for each level, the least one it holds: level q holds counts from 2^(q-1) to 2^q - 1. Counts between
+#: powers of two are drawn to one of them before, see `rounded`.
 _LEVEL_COUNTS = np.array([0, *(1 << (q - 1) for q in range(1, MOST_LEVELS))], dtype=np.int64)
 #: What the filter reads, on average, for a held count of 1, and for an absent n-gram: false levels double the count.
 READ_HELD = 1 + 2.0**-MORE_PROBES / (1 - 2 * 2.0**-MORE_PROBES)
@@ -62,14 +61,13 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _counted(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different hashes in order, their summed counts, and a place of each."""
+def _counted(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if counts is None:
+        return np.unique(hashes, return_counts=True)
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    if counts is None:
-        return ordered[first], np.diff(np.append(first, len(ordered))), order[first]
-    return ordered[first], np.add.reduceat(counts[order], first) if len(first) else counts, order[first]
+    return ordered[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,23 +92,23 @@ def _counter(bits: int) -> Callable:
             texts = batch.column(0).to_pylist()
             for a, b in W.chunks(texts):
                 found, starts = tokens(texts[a:b])
-                before = bigrams(found, starts)[0]
+                pairs = bigrams(found, starts)[1]
                 for k in range(0, len(found), FLUSH):  # a text may be longer than a flush
-                    part, behind = found[k : k + FLUSH], before[k : k + FLUSH]
-                    if n + len(part) > FLUSH:
-                        yield from _parts(held[0, :n], held[1, :n], bits)
+                    size = len(found[k : k + FLUSH])
+                    if n + size > FLUSH:
+                        yield from _parts(held[:, :n], bits)
                         n = 0
-                    held[:, n : n + len(part)] = part, behind
-                    n += len(part)
-        yield from _parts(held[0, :n], held[1, :n], bits)
+                    held[:, n : n + size] = found[k : k + FLUSH], pairs[k : k + FLUSH]
+                    n += size
+        yield from _parts(held[:, :n], bits)
         del held
         _give_back()
 
     return run
 
 
-_PART = {"kind": pa.int32(), "bucket": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "befores": pa.binary()}
-_SEGMENT = {"kind": pa.int32(), "bucket": pa.int64(), "size": pa.int64(), "total": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "sums": pa.binary()}
+_PART = {"kind": pa.int32(), "bucket": pa.int64(), "hashes": pa.binary(), "counts": pa.binary()}
+_SEGMENT = {"kind": pa.int32(), "bucket": pa.int64(), "size": pa.int64(), "total": pa.int64(), "hashes": pa.binary(), "counts": pa.binary()}
 _PART_SQL, _SEGMENT_SQL = (", ".join(f"{c} {'int' if t == pa.int32() else 'long' if t == pa.int64() else 'binary'}" for c, t in of.items()) for of in (_PART, _SEGMENT))
 
 
@@ -127,19 +125,11 @@ def _by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     return zip(buckets[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(buckets)], strict=True)
 
 
-def _parts(found: np.ndarray, before: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the tokens and, some buckets at a time, of the pairs of tokens."""
-    hashes, counts, _ = _counted(found)
-    rows = [(UNIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), b"") for k, a, b in _by_bucket(hashes, bits)]
-    yield pa.RecordBatch.from_arrays(_rows(rows, _PART), names=list(_PART))
-    pairs = W.mix(before * np.uint64(W.BASE) + found)
-    for share in range(SHARES):
-        mine = np.flatnonzero((pairs >> np.uint64(61)).astype(np.int64) == share)
-        hashes, counts, at = _counted(pairs[mine])
-        behind = before[mine[at]]
-        order = np.lexsort((behind, _bucket(hashes, bits)))  # equal histories side by side, which a shuffle packs well
-        hashes, counts, behind = hashes[order], counts[order], behind[order]
-        rows = [(BIGRAM, k, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), behind[a:b].tobytes()) for k, a, b in _by_bucket(hashes, bits)]
+def _parts(held: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    for kind, found in ((UNIGRAM, held[0]), (BIGRAM, held[1])):
+        hashes, counts = _counted(found)
+        counts = counts.astype(np.uint32)
+        rows = [(kind, k, hashes[a:b].tobytes(), counts[a:b].tobytes()) for k, a, b in _by_bucket(hashes, bits)]
         yield pa.RecordBatch.from_arrays(_rows(rows, _PART), names=list(_PART))
 
 
@@ -148,32 +138,19 @@ def _joined(group: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _segment(bits: int) -> Callable:
-    def run(group: pa.Table) -> pa.Table:
-        """All counts of one bucket: of unigrams in full, of bigrams as a filter, and what each history holds of it."""
-        hashes, counts, at = _counted(_joined(group, "hashes", np.uint64), _joined(group, "counts", np.uint32).astype(np.int64))
-        kind, bucket = (group.column(c)[0].as_py() for c in ("kind", "bucket"))
-        if kind == UNIGRAM:
-            rows = [(kind, bucket, len(hashes), int(counts.sum()), hashes.tobytes(), counts.tobytes(), b"")]
-        else:
-            rows = [(kind, bucket, len(hashes), int(counts.sum()), _filter(hashes, counts), b"", b"")]
-            histories, sums, _ = _counted(_joined(group, "befores", np.uint64)[at], _LEVEL_COUNTS[levels_of(counts)])
-            sums = np.minimum(sums, (1 << 32) - 1).astype(np.uint32)  # a bucket holds far fewer n-grams
-            rows += [(HISTORY, k, b - a, 0, histories[a:b].tobytes(), b"", sums[a:b].tobytes()) for k, a, b in _by_bucket(histories, bits)]
-        return pa.table(_rows(rows, _SEGMENT), names=list(_SEGMENT))
-
-    return run
+def _segment(group: pa.Table) -> pa.Table:
+    """All counts of one bucket: of unigrams in full, of bigrams as a filter (bits in `hashes`)."""
+    hashes, counts = _counted(_joined(group, "hashes", np.uint64), _joined(group, "counts", np.uint32).astype(np.int64))
+    kind, bucket = (group.column(c)[0].as_py() for c in ("kind", "bucket"))
+    body = (hashes.tobytes(), counts.tobytes()) if kind == UNIGRAM else (_filter(hashes, rounded(hashes, counts)), b"")
+    return pa.table(_rows([(kind, bucket, len(hashes), int(counts.sum()), *body)], _SEGMENT), names=list(_SEGMENT))
 
 
-def _with_sums(group: pa.Table) -> pa.Table:
-    """The counts of one bucket of unigrams, and the sums of what stands in the filter behind each of them."""
-    kinds = group.column("kind").to_numpy()
-    own, of = group.filter(pa.array(kinds == UNIGRAM)), group.filter(pa.array(kinds == HISTORY))
-    hashes, counts = _joined(own, "hashes", np.uint64), _joined(own, "counts", np.int64)
-    histories, sums, _ = _counted(_joined(of, "hashes", np.uint64), _joined(of, "sums", np.uint32).astype(np.int64))
-    every = np.union1d(hashes, histories)  # START is a history and no token
-    row = (UNIGRAM, group.column("bucket")[0].as_py(), len(hashes), int(counts.sum()), every.tobytes(), _looked_up(hashes, counts, every).tobytes(), _looked_up(histories, sums, every).tobytes())
-    return pa.table(_rows([row], _SEGMENT), names=list(_SEGMENT))
+def rounded(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts drawn, by their n-gram's hash, to the power of two below or above, such that they are right on average."""
+    low = _LEVEL_COUNTS[levels_of(counts)]
+    share = (W.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return np.where(share * low < counts - low, 2 * low, low)
 
 
 def _places(hashes: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
@@ -217,13 +194,11 @@ def _probed(hashes: np.ndarray, bits: np.ndarray, offset: np.ndarray, size: np.n
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """The model of the texts of `docs`, one row per kind and bucket of n-grams (see `_segment`, `_with_sums`)."""
+    """The model of the texts of `docs`, one row per kind and bucket of n-grams (see `_segment`)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
     parts = docs.select("text").mapInArrow(_counter(bits), _PART_SQL)
-    first = written(parts.groupBy("kind", "bucket").applyInArrow(_segment(bits), _SEGMENT_SQL), "lm-first")
-    whole = first.where(F.col("kind") != BIGRAM).groupBy("bucket").applyInArrow(_with_sums, _SEGMENT_SQL)
-    return first.where(F.col("kind") == BIGRAM).unionByName(written(whole, "lm"))
+    return written(parts.groupBy("kind", "bucket").applyInArrow(_segment, _SEGMENT_SQL), "lm")
 
 
 def _looked_up(sorted_hashes: np.ndarray, values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -233,34 +208,34 @@ def _looked_up(sorted_hashes: np.ndarray, values: np.ndarray, hashes: np.ndarray
     return np.where(sorted_hashes[at] == hashes, values[at], 0)
 
 
-def _scores(texts: list[str | None], totals: tuple[int, int, int], counts_of: Callable, level_of: Callable) -> list[np.ndarray]:
+def _scores(texts: list[str | None], totals: tuple[int, int, int], count_of: Callable, level_of: Callable) -> list[np.ndarray]:
     """n_tokens, n_known, base score and score of each text. totals: N, V and training texts."""
     n, v, n_texts = totals
     found, starts = tokens(texts)
-    before, pairs = bigrams(found, starts)
-    words, word_of = np.unique(np.append(found, START), return_inverse=True)
-    counts, sums = (x[word_of] for x in counts_of(words))
-    counts, of_start = counts[:-1], sums[-1]
-    first, sums = np.roll(counts, 1), np.roll(sums[:-1], 1)
-    first[starts[:-1]], sums[starts[:-1]] = n_texts, of_start
+    pairs = bigrams(found, starts)[1]
+    words, word_of = np.unique(found, return_inverse=True)
+    counts = count_of(words)[word_of]
     kinds, pair_of = np.unique(pairs, return_inverse=True)
+    first = np.roll(counts, 1)
+    first[starts[:-1]] = n_texts
     alone = (counts + 0.5) / (n + 0.5 * (v + 1))
-    full = probability(alone, _LEVEL_COUNTS[level_of(kinds)][pair_of], first, sums, v)
+    full = probability(alone, _LEVEL_COUNTS[level_of(kinds)][pair_of], first, v)
     each = lambda values: np.add.reduceat(values, starts[:-1])
     return [np.diff(starts), each((counts > 0).astype(np.int64)), each(np.log10(alone)), each(np.log10(full))]
 
 
-def probability(alone: np.ndarray, together: np.ndarray, first: np.ndarray, sums: np.ndarray, v: int) -> np.ndarray:
+def probability(alone: np.ndarray, together: np.ndarray, first: np.ndarray, v: int) -> np.ndarray:
     """Of words with unigram probability `alone` behind a history of count `first`, with `together` read in the filter.
 
-    sums: of the counts that stand in the filter for the history's followers. What the filter reads over all v words
-    and the unknown one, false levels included, is READ_HELD * sums + READ_ABSENT * (v + 1) on average; the bigram part
-    is a share of that, and the back-off weight is what it leaves. So the probabilities behind a history sum to one, up
-    to chance in the filter's errors, and a rare history, behind which a hit says little, leaves more to the unigrams.
+    What the filter reads behind a history, over all v words and the unknown one, false levels included, is
+    READ_HELD * first + READ_ABSENT * (v + 1) on average: counts are rounded without bias. The bigram part is a share of
+    that, and the back-off weight is what it leaves. So the probabilities behind a history sum to one, up to chance in
+    the rounding and in the filter's errors; and a rare history, behind which a hit says little, leaves more to the
+    unigrams.
     """
     noise = READ_ABSENT * (v + 1)
     mass = np.maximum(first, 1) + noise
-    left = 1 - BIGRAM_WEIGHT * (READ_HELD * sums + noise) / mass
+    left = 1 - BIGRAM_WEIGHT * (READ_HELD * first + noise) / mass
     return np.where(first > 0, BIGRAM_WEIGHT * together / mass + left * alone, alone)
 
 
@@ -272,7 +247,7 @@ def score(docs: DataFrame, model: DataFrame, n_texts: int) -> DataFrame:
     see `probability`, on counts quantised in the filter and read by repeated membership probes. Tokens are told apart by 64-bit hashes. Texts of any length
     count whole; repeated rows each get their row; other columns are ignored.
     """
-    sizes = {r["kind"]: r for r in model.groupBy("kind").agg(F.sum("size").alias("v"), F.sum("total").alias("n"), F.sum(F.length("hashes") + F.length("counts") + F.length("sums")).alias("bytes")).collect()}
+    sizes = {r["kind"]: r for r in model.groupBy("kind").agg(F.sum("size").alias("v"), F.sum("total").alias("n"), F.sum(F.length("hashes") + F.length("counts")).alias("bytes")).collect()}
     singles = sizes.get(UNIGRAM)
     totals = (int(singles["n"]), int(singles["v"]), n_texts) if singles else (0, 0, 0)
     rows = docs.select("doc_id", "held_out", "text")
@@ -293,19 +268,18 @@ def _assembled(model: DataFrame, size: int) -> dict:
     n = 1 << int(model.agg(F.coalesce(F.max("bucket"), F.lit(0))).first()[0]).bit_length()
     pieces = min(n, math.ceil(size / PIECE_BYTES)) or 1
     sizes, offsets = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("hashes", "counts", "sums", "bits")}
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("hashes", "counts", "bits")}
     for k in range(pieces):
         got = model.where(F.col("bucket").between(k * n // pieces, (k + 1) * n // pieces - 1)).toArrow().sort_by("bucket")
         single, pair = (got.filter(pa.array(got.column("kind").to_numpy() == kind)) for kind in (UNIGRAM, BIGRAM))
         sizes[pair.column("bucket").to_numpy()] = [8 * len(x.as_buffer()) for x in pair.column("hashes")]
         parts["bits"].append(_joined(pair, "hashes", np.uint8))
         parts["hashes"].append(_joined(single, "hashes", np.uint64))
-        for c in ("counts", "sums"):
-            parts[c].append(_joined(single, c, np.int64))
+        parts["counts"].append(_joined(single, "counts", np.int64))
     offsets[1:] = np.cumsum(sizes)[:-1]
     whole = {c: np.concatenate(parts.pop(c)) for c in list(parts)}
-    for c in ("counts", "sums"):
-        whole[c] = whole[c].astype(np.uint32) if whole[c].max(initial=0) < 1 << 32 else whole[c]
+    if whole["counts"].max(initial=0) < 1 << 32:
+        whole["counts"] = whole["counts"].astype(np.uint32)
     return whole | {"sizes": sizes, "offsets": offsets}
 
 
@@ -321,10 +295,10 @@ def _level_lookup(model: dict) -> Callable:
     return level_of
 
 
-def _scored_batch(batch: pa.RecordBatch, totals: tuple[int, int, int], counts_of: Callable, level_of: Callable) -> Iterator[pa.RecordBatch]:
+def _scored_batch(batch: pa.RecordBatch, totals: tuple[int, int, int], count_of: Callable, level_of: Callable) -> Iterator[pa.RecordBatch]:
     texts = batch.column(batch.schema.names.index("text")).to_pylist()
     for a, b in W.chunks(texts):
-        n_tokens, n_known, base, full = _scores(texts[a:b], totals, counts_of, level_of)
+        n_tokens, n_known, base, full = _scores(texts[a:b], totals, count_of, level_of)
         columns = [batch.column(k).slice(a, b - a) for k in range(2)]
         columns += [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([totals[0]] * (b - a), pa.int64()), pa.array(base), pa.array(full)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -335,7 +309,7 @@ def _scorer(shared: object, totals: tuple[int, int, int]) -> Callable:
         model = shared.value
         level_of = _level_lookup(model)
         for batch in _slices(batches):
-            yield from _scored_batch(batch, totals, lambda h: [_looked_up(model["hashes"], model[c], h) for c in ("counts", "sums")], level_of)
+            yield from _scored_batch(batch, totals, lambda h: _looked_up(model["hashes"], model["counts"], h), level_of)
 
     return run
 
@@ -354,44 +328,42 @@ def _scored_by_buckets(rows: DataFrame, model: DataFrame, totals: tuple[int, int
     def asked(group: pa.Table) -> pa.Table:
         found, starts = tokens(group.column("text").to_pylist())
         out, chunk = [], group.column("chunk")[0].as_py()
-        for kind, hashes in ((UNIGRAM, np.append(found, START)), (BIGRAM, bigrams(found, starts)[1])):
+        for kind, hashes in ((UNIGRAM, found), (BIGRAM, bigrams(found, starts)[1])):
             own = np.unique(hashes)
             out += [(kind, k, chunk, own[a:b].tobytes()) for k, a, b in _by_bucket(own, width)]
         return pa.table(_rows(out, _ASKED), names=list(_ASKED))
 
     def answered(questions: pa.Table, segment: pa.Table) -> pa.Table:
         out = []
-        blobs = {c: segment.column(c)[0].as_py() for c in ("hashes", "counts", "sums")} if segment.num_rows else {}
+        body, counts = (segment.column(c)[0].as_py() if segment.num_rows else b"" for c in ("hashes", "counts"))
         for kind, chunk, blob in zip(*(questions.column(c).to_pylist() for c in ("kind", "chunk", "asked")), strict=True):
             hashes = np.frombuffer(blob, np.uint64)
-            got = [np.zeros(len(hashes), np.int64)] * 2
-            if blobs and kind == UNIGRAM:
-                got = [_looked_up(np.frombuffer(blobs["hashes"], np.uint64), np.frombuffer(blobs[c], np.int64), hashes) for c in ("counts", "sums")]
-            elif blobs:
-                all_of = np.full(len(hashes), 8 * len(blobs["hashes"]), dtype=np.uint64)
-                got[0] = _probed(hashes, np.frombuffer(blobs["hashes"], np.uint8), np.zeros(len(hashes), np.int64), all_of)
-            out.append((kind, chunk, blob, got[0].tobytes(), got[1].tobytes() if kind == UNIGRAM else b""))
+            got = np.zeros(len(hashes), np.int64)
+            if body and kind == UNIGRAM:
+                got = _looked_up(np.frombuffer(body, np.uint64), np.frombuffer(counts, np.int64), hashes)
+            elif body:
+                all_of = np.full(len(hashes), 8 * len(body), dtype=np.uint64)
+                got = _probed(hashes, np.frombuffer(body, np.uint8), np.zeros(len(hashes), np.int64), all_of)
+            out.append((kind, chunk, blob, got.astype(np.int64).tobytes()))
         return pa.table(_rows(out, _ANSWER), names=list(_ANSWER))
 
     def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
         kinds, tables = answers.column("kind").to_numpy(), {}
         for kind in (UNIGRAM, BIGRAM):
             own = answers.filter(pa.array(kinds == kind))
-            hashes = _joined(own, "asked", np.uint64)
+            hashes, got = _joined(own, "asked", np.uint64), _joined(own, "got", np.int64)
             order = np.argsort(hashes)
-            tables[kind] = (hashes[order], *(_joined(own, c, np.int64)[order] for c in (("got", "more") if kind == UNIGRAM else ("got",))))
-        words, counts, sums = tables[UNIGRAM]
+            tables[kind] = (hashes[order], got[order])
         batches = texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
-        both = lambda h: [_looked_up(words, x, h) for x in (counts, sums)]
-        return pa.Table.from_batches([r for b in batches for r in _scored_batch(b, totals, both, lambda h: _looked_up(*tables[BIGRAM], h))])
+        return pa.Table.from_batches([r for b in batches for r in _scored_batch(b, totals, lambda h: _looked_up(*tables[UNIGRAM], h), lambda h: _looked_up(*tables[BIGRAM], h))])
 
     questions = placed.groupBy("chunk").applyInArrow(asked, "kind int, bucket long, chunk long, asked binary")
-    answers = questions.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(answered, "kind int, chunk long, asked binary, got binary, more binary")
+    answers = questions.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(answered, "kind int, chunk long, asked binary, got binary")
     return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, _SCORED)
 
 
 _ASKED = {"kind": pa.int32(), "bucket": pa.int64(), "chunk": pa.int64(), "asked": pa.binary()}
-_ANSWER = {"kind": pa.int32(), "chunk": pa.int64(), "asked": pa.binary(), "got": pa.binary(), "more": pa.binary()}
+_ANSWER = {"kind": pa.int32(), "chunk": pa.int64(), "asked": pa.binary(), "got": pa.binary()}
 
 
 def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
