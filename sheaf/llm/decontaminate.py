@@ -224,5 +224,6 @@ def _keeper(shared: object, threshold: float) -> Callable:
             for i, _ in _search(_texts(batch), shared.value, threshold):
                 keep[i] = False
             yield batch.filter(pa.array(keep))
+        W.give_back()
 
     return run

@@ -136,6 +136,7 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for a in range(0, len(texts), 500):
             df += (term_counts(texts[a : a + 500]) > 0).sum(axis=0)
         n += len(texts)
+    W.give_back()
     if n:
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "df": pa.array([df.tolist()], pa.list_(pa.float64()))})
 
@@ -196,5 +197,6 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             _, _, rejected = predict(batch.column(batch.schema.names.index("text")).to_pylist(), shared.value)
             yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+        W.give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -75,14 +73,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
             yield batch.slice(a, ROWS)
-        _give_back()
-
-
-def _give_back() -> None:
-    """Freed memory returns to the system, as far as the C library can do that: an idle worker holds little."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+        W.give_back()
 
 
 def _counter(bits: int) -> Callable:
@@ -102,7 +93,7 @@ def _counter(bits: int) -> Callable:
                     n += size
         yield from _parts(held[:, :n], bits)
         del held
-        _give_back()
+        W.give_back()
 
     return run
 

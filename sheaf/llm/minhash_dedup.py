@@ -150,6 +150,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(_sequence_hashes(found) if len(found) else None)
             keys.append(sketch_keys(found).tolist())
         yield pa.RecordBatch.from_arrays([batch.column(0), *_hash_columns(hashes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "keys"])
+    W.give_back()
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,3 +315,4 @@ def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes = [_sequence_hashes(found) if len(found) else None for _, found in _each(batch.column(1).field("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *_hash_columns(hashes), batch.column(1)], names=["doc_id", "h1", "h2", "row"])
+    W.give_back()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes taken together in one array step; a longer text is still taken whole.
 CHUNK = 1 << 19
@@ -83,6 +86,13 @@ def hashed_words(texts: list[str | None], table: np.ndarray, lower: bool = False
     return hashes, np.searchsorted(begin, starts)
 
 
+def give_back() -> None:
+    """Freed memory returns to the system, as far as the C library can do that: an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` characters each."""
     first, size = 0, 0
