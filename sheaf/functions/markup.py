@@ -31,7 +31,7 @@ def on_one_line(text: Column, category: Column) -> Column:
 
 def formula_body(text: Column) -> Column:
     r"""What stands between the delimiters of a formula: $$, \[ \], \( \) or $."""
-    out = F.trim(text)
+    out = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     for start, end in ((r"\$\$", r"\$\$"), (r"\\\[", r"\\\]"), (r"\\\(", r"\\\)"), (r"\$", r"\$")):
         out = F.regexp_replace(out, f"(?s)^{start}\\s*(.*?)\\s*{end}$", "$1")
     return out

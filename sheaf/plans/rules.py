@@ -37,8 +37,8 @@ SELECT conv_id, turn, md5(regexp_replace(regexp_replace(t, '(\\\{{)+', '\\{{', '
   md5(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS images,
   md5(CASE WHEN regexp_extract(t, '(?s)^\s*```[a-zA-Z]*\s*\n(.*?)\n?\s*```\s*$', 1) <> '' THEN regexp_extract(t, '(?s)^\s*```[a-zA-Z]*\s*\n(.*?)\n?\s*```\s*$', 1) ELSE t END) AS fences,
   md5(trim(regexp_replace(regexp_replace(t, '>\s+<', '><', 'g'), '\s+', ' ', 'g'))) AS html,
-  md5(CASE WHEN starts_with(b, '$$') AND ends_with(b, '$$') AND length(b) >= 4 THEN trim(b[3:-3]) WHEN starts_with(b, '\[') AND ends_with(b, '\]') THEN trim(b[3:-3])
-       WHEN starts_with(b, '\(') AND ends_with(b, '\)') THEN trim(b[3:-3]) WHEN starts_with(b, '$') AND ends_with(b, '$') AND length(b) > 1 THEN trim(b[2:-2]) ELSE b END) AS body,
+  md5(CASE WHEN starts_with(b, '$$') AND ends_with(b, '$$') AND length(b) >= 4 THEN regexp_replace(b[3:-3], '^\s+|\s+$', '', 'g') WHEN starts_with(b, '\[') AND ends_with(b, '\]') THEN regexp_replace(b[3:-3], '^\s+|\s+$', '', 'g')
+       WHEN starts_with(b, '\(') AND ends_with(b, '\)') THEN regexp_replace(b[3:-3], '^\s+|\s+$', '', 'g') WHEN starts_with(b, '$') AND ends_with(b, '$') AND length(b) > 1 THEN regexp_replace(b[2:-2], '^\s+|\s+$', '', 'g') ELSE b END) AS body,
   nullif(regexp_replace(left(t, 9), '\s+', '', 'g'), '') AS identifier
 FROM s
 """)
@@ -53,8 +53,8 @@ def markup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("formula_blocks", rf"""
 WITH w AS ({_WRAPPED}), s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '(\\\{{)+', '\\{{', 'g'), '(\\\}})+', '\\}}', 'g') AS t FROM w),
-p AS (SELECT conv_id, turn, CASE WHEN contains(t, chr(10)) THEN t WHEN starts_with(t, '$$') AND NOT ends_with(t, '$$') THEN ltrim(t[3:]) WHEN ends_with(t, '$$') AND NOT starts_with(t, '$$') THEN rtrim(t[:-3]) ELSE t END AS t FROM s),
-q AS (SELECT *, trim(t[3:-3]) AS inside, CASE WHEN contains(t, 'usepackage') THEN regexp_replace(t, '\\usepackage\{{[^}}]+\}}', '', 'g') ELSE t END AS bare FROM p)
+p AS (SELECT conv_id, turn, CASE WHEN contains(t, chr(10)) THEN t WHEN starts_with(t, '$$') AND NOT ends_with(t, '$$') THEN regexp_replace(t[3:], '^\s+', '') WHEN ends_with(t, '$$') AND NOT starts_with(t, '$$') THEN regexp_replace(t[:-3], '\s+$', '') ELSE t END AS t FROM s),
+q AS (SELECT *, regexp_replace(t[3:-3], '^\s+|\s+$', '', 'g') AS inside, CASE WHEN contains(t, 'usepackage') THEN regexp_replace(t, '\\usepackage\{{[^}}]+\}}', '', 'g') ELSE t END AS bare FROM p)
 SELECT conv_id, turn, CASE
   WHEN starts_with(t, '$$') AND ends_with(t, '$$') THEN CASE WHEN contains(inside, '$') THEN t ELSE '$$' || chr(10) || inside || chr(10) || '$$' END
   WHEN starts_with(t, '\[') AND ends_with(t, '\]') THEN '$$' || chr(10) || inside || chr(10) || '$$'
