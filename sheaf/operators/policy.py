@@ -54,23 +54,70 @@ def execution_limit(constrained: Column, reasons: Column, *settings: Column) ->
     return F.when(constrained, paused).otherwise(ready)
 
 
-def preflight(jobs: DataFrame, workers: DataFrame) -> DataFrame:
-    """job_id, ok, issues (code:severity, in fixed order): errors block a job, warnings don't.
+def _ancestors(path: Column) -> Column:
+    """A path and all that lie above it, the root as `/`; null for null."""
+    bare = F.regexp_replace(path, r"(?<=.)/+$", "")
+    ends = F.filter(F.sequence(F.lit(1), F.length(bare)), lambda k: (k == F.length(bare)) | (F.substr(bare, k + 1, F.lit(1)) == "/"))
+    return F.when(F.length(bare) > 0, F.array_distinct(F.concat(F.array(F.lit("/")), F.transform(ends, lambda k: F.left(bare, k)))))
 
-    jobs: job_id, engine, path. workers: engine, path, ready, writable. Meets by engine; a worker serves a path below its own.
+
+def _writes(paths: Column, path: Column) -> Column:
+    """Whether one of the checked folders that holds a path can be read and written."""
+    return F.coalesce(F.exists(paths, lambda p: p["readable"] & p["writable"] & F.array_contains(_ancestors(path), _bare(p["path"]))), F.lit(False))
+
+
+def _bare(path: Column) -> Column:
+    return F.regexp_replace(path, r"(?<=.)/+$", "")
+
+
+def preflight(
+    jobs: DataFrame, workers: DataFrame, profiles: DataFrame, dialect: str = "postgresql", migrations: str | None = None, has_token: bool = True, detail_limit: int = 0
+) -> DataFrame:
+    """job_id, ok, total_workers, eligible_workers, ready_workers, issues (code:severity in fixed order, comma between).
+
+    jobs: job_id (unique), input_dir, output_dir, manifest_root (null: none), allowed (array of server_id; null or empty: all),
+    profile_id (null: none), has_key, gate (the certification's code, null if it passes). workers: server_id (unique),
+    status, stale, archived, version, constrained, event_backlog, update_backlog, paths (array<struct<path, readable,
+    writable>>). profiles: profile_id (unique), requires_key, has_key, key_saved. migrations: null, missing,
+    not_current or verification_failed. Errors block a job, warnings don't. A folder holds itself and what lies below;
+    jobs meet workers by equality on the folders above their input. Null flags are false, null paths hold nothing.
     """
-    w = workers.select(F.col("engine").alias("_engine"), F.col("path").alias("_root"), "ready", "writable")
-    both = jobs.join(w, F.col("engine") == F.col("_engine"), "left")
-    below = F.coalesce((F.col("path") == F.col("_root")) | F.startswith("path", F.concat("_root", F.lit("/"))), F.lit(False))
-    sums = both.groupBy("job_id").agg(
-        F.count("_engine").alias("all"), F.count_if(F.col("ready")).alias("ready"), F.count_if(F.col("ready") & below).alias("eligible"), F.count_if(F.col("ready") & below & F.col("writable")).alias("writing")
-    )
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    within = (F.size(F.coalesce("allowed", F.array())) == 0) | F.coalesce(F.array_contains("allowed", F.col("server_id")), F.lit(False))
+    usable = workers.where(~yes("archived") & ~yes("stale") & (F.coalesce("status", F.lit("offline")) != "offline"))
+    offered = F.array_distinct(F.transform(F.filter("paths", lambda p: p["readable"]), lambda p: _bare(p["path"])))
+    attributes = F.struct("server_id", "status", "version", "constrained", "event_backlog", "update_backlog", "paths").alias("w")
+    offers = usable.select("server_id", attributes, F.explode(offered).alias("root"))
+    asks = jobs.select("job_id", "allowed", "output_dir", "manifest_root", F.explode(_ancestors(F.col("input_dir"))).alias("root"))
+    pairs = asks.join(offers, "root").where(within).dropDuplicates(["job_id", "server_id"])
+    some = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    sums = pairs.groupBy("job_id").agg(
+        F.count("server_id").alias("eligible"), some(F.col("w.status").isin("online", "idle")).alias("ready"), some(~_writes(F.col("w.paths"), F.col("output_dir"))).alias("no_output"),
+        some(F.col("manifest_root").isNotNull() & ~_writes(F.col("w.paths"), F.col("manifest_root"))).alias("no_manifest"),
+        F.count_distinct(F.coalesce("w.version", F.lit(""))).alias("versions"), some(F.col("w.constrained")).alias("constrained"),
+        some(F.col("w.event_backlog") > 0).alias("events"), some(F.col("w.update_backlog") > 0).alias("updates"),
+    )
+    named = jobs.select("job_id", F.explode(F.array_distinct("allowed")).alias("server_id")).join(workers.select("server_id"), "server_id").groupBy("job_id").agg(F.count("server_id").alias("named"))
+    known = profiles.select("profile_id", F.struct("requires_key", "has_key", "key_saved").alias("p"))
+    all_ = jobs.join(sums, "job_id", "left").join(named, "job_id", "left").join(known, "profile_id", "left").withColumn("fleet", workers.agg(F.count("server_id")).scalar())
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    asked, unknown = F.col("profile_id").isNotNull(), F.col("p").isNull()
+    keyless = yes("p.requires_key") & ~(yes("p.has_key") | yes("has_key"))
+    states = {"missing": "database_migrations_missing", "not_current": "database_migration_not_current", "verification_failed": "database_migration_verification_failed"}
+    always = lambda holds, code: F.lit(code if holds else None).cast("string")
     issues = F.array_compact(F.array(
-        F.when(F.col("all") == 0, "no_workers:error"), F.when((F.col("all") > 0) & (F.col("ready") == 0), "no_ready_workers:error"),
-        F.when((F.col("ready") > 0) & (F.col("eligible") == 0), "path_not_shared:error"), F.when((F.col("eligible") > 0) & (F.col("writing") == 0), "path_not_writable:error"),
-        F.when((F.col("writing") > 0) & (F.col("writing") < F.col("all")), "some_workers_excluded:warning"),
+        always(dialect != "postgresql", "database_not_postgres:warning"), always(dialect == "postgresql" and migrations, f"{states.get(migrations)}:error"),
+        always(not has_token, "control_api_auth_disabled:warning"), F.when(n("eligible") == 0, "no_eligible_workers:error"),
+        F.when(n("no_output") > 0, "output_path_not_writable:error"), F.when(n("no_manifest") > 0, "manifest_root_not_writable:error"),
+        F.when(n("versions") > 1, "mixed_worker_versions:warning"), F.when(n("constrained") > 0, "resource_constrained_workers:warning"),
+        F.when(n("events") > 0, "worker_event_spool_backlog:warning"), F.when(n("updates") > 0, "worker_pending_shard_update_backlog:warning"),
+        F.when(asked & unknown, "unknown_model_profile:error").when(asked & keyless, "model_profile_missing_api_key:error").when(asked & yes("p.key_saved"), "model_profile_saved_api_key:warning"),
+        F.when(asked, F.concat("gate", F.lit(":error"))), always(detail_limit > 100_000, "high_detail_row_limits:warning"),
     ))
-    return sums.select("job_id", (~F.exists(issues, lambda i: F.endswith(i, F.lit(":error")))).alias("ok"), F.array_join(issues, ",").alias("issues"))
+    total = F.when(F.size(F.coalesce("allowed", F.array())) == 0, F.col("fleet")).otherwise(n("named"))
+    told = all_.select("job_id", total.alias("total_workers"), n("eligible").alias("eligible_workers"), n("ready").alias("ready_workers"), issues.alias("_issues"))
+    ok = ~F.exists("_issues", lambda i: F.endswith(i, F.lit(":error")))
+    return told.select("job_id", ok.alias("ok"), "total_workers", "eligible_workers", "ready_workers", F.array_join("_issues", ",").alias("issues"))
 
 
 def bundle_complete(keys: Column, base: Column, stem: Column, expected: Column) -> Column:

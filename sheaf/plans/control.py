@@ -388,31 +388,6 @@ def capacity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumns({"eta_hours": eta, "confidence": confidence})
 
 
-@query("capacity_alerts", """
-WITH n AS (
-  SELECT (SELECT count(*) FROM supplier) AS servers, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS offline,
-         (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS failed, (SELECT count(*) FROM events WHERE event_type = 'error') AS errors
-)
-SELECT code, severity, value FROM (
-  SELECT 'workers_offline' AS code, 'warning' AS severity, offline AS value, offline > 0 AS active FROM n
-  UNION ALL SELECT 'no_workers', 'error', servers, servers = 0 FROM n
-  UNION ALL SELECT 'shards_failed', 'error', failed, failed > 0 FROM n
-  UNION ALL SELECT 'error_events', 'warning', errors, errors > 100 FROM n
-) WHERE active
-""")
-def capacity_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per alert whose rule holds."""
-    servers = table(spark, sf_dir, "supplier").agg(F.count("s_suppkey").alias("servers"), F.count_if(F.col("s_acctbal") < 0).alias("offline"))
-    failed = table(spark, sf_dir, "lineitem").agg(F.count_if(F.col("l_returnflag") == "R")).scalar()
-    errors = table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error")).scalar()
-    rule = lambda code, severity, value, active: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(value).alias("value"), active.alias("active"))
-    rules = F.array(
-        rule("workers_offline", "warning", "offline", F.col("offline") > 0), rule("no_workers", "error", "servers", F.col("servers") == 0),
-        rule("shards_failed", "error", "failed", F.col("failed") > 0), rule("error_events", "warning", "errors", F.col("errors") > 100),
-    )
-    return servers.withColumns({"failed": failed, "errors": errors}).select(F.inline(rules)).where("active").drop("active")
-
-
 @query("audit_report", """
 SELECT l_linestatus AS status, l_returnflag AS failure_category, count(*) AS attempts, CAST(count_if(l_tax = 0) AS BIGINT) AS missing_artifacts,
        CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS flagged

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import model_output as M
 from sheaf.functions import values as V
+from sheaf.operators import alerts as A
 from sheaf.operators import policy as P
 
 
@@ -40,10 +41,50 @@ def test_execution_limit(spark):
 
 
 def test_preflight(spark):
-    jobs = spark.createDataFrame([(1, "a", "/d/x"), (2, "b", "/d"), (3, "c", "/d"), (4, "d", "/data"), (5, "e", "/d")], "job_id int, engine string, path string")
-    workers = spark.createDataFrame([("a", "/d", True, True), ("a", "/e", True, True), ("c", "/d", False, True), ("d", "/d", True, True), ("e", "/d", True, False)], "engine string, path string, ready boolean, writable boolean")
-    got = {r["job_id"]: (r["ok"], r["issues"]) for r in P.preflight(jobs, workers).collect()}
-    assert got == {1: (True, "some_workers_excluded:warning"), 2: (False, "no_workers:error"), 3: (False, "no_ready_workers:error"), 4: (False, "path_not_shared:error"), 5: (False, "path_not_writable:error")}
+    jobs = spark.createDataFrame(
+        [(1, "/d/x", "/out", "/m", None, None, None, None), (2, "/data", "/out", None, None, None, None, None), (3, "/d", "/out", None, ["b"], 9, False, "gate"), (4, "/d/", "/out/a", None, ["a", "z"], 1, False, None), (5, None, None, None, [], 1, True, None)],
+        "job_id int, input_dir string, output_dir string, manifest_root string, allowed array<string>, profile_id int, has_key boolean, gate string",
+    )
+    workers = spark.createDataFrame(
+        [
+            ("a", "online", False, False, "1", False, 0, 0, [("/d/", True, True), ("/out", True, True), ("/d", True, False)]),
+            ("b", "busy", None, None, "2", True, 4, 1, [("/d", True, None), ("/out", True, False), ("/m", True, True)]),
+            ("c", "online", True, False, "3", True, 4, 1, [("/", True, True)]), ("d", "offline", False, False, "3", True, 4, 1, [("/", True, True)]), ("e", "idle", False, False, "3", True, 4, 1, None),
+        ],
+        "server_id string, status string, stale boolean, archived boolean, version string, constrained boolean, event_backlog int, update_backlog int, paths array<struct<path: string, readable: boolean, writable: boolean>>",
+    )
+    profiles = spark.createDataFrame([(1, True, False, True)], "profile_id int, requires_key boolean, has_key boolean, key_saved boolean")
+    got = {r["job_id"]: tuple(r)[1:] for r in P.preflight(jobs, workers, profiles).collect()}
+    mixed = "mixed_worker_versions:warning,resource_constrained_workers:warning,worker_event_spool_backlog:warning,worker_pending_shard_update_backlog:warning"
+    assert got == {
+        1: (False, 5, 2, 1, "output_path_not_writable:error,manifest_root_not_writable:error," + mixed), 2: (False, 5, 0, 0, "no_eligible_workers:error"),
+        3: (False, 1, 1, 0, "output_path_not_writable:error," + mixed.split(",", 1)[1] + ",unknown_model_profile:error,gate:error"),
+        4: (False, 1, 1, 1, "model_profile_missing_api_key:error"), 5: (False, 5, 0, 0, "no_eligible_workers:error,model_profile_saved_api_key:warning"),
+    }
+    calm = spark.createDataFrame([(1, "/d", "/d", None, ["a"], None, None, "gate")], jobs.schema)
+    issues = lambda **s: P.preflight(calm, workers, profiles, **s).first()["issues"]
+    assert issues() == "" and issues(dialect="sqlite", migrations="missing") == "database_not_postgres:warning"
+    assert issues(migrations="not_current", has_token=False, detail_limit=100_001) == "database_migration_not_current:error,control_api_auth_disabled:warning,high_detail_row_limits:warning"
+
+
+def test_alerts(spark):
+    columns = "migrated boolean, current boolean, drifted int, stale_workers int, constrained_workers int, event_spool int, log_spool int, update_spool int, capacity_known boolean, queue int, slots int, stale_leases int, sample_pages int, confidence string, audit_known boolean, stage_failures int, fallbacks int, manifests_open int, declared int, missing int, completed int, output_reported boolean"
+    quiet = dict.fromkeys((c.split()[0] for c in columns.split(", ")), None) | {"migrated": True, "current": True}
+    cases = [
+        quiet, quiet | {"current": None}, quiet | {"queue": 3, "stale_leases": 2, "stage_failures": 1},
+        quiet | {"capacity_known": True, "queue": 3, "sample_pages": 12, "confidence": "none", "stale_leases": 2, "drifted": 4},
+        quiet | {"audit_known": True, "stage_failures": -1, "fallbacks": 2, "completed": 1, "missing": 5}, quiet | {"audit_known": True, "completed": 1, "output_reported": True},
+    ]
+    facts = spark.createDataFrame([(k, *c.values()) for k, c in enumerate(cases)], "id int, " + columns)
+    got = {}
+    for r in A.active_alerts(facts, ["id"]).collect():
+        got.setdefault(r["id"], {})[r["code"]] = r["count"]
+    assert got == {
+        1: {"migration_drift": 1}, 3: {"migration_drift": 4, "worker_capacity_exhausted": 3, "stale_shard_lease": 2, "throughput_samples_insufficient": 1},
+        4: {"fallback_usage": 2, "artifact_records_missing": 5, "output_audit_not_reported": 1},
+    }
+    workers = spark.createDataFrame([(1, True, None, [2, -1, None], None, []), (1, None, True, [1], [3], None)], "id int, stale boolean, constrained boolean, events array<long>, logs array<long>, updates array<long>")
+    assert tuple(A.worker_facts(workers, ["id"]).first()) == (1, 1, 1, 3, 3, 0)
 
 
 def test_bundles_and_roots(spark):
