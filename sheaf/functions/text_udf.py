@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions import values
+
 REPEATS, KEPT, UNIT, SEQUENCE = 10, 5, 24, 4
 
 
@@ -76,3 +79,73 @@ def _udf(function) -> object:
 
 
 collapse_repeats, normalise, unescape, raise_citations = map(_udf, (collapsed, normalised, unescaped, raised_citations))
+
+
+# What may open or close mathematics, and what stands for line ends outside of it.
+_MARKS = re.compile(r"\\r\\n|\\[nr()\[\]]|\$+")
+_CLOSERS = {r"\(": r"\)", r"\[": r"\]"}
+
+
+def line_ends_outside_math(text: str) -> str:
+    """`\\n`, `\\r` and `\\r\\n` written out become line ends, except inside `$...$`, `$$...$$`, `\\(...\\)` and
+    `\\[...\\]`, which nest. A dollar behind an odd number of backslashes is text; what never closes lasts to the end."""
+    awaited: list[str] = []
+
+    def one(m: re.Match[str]) -> str:
+        mark, start = m[0], m.start()
+        if mark[0] == "$":
+            slash = start
+            while slash and text[slash - 1] == "\\":
+                slash -= 1
+            run = mark[(start - slash) % 2 :]
+            if run and awaited and awaited[-1] == run:
+                awaited.pop()
+            elif run:
+                awaited.append(run)
+            return mark
+        if mark in _CLOSERS:
+            awaited.append(_CLOSERS[mark])
+        elif awaited and awaited[-1] == mark:
+            awaited.pop()
+        elif not awaited and mark[1] in "nr":
+            return "\n"
+        return mark
+
+    return _MARKS.sub(one, text)
+
+
+def with_line_ends(text: Column) -> Column:
+    """As `line_ends_outside_math`; texts without a backslash stay in the JVM. Null gives null."""
+
+    @F.pandas_udf("string")
+    def scanned(values: pd.Series) -> pd.Series:
+        return values.map(line_ends_outside_math, na_action="ignore")
+
+    return F.when(F.contains(text, F.lit("\\")), scanned(F.when(F.contains(text, F.lit("\\")), text))).otherwise(text)
+
+
+def _without_secrets(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: values.REDACTED if _is_secret(k) else _without_secrets(v) for k, v in value.items()}
+    return [_without_secrets(v) for v in value] if isinstance(value, list) else value
+
+
+def _is_secret(key: str) -> bool:
+    name = key.lower().replace("-", "_")
+    return name in values.SECRET_KEYS or name.endswith(values.SECRET_ENDINGS)
+
+
+def redacted_json(config: Column) -> Column:
+    """A JSON document with the values of secret keys replaced at every depth; null for null and for what is no JSON."""
+
+    def safe(text: str) -> str | None:
+        try:
+            return json.dumps(_without_secrets(json.loads(text)), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        return texts.map(safe, na_action="ignore")
+
+    return replaced(config)

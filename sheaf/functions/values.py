@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SECRET_KEYS = ("api_key", "token", "secret", "password", "authorization")
+# Keys, and endings of keys, whose values are secret.
+SECRET_KEYS = ("api_key", "authorization", "bearer_token", "token", "access_token", "secret", "password", "x_api_key")
+SECRET_ENDINGS = ("_api_key", "_token", "_secret", "_password")
+REDACTED = "[redacted]"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -37,9 +40,15 @@ def half_width(text: Column) -> Column:
     return F.translate(text, wide, "".join(chr(0x21 + k) for k in range(94)) + " ")
 
 
+def is_secret_key(key: Column) -> Column:
+    """Whether a key, in lower case and with underscores, is a secret's."""
+    name = F.translate(F.lower(key), "-", "_")
+    return name.isin(*SECRET_KEYS) | F.exists(F.array(*map(F.lit, SECRET_ENDINGS)), lambda e: F.endswith(name, e))
+
+
 def redacted(options: Column) -> Column:
-    """A flat map with the values of secret-looking keys replaced."""
-    return F.transform_values(options, lambda k, v: F.when(F.exists(F.array(*map(F.lit, SECRET_KEYS)), lambda s: F.contains(F.lower(k), s)), F.lit("[redacted]")).otherwise(v))
+    """A flat map with the values of secret keys replaced."""
+    return F.transform_values(options, lambda k, v: F.when(is_secret_key(k), REDACTED).otherwise(v))
 
 
 def without_password(url: Column) -> Column:

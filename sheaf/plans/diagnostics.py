@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators import alerts, policy
+from sheaf.functions import cells as C
+from sheaf.functions import text_udf
+from sheaf.operators import alerts, artifacts, policy, recent
 from sheaf.plans.registry import query, table
 
 _ALERT_RULES = " UNION ALL ".join(
@@ -102,3 +104,116 @@ def job_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     profiles = spark.range(6).select(F.col("id").alias("profile_id"), (F.col("id") % 2 == 0).alias("requires_key"), (F.col("id") == 4).alias("has_key"), (F.col("id") >= 4).alias("key_saved"))
     return policy.preflight(jobs, workers, profiles, has_token=False)
+
+
+@query("recent_errors", """
+WITH e AS (SELECT user_id AS job_id, event_id, ts, event_type, CAST(event_id AS VARCHAR) AS file_path, event_type || user_id % 2 AS failure_category, props AS error FROM events WHERE event_type = 'error' AND user_id % 3 <> 0),
+s AS (
+  SELECT user_id AS job_id, CASE WHEN event_type = 'view' THEN 'event_sample' ELSE 'failed_file_sample' END AS source, event_id, event_type, CAST(event_id AS VARCHAR) AS file_path, event_type || user_id % 2 AS failure_category, props AS error
+  FROM events WHERE event_id % 4 = 0 AND event_type IN ('view', 'error')
+), a AS (
+  SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS k, 'job_event' AS source, event_type, file_path, failure_category, error, count(*) OVER (PARTITION BY job_id) AS total FROM e
+  UNION ALL
+  SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY source, event_id), source, event_type, file_path, failure_category, error, count(*) OVER (PARTITION BY job_id) FROM s WHERE job_id NOT IN (SELECT job_id FROM e)
+)
+SELECT job_id, CAST(k AS INTEGER) AS k, source, event_type, file_path, failure_category, error, total, total > 4 AS has_more FROM a WHERE k BETWEEN 2 AND 4
+""")
+def recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand in for jobs; every third has lost its events and shows samples."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("created_at"), "event_type", F.col("event_id").cast("string").alias("file_path"),
+        F.concat("event_type", (F.col("user_id") % 2).cast("string")).alias("failure_category"), F.col("props").alias("error"),
+    )
+    source = F.when(F.col("event_type") == "view", "event_sample").otherwise("failed_file_sample")
+    samples = events.where((F.col("event_id") % 4 == 0) & F.col("event_type").isin("view", "error")).withColumnsRenamed({"event_id": "pos"}).withColumn("source", source).drop("created_at")
+    return recent.recent_errors(events.where((F.col("event_type") == "error") & (F.col("job_id") % 3 != 0)), samples, limit=3, offset=1)
+
+
+@query("recent_files", """
+WITH f AS (SELECT l_orderkey AS job_id, l_linenumber AS id, 'f' || l_partkey % 90 AS path, l_shipdate AS ts FROM lineitem WHERE l_returnflag = 'R'),
+p AS (SELECT l_orderkey AS job_id, 'f' || l_suppkey % 90 AS path, min(l_linenumber) AS pos FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2),
+u AS (
+  SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC NULLS LAST, id DESC) AS r, path, 'file' AS source FROM f
+  UNION ALL SELECT job_id, 1000 + row_number() OVER (PARTITION BY job_id ORDER BY pos, path), path, 'sample' FROM p ANTI JOIN f USING (job_id, path)
+), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY r) AS k FROM u)
+SELECT job_id, CAST(k AS INTEGER) AS k, path AS file_path, 'failed' AS status, source FROM r WHERE k <= 2
+""")
+def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    path = lambda c: F.concat(F.lit("f"), (F.col(c) % 90).cast("string")).alias("file_path")
+    status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "success").otherwise("pending")
+    files = lines.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("file_id"), path("l_partkey"), status.alias("status"), F.col("l_shipdate").alias("updated_at"))
+    samples = lines.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("pos"), path("l_suppkey"))
+    return recent.recent_files(files, samples, "failed", 2)
+
+
+_LISTED = '["a.json", {"path": "x/../c.jsonl"}, "../out.md", "a.json", {"kind": "none"}]'
+
+
+@query("artifact_reports", f"""
+WITH o AS (SELECT o_orderkey AS id, o_orderkey % 9 AS c FROM orders),
+f AS (
+  SELECT l_orderkey AS id, bool_or(l_linenumber = 1 AND l_quantity >= 10) AS md, bool_or(l_linenumber = 1) AS md_there, bool_or(l_linenumber = 2) AS a_there, bool_or(l_linenumber = 2 AND l_discount > 0.03) AS a,
+         bool_or(l_linenumber = 3) AS c_there, bool_or(l_linenumber = 3 AND l_tax > 0.03) AS j, bool_or(l_linenumber = 3 AND l_returnflag = 'A') AS dir FROM lineitem GROUP BY 1
+), t AS (
+  SELECT o.id, c, md_there AS m1, md AS m2, a_there AS a1, a AS a2, c_there AS c1, j AS c2, dir FROM o JOIN f USING (id)
+  UNION ALL SELECT o.id, c, false, false, false, false, false, false, false FROM o ANTI JOIN f USING (id)
+), r AS (
+  SELECT id, c, CASE c WHEN 0 THEN NULL WHEN 1 THEN 'invalid' WHEN 2 THEN 'failed' WHEN 3 THEN 'failed' ELSE 'success' END AS status,
+    CASE c WHEN 0 THEN ['/o/' || id || '/.ocr_status.json'] ELSE list_filter([CASE WHEN c > 5 AND NOT m1 THEN '/o/' || id || '/' || id || '.md' END, CASE WHEN c > 6 AND NOT a1 THEN 'a.json' END, CASE WHEN c > 6 AND NOT c1 THEN 'x/../c.jsonl' END], lambda x: x IS NOT NULL) END AS missing,
+    CASE c WHEN 1 THEN ['/o/' || id || '/.ocr_status.json:invalid_sidecar'] ELSE list_filter([CASE WHEN c > 5 AND m1 AND NOT m2 THEN '/o/' || id || '/' || id || '.md:empty_file' END, CASE WHEN c > 6 AND a1 AND NOT a2 THEN 'a.json:invalid_json' END,
+      CASE WHEN c > 6 AND c1 AND dir THEN 'x/../c.jsonl:not_file' WHEN c > 6 AND c1 AND NOT c2 THEN 'x/../c.jsonl:invalid_jsonl' END, CASE WHEN c > 6 THEN '../out.md:outside_output_dir' END], lambda x: x IS NOT NULL) END AS invalid FROM t
+), g AS (SELECT *, CASE c WHEN 0 THEN 'artifact_missing' WHEN 1 THEN 'sidecar_invalid' WHEN 2 THEN 'artifact_incomplete' WHEN 3 THEN 'timeout' WHEN 4 THEN 'page_failure' WHEN 5 THEN 'page_failure' ELSE CASE WHEN len(missing) > 0 THEN 'artifact_missing' WHEN len(invalid) > 0 THEN 'artifact_invalid' END END AS failure_category FROM r)
+SELECT id AS out_id, failure_category IS NULL AS ok, status, failure_category, array_to_string(missing, ',') AS missing, array_to_string(invalid, ',') AS invalid FROM g
+""")
+def artifact_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand in for outputs, their lines for the files in the output's folder."""
+    key = F.col("o_orderkey")
+    folder = lambda c: F.concat(F.lit("/o/"), F.col(c).cast("string"))
+    forms = {
+        1: '{"status": ', 2: '{"status": "failed"}', 3: '{"status": "failed", "failure_category": "timeout"}', 4: '{"status": "success", "failed_pages": "2"}',
+        5: '{"status": "success", "failed_pages": 0, "page_status_counts": {"error": 1}}', 6: '{"status": "success", "failed_pages": null}',
+    }
+    sidecar = F.when(key % 9 > 6, f'{{"status": "success", "artifacts": {_LISTED}}}')
+    for k, form in forms.items():
+        sidecar = sidecar.when(key % 9 == k, form)
+    outputs = table(spark, sf_dir, "orders").select(key.alias("out_id"), folder("o_orderkey").alias("folder"), F.concat(folder("o_orderkey"), F.lit("/"), key.cast("string"), F.lit(".md")).alias("markdown"), sidecar.alias("sidecar"))
+    n = F.col("l_linenumber")
+    name = F.when(n == 1, F.concat(F.col("l_orderkey").cast("string"), F.lit(".md"))).when(n == 2, "a.json").when(n == 3, "c.jsonl")
+    content = F.when(n == 2, F.when(F.col("l_discount") > 0.03, '{"a": [1]}').otherwise('{"a": [1}')).when(n == 3, F.when(F.col("l_tax") > 0.03, '{"a": 1}\n \n[2]').otherwise('{"a": 1}\nx'))
+    files = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(
+        F.concat(folder("l_orderkey"), F.lit("/"), name).alias("path"), (~((n == 3) & (F.col("l_returnflag") == "A"))).alias("is_file"), F.when((n == 1) & (F.col("l_quantity") < 10), 0).otherwise(5).alias("size"), content.alias("content")
+    )
+    found = artifacts.artifact_report(outputs, files)
+    return found.withColumns({"missing": F.array_join("missing", ","), "invalid": F.array_join("invalid", ",")})
+
+
+@query("page_cells", r"""
+WITH c AS (
+  SELECT conv_id, turn, text, CASE turn % 5 WHEN 0 THEN 'Text' WHEN 1 THEN 'Page-header' WHEN 2 THEN 'Footnote' WHEN 3 THEN 'Title' ELSE 'Page-footer' END AS category FROM conversations
+)
+SELECT conv_id, count(*) AS cells, coalesce(sum(length(text)) FILTER (NOT (turn % 5 IN (0, 2) AND regexp_matches(text, '(?i)the|[.]de'))), 0)::BIGINT AS without_keywords,
+       count(*) FILTER (category NOT IN ('Page-header', 'Footnote')) AS with_footers, count(*) FILTER (category NOT IN ('Page-header', 'Page-footer')) AS plain FROM c GROUP BY 1
+""")
+def page_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns stand in for cells: keywords and page furniture."""
+    of = F.col("turn") % 5
+    category = F.when(of == 0, "Text").when(of == 1, "Page-header").when(of == 2, "Footnote").when(of == 3, "Title").otherwise("Page-footer")
+    cells = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(category.alias("category"), "text")).alias("cells"))
+    chars = F.aggregate(C.without_keywords(F.col("cells"), ["THE", ".de"]), F.lit(0).cast("long"), lambda acc, c: acc + F.coalesce(F.length(c["text"]), F.lit(0)))
+    n = lambda c: F.size(c).cast("long")
+    return cells.select(
+        "conv_id", n("cells").alias("cells"), chars.alias("without_keywords"), n(C.without_furniture(F.col("cells"), keep_footer=True, skip_footnote=True)).alias("with_footers"), n(C.without_furniture(F.col("cells"))).alias("plain")
+    )
+
+
+@query("line_ends", r"""
+SELECT conv_id, turn, md5('a' || chr(10) || text || chr(10) || '$x\n$ \$' || chr(10) || CASE WHEN turn % 2 = 0 THEN '\(\n' || replace(text, '$', '') || '\)' || chr(10) ELSE '$$\r$\n' END) AS text
+FROM (SELECT conv_id, turn, replace(replace(text, '$', ''), chr(92), '') AS text FROM conversations)
+""")
+def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written-out line ends around every turn, inside and outside of mathematics."""
+    bare = F.regexp_replace("text", r"[$\\]", "")
+    tail = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(r"\(\n"), bare, F.lit(r"\)\r"))).otherwise(F.lit(r"$$\r$\n"))
+    whole = F.concat(F.lit(r"a\n"), bare, F.lit(r"\r\n$x\n$ \$\n"), tail)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text_udf.with_line_ends(whole).cast("binary")).alias("text"))

@@ -95,3 +95,32 @@ def assembled_markdown(pages: DataFrame, tag: bool = False) -> DataFrame:
     body = F.concat(F.lit("<!-- page "), F.coalesce(F.col("page_no").cast("string"), F.lit("?")), F.lit(" -->\n"), "markdown") if tag else F.col("markdown")
     rows = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("page_no", F.lit(2**31 - 1)).alias("n"), body.alias("b")))).alias("p"))
     return rows.select("doc", F.array_join(F.col("p.b"), "\n\n").alias("markdown"))
+
+
+# The spool's files and the gauges that count them.
+SPOOL_FILES = (("events.jsonl", "pending_event"), ("logs.jsonl", "pending_log"), ("events.failed.jsonl", "failed_event"), ("logs.failed.jsonl", "failed_log"))
+DROPPED_FILES = (("events.dropped.json", "dropped_events"), ("logs.dropped.json", "dropped_logs"))
+
+
+def spool_gauges(spark: SparkSession, root: str) -> DataFrame:
+    """dir, lines that aren't blank and bytes of each spool file, and dropped counts, of each spool folder below the root.
+
+    Files that aren't there count 0, as does a dropped count that is negative, no whole number or no JSON.
+    """
+    names = [n for n, _ in SPOOL_FILES + DROPPED_FILES]
+    apart = lambda path: (F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(root).select(*apart(F.col("path")), "length")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(root).select(*apart(F.col("_metadata.file_path")), "value").where(F.col("name").isin(*names))
+    dropped = F.try_variant_get(F.try_parse_json("value"), "$.dropped", "bigint")
+    counts = lines.groupBy("dir", "name").agg(F.count_if(F.col("value").rlike(r"\S")).alias("n"), F.max(dropped).alias("dropped"))
+    both = files.where(F.col("name").isin(*names)).join(counts.withColumn("dir", F.regexp_replace("dir", "^file:/+", "file:/")), ["dir", "name"], "left")
+    of = lambda name, value: F.coalesce(F.max(F.when(F.col("name") == name, value)), F.lit(0)).cast("long")
+    kept = [of(n, F.col("n")).alias(g + "s") for n, g in SPOOL_FILES] + [of(n, F.col("length")).alias(g + "_bytes") for n, g in SPOOL_FILES]
+    return both.groupBy("dir").agg(*kept, *(of(n, F.greatest("dropped", F.lit(0))).alias(g) for n, g in DROPPED_FILES))
+
+
+def pending_updates(spark: SparkSession, work_dir: str) -> DataFrame:
+    """pending, failed: progress updates of shards that wait below a work folder, by file name; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "shard-*").load(work_dir)
+    at = lambda end: F.count_if(F.col("path").rlike(rf"/jobs/[^/]+/pending-shard-updates/shard-[^/]*\.json{end}$"))
+    return files.agg(at("").alias("pending"), at(r"\.failed").alias("failed"))
