@@ -140,3 +140,21 @@ def manifest_root(inputs: DataFrame) -> DataFrame:
     own = F.when(F.endswith("input_path", F.concat(F.lit("/"), "relative_path")), F.left("input_path", F.length("input_path") - F.length("relative_path") - 1))
     roots = inputs.groupBy("job_id").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count_if(own.isNull()).alias("bad"))
     return roots.select("job_id", F.when((F.col("low") == F.col("high")) & (F.col("bad") == 0), F.col("low")).alias("root"))
+
+
+def integrity_issues() -> Column:
+    """How many issues a report on a manifest's integrity holds: its bad units and shards, and unless it is ok one for
+    counts or bytes of the units that differ (where there are units), else one for the manifest and one for its meta
+    file, and one for shards that hold other numbers of files. A null match is a mismatch, a null count 0; a meta file
+    is missed only where it is known not to exist, and compared only where it is named.
+    """
+    off = lambda *names: ~F.least(*(F.coalesce(F.col(n), F.lit(False)) for n in names), F.lit(True))
+    n = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
+    told = lambda name: F.col(name).isNotNull()
+    one = lambda holds: F.coalesce(holds, F.lit(False)).cast("long")
+    units = one(off("scan_unit_rows_match", "scan_unit_bytes_match"))
+    manifest = one(off("manifest_exists", "manifest_rows_match", "manifest_bytes_match") | told("manifest_error"))
+    compared = told("meta_path") & (off("meta_rows_match") | (told("meta_bytes") & off("meta_bytes_match")))
+    meta = one(F.coalesce(~F.col("meta_exists"), F.lit(False)) | told("meta_error") | compared)
+    more = F.when(n("scan_units") > 0, units).otherwise(manifest + meta) + one(off("shard_rows_match"))
+    return n("bad_scan_units") + n("bad_shards") + F.when(off("ok"), more).otherwise(0)

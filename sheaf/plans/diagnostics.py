@@ -1,4 +1,4 @@
-"""Queries over what workers and jobs report: alerts, preflight, recent errors and files, artifacts, spools."""
+"""Queries over what workers and jobs report: alerts, preflight, recent errors and files, artifacts, cells, integrity."""
 
 from __future__ import annotations
 
@@ -130,7 +130,7 @@ def recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("recent_files", """
-WITH f AS (SELECT l_orderkey AS job_id, l_linenumber AS id, 'f' || l_partkey % 90 AS path, l_shipdate AS ts FROM lineitem WHERE l_returnflag = 'R'),
+WITH f AS (SELECT l_orderkey AS job_id, l_partkey * 10 + l_linenumber AS id, 'f' || l_partkey % 90 AS path, l_shipdate AS ts FROM lineitem WHERE l_returnflag = 'R'),
 p AS (SELECT l_orderkey AS job_id, 'f' || l_suppkey % 90 AS path, min(l_linenumber) AS pos FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2),
 u AS (
   SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC NULLS LAST, id DESC) AS r, path, 'file' AS source FROM f
@@ -142,7 +142,7 @@ def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     path = lambda c: F.concat(F.lit("f"), (F.col(c) % 90).cast("string")).alias("file_path")
     status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "success").otherwise("pending")
-    files = lines.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("file_id"), path("l_partkey"), status.alias("status"), F.col("l_shipdate").alias("updated_at"))
+    files = lines.select(F.col("l_orderkey").alias("job_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("file_id"), path("l_partkey"), status.alias("status"), F.col("l_shipdate").alias("updated_at"))
     samples = lines.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("pos"), path("l_suppkey"))
     return recent.recent_files(files, samples, "failed", 2)
 
@@ -181,9 +181,10 @@ def artifact_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     name = F.when(n == 1, F.concat(F.col("l_orderkey").cast("string"), F.lit(".md"))).when(n == 2, "a.json").when(n == 3, "c.jsonl")
     content = F.when(n == 2, F.when(F.col("l_discount") > 0.03, '{"a": [1]}').otherwise('{"a": [1}')).when(n == 3, F.when(F.col("l_tax") > 0.03, '{"a": 1}\n \n[2]').otherwise('{"a": 1}\nx'))
-    files = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(
         F.concat(folder("l_orderkey"), F.lit("/"), name).alias("path"), (~((n == 3) & (F.col("l_returnflag") == "A"))).alias("is_file"), F.when((n == 1) & (F.col("l_quantity") < 10), 0).otherwise(5).alias("size"), content.alias("content")
     )
+    files = lines.groupBy("path").agg(F.min("is_file").alias("is_file"), F.max("size").alias("size"), F.min("content").alias("content"))  # lines may repeat
     found = artifacts.artifact_report(outputs, files)
     return found.withColumns({"missing": F.array_join("missing", ","), "invalid": F.array_join("invalid", ",")})
 
@@ -217,3 +218,22 @@ def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(r"\(\n"), bare, F.lit(r"\)\r"))).otherwise(F.lit(r"$$\r$\n"))
     whole = F.concat(F.lit(r"a\n"), bare, F.lit(r"\r\n$x\n$ \$\n"), tail)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text_udf.with_line_ends(whole).cast("binary")).alias("text"))
+
+
+@query("integrity_issues", """
+WITH r AS (
+  SELECT o_orderkey AS job_id, o_orderkey % 3 AS bad_units, o_orderkey % 2 AS bad_shards, o_orderkey % 5 = 0 AS ok, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS units, o_orderkey % 7 <> 0 AS unit_rows, o_orderkey % 11 <> 0 AS unit_bytes,
+         o_orderkey % 13 <> 0 AS there, o_orderkey % 17 <> 0 AS error_free, o_orderkey % 19 <> 0 AS meta_there, o_orderkey % 23 <> 0 AS meta_rows, o_orderkey % 29 <> 0 AS meta_bytes, o_orderkey % 6 <> 0 AS meta, o_orderkey % 8 <> 0 AS meta_total, o_orderkey % 31 <> 0 AS shard_rows FROM orders
+)
+SELECT job_id, CAST(bad_units + bad_shards + CASE WHEN ok THEN 0 WHEN units > 0 THEN CAST(NOT (unit_rows AND unit_bytes) AS INTEGER)
+  ELSE CAST(NOT (there AND error_free) AS INTEGER) + CAST(NOT meta_there OR (meta AND (NOT meta_rows OR (meta_total AND NOT meta_bytes))) AS INTEGER) END + CASE WHEN NOT ok AND NOT shard_rows THEN 1 ELSE 0 END AS BIGINT) AS issues FROM r
+""")
+def integrity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    reports = table(spark, sf_dir, "orders").select(
+        key.alias("job_id"), (key % 3).alias("bad_scan_units"), (key % 2).alias("bad_shards"), (key % 5 == 0).alias("ok"), F.when(key % 4 == 0, 2).alias("scan_units"), (key % 7 != 0).alias("scan_unit_rows_match"), (key % 11 != 0).alias("scan_unit_bytes_match"),
+        (key % 13 != 0).alias("manifest_exists"), F.lit(True).alias("manifest_rows_match"), F.lit(True).alias("manifest_bytes_match"), F.when(key % 17 == 0, "unreadable").alias("manifest_error"),
+        F.when(key % 19 == 0, False).alias("meta_exists"), F.lit(None).cast("string").alias("meta_error"), F.when(key % 6 != 0, "/m.json").alias("meta_path"), (key % 23 != 0).alias("meta_rows_match"), F.when(key % 8 != 0, 5).alias("meta_bytes"), (key % 29 != 0).alias("meta_bytes_match"),
+        (key % 31 != 0).alias("shard_rows_match"),
+    )
+    return reports.select("job_id", policy.integrity_issues().alias("issues"))

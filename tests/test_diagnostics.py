@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import cells as C
 from sheaf.functions import text_udf
-from sheaf.operators import artifacts, recent
+from sheaf.operators import artifacts, layout, policy, recent
 from sheaf.sources import manifest
 
 CELLS = "array<struct<category: string, bbox: array<double>, text: string>>"
@@ -94,3 +94,33 @@ def test_spools(spark, tmp_path):
     for name in ("shard-1.json", "shard-2.json", "shard-2.json.failed", "other.json"):
         (work / name).write_text("{}")
     assert tuple(manifest.pending_updates(spark, str(tmp_path)).first()) == (2, 1)
+
+
+def cell(page, category, top, bottom, text="", **more):
+    return {"page": page, "category": category, "bbox": [0.0, float(top), 100.0, float(bottom)], "text": text, **more}
+
+
+@pytest.mark.parametrize(("cells", "want"), [
+    ([], []),
+    ([cell(1, "Table", 0, 50, caption="A"), cell(2, "Page-header", 0, 5), cell(2, "Table", 10, 50, caption="B"), cell(2, "Caption", 60, 70, "B", taken=True), cell(2, "Text", 71, 75), cell(3, "Table", 0, 50)],
+     [(0, 0, "A"), (2, 0, "A"), (5, 1, None)]),
+    ([cell(1, "Caption", 0, 10, " T "), cell(1, "Table", 20, 50), cell(2, "Table", 0, 50)], [(1, 0, "T"), (2, 0, "T")]),
+    ([cell(1, "Table", 0, 20), cell(1, "Footnote", 22, 24), cell(1, "Table", 30, 40), cell(2, "Table", 0, 9)], [(0, 0, None), (3, 0, None), (2, 1, None)]),
+    ([cell(1, "Table", 0, 20), cell(1, "Text", 22, 24), cell(2, "Table", 0, 9), cell(2, "Caption", 12, 14, "X"), cell(2, "Caption", 16, 18, "Y")], [(0, 0, None), (2, 1, None)]),
+    ([cell(1, "Table", 0, 20), cell(2, "Table", 0, 9), cell(2, "Caption", 12, 14, "X"), cell(2, "Caption", 16, 18, "Y")], [(0, 0, "X"), (1, 0, "X")]),
+    ([cell(1, "Caption", 0, 9, "far"), cell(14, "Table", 0, 9), cell(15, "Caption", 0, 2, "near")], [(1, 0, "near")]),
+    ([cell(1, "Caption", 0, 9, "p", locked=True), cell(1, "Table", 10, 19)], [(1, 0, None)]),
+    ([cell(1, "Table", 10, 19), cell(1, "Caption", 12, 15, "inside")], [(0, 0, None)]),
+])
+def test_table_groups(cells, want):
+    assert layout.table_groups(cells) == want
+
+
+def test_integrity_issues(spark):
+    names = "bad_scan_units bad_shards scan_units meta_bytes|ok scan_unit_rows_match scan_unit_bytes_match manifest_exists manifest_rows_match manifest_bytes_match meta_exists meta_rows_match meta_bytes_match shard_rows_match|manifest_error meta_error meta_path"
+    kinds = [f"{n} {kind}" for part, kind in zip(names.split("|"), ("int", "boolean", "string"), strict=True) for n in part.split()]
+    good = dict.fromkeys((k.split()[0] for k in kinds), None) | {k.split()[0]: True for k in kinds if k.endswith("boolean")}
+    cases = [good, good | {"bad_shards": 2, "bad_scan_units": 1}, good | {"ok": False}, good | {"ok": None, "scan_units": 1, "scan_unit_bytes_match": None, "manifest_exists": False}, good | {"ok": False, "manifest_error": "x", "meta_exists": False, "shard_rows_match": None},
+             good | {"ok": False, "meta_exists": None, "meta_rows_match": False}, good | {"ok": False, "meta_path": "m", "meta_bytes_match": False}, good | {"ok": False, "meta_path": "m", "meta_bytes": 1, "meta_bytes_match": False}]
+    rows = spark.createDataFrame([tuple(c[k.split()[0]] for k in kinds) + (i,) for i, c in enumerate(cases)], ", ".join([*kinds, "i int"])).orderBy("i")
+    assert [r[0] for r in rows.select(policy.integrity_issues().alias("n"), "i").orderBy("i").collect()] == [0, 3, 0, 1, 3, 0, 0, 1]
