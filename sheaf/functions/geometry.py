@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions.values import let
+
 
 def area(b: Column) -> Column:
     return F.greatest(F.lit(0.0), b[2] - b[0]) * F.greatest(F.lit(0.0), b[3] - b[1])
@@ -106,3 +108,39 @@ def resized(height: Column, width: Column, factor: int = 28, least: int = 3136,
     pick = lambda v, n: F.when(h * w > most, down(v)).when(h * w < least, up(v)).otherwise(n).cast("long")
     fits = F.greatest(height, width) / F.least(height, width) <= 200
     return F.when(fits, F.struct(pick(height, h).alias("height"), pick(width, w).alias("width")))
+
+
+def fits_resized(boxes: Column, resized_size: tuple[Column, Column], original_size: tuple[Column, Column]) -> Column:
+    """Whether boxes (array<array<double>>) are of the resized page (width, height) and not of the original one.
+
+    Of the legal boxes 0.7 must lie in the resized page, 2 % or 4 points aside, and their furthest edges must be no
+    further from its scale than from the original's. No legal box, or a page without size, gives false.
+    """
+    (rw, rh), (ow, oh) = resized_size, original_size
+    legal = F.filter(boxes, lambda b: F.coalesce((F.size(b) == 4) & is_legal(b), F.lit(False)))
+    tx, ty = (F.greatest(F.lit(4), F.floor(v * 0.02)) for v in resized_size)
+    inside = F.filter(legal, lambda b: (b[0] >= -tx) & (b[1] >= -ty) & (b[2] <= rw + tx) & (b[3] <= rh + ty))
+    far = lambda k: F.array_max(F.transform(legal, lambda b: b[k]))
+    off = lambda x, y: F.abs(far(2) / ow - x) + F.abs(far(3) / oh - y)
+    sized = (F.least(rw, rh, ow, oh) > 0) & (F.size(legal) > 0)
+    return F.coalesce(F.when(sized, (F.size(inside) >= F.size(legal) * 0.7) & (off(rw / ow, rh / oh) <= off(F.lit(1.0), F.lit(1.0)))), F.lit(False))
+
+
+def rescaled_boxes(boxes: Column, resized_size: tuple[Column, Column], original_size: tuple[Column, Column]) -> Column:
+    """Boxes (array<array<double>>) of a resized page (width, height) in whole numbers of the original one, inside it.
+
+    They stay as they are if the pages have one scale or a page has no size, or if over 0.4 of them would leave the page
+    by more than 2 % or 4 points; what isn't four numbers stays too. Halves go to even. Null gives null.
+    """
+    (rw, rh), (ow, oh) = resized_size, original_size
+    scales = [F.try_divide(r, F.when(o > 0, o)) for r, o in zip(resized_size, original_size, strict=True)]
+    sized = F.coalesce(F.least(rw, rh, ow, oh) > 0, F.lit(False))
+    alike = (F.abs(scales[0] - 1) < 1e-3) & (F.abs(scales[1] - 1) < 1e-3)
+    whole = lambda b: F.coalesce(F.size(b) == 4, F.lit(False)) & ~F.exists(b, lambda v: v.isNull())
+    each = lambda of: lambda b: F.when(whole(b), of(b).cast("array<double>")).otherwise(b)
+    scaled = F.transform(boxes, each(lambda b: F.array(*(F.bround(F.try_divide(b[k], F.when(scales[k % 2] > 0, scales[k % 2])), 0) for k in range(4)))))
+    tx, ty = (F.greatest(F.lit(4), F.floor(v * 0.02)) for v in original_size)
+    out = lambda b: whole(b) & ((b[2] > ow + tx) | (b[3] > oh + ty) | (b[0] < -tx) | (b[1] < -ty))
+    clip = each(lambda b: F.array(*(F.greatest(F.lit(0.0), F.least(b[k], original_size[k % 2].cast("double"))) for k in range(4))))
+    settled = let(scaled, lambda s: F.when(F.size(F.filter(s, out)) > F.size(s) * 0.4, boxes).otherwise(F.transform(s, clip)))
+    return F.when(sized & ~alike, settled).otherwise(boxes)

@@ -161,12 +161,6 @@ def first_bad_cell(cells: Column) -> Column:
     return F.nullif(F.array_position(bad, True) - 1, F.lit(-1))
 
 
-def rescaled(bbox: Column, from_width: float, from_height: float, width: float, height: float) -> Column:
-    """A box in the scale of another image, inside it."""
-    scale = lambda x, k: F.least(F.greatest(F.round(x * F.when(k % 2 == 0, width / from_width).otherwise(height / from_height)), F.lit(0.0)), F.when(k % 2 == 0, width).otherwise(height))
-    return F.transform(bbox, scale)
-
-
 def page_dpi(width: Column, height: Column, dpi: int, most: int) -> Column:
     """The resolution at which a page in points has no more than `most` pixels."""
     pixels = width * height * (dpi / 72) ** 2

@@ -149,3 +149,65 @@ def redacted_json(config: Column) -> Column:
         return texts.map(safe, na_action="ignore")
 
     return replaced(config)
+
+
+_TABLE_TAG = re.compile(r"(?is)<table(.*?</table>)?")
+
+
+def _end_of(wanted: str, markdown: str, at: int) -> int | None:
+    """Where a text ends that is found from a position on as it stands, or else whatever its white space is."""
+    exact = markdown.find(wanted, at)
+    if exact >= 0:
+        return exact + len(wanted)
+    loose = re.compile(r"\s+".join(map(re.escape, wanted.split()))).search(markdown, at)
+    return loose.end() if loose else None
+
+
+def _place(markdown: str, table: dict, at: int) -> tuple[int, str]:
+    forms = [f for own in (table.get("html"), table.get("text")) if own and own.strip() for f in (own, own.strip())]
+    caption = (table.get("caption") or "").strip()
+    plain = caption.replace("*", "").strip()
+    for how, texts in (("snippet", forms), ("html-tag", None), ("caption", (caption, plain, " ".join((plain or caption).split())))):
+        if texts is None:
+            tag = _TABLE_TAG.search(markdown, at)
+            ends = [tag.end() if tag[1] else tag.start()] if tag else []
+        else:
+            ends = [end for end in (_end_of(t, markdown, at) for t in dict.fromkeys(texts) if t) if end is not None][:1]
+        if ends:
+            return ends[0], how
+    return len(markdown), "append-end"
+
+
+def table_places(markdown: str, tables: list[dict]) -> list[tuple[int, str]]:
+    """Behind which character of a page's Markdown each of its tables (html, text, caption) ends, and how that was found.
+
+    In the order of the tables, each one from where the one before was placed: by its HTML or text, exactly and then
+    with any white space; behind the next table tag, or in front of one that never closes; behind its caption, also
+    without stars; at the end. Null and blank fields are none.
+    """
+    out: list[tuple[int, str]] = []
+    for table in tables:
+        out.append(_place(markdown, table, out[-1][0] if out else 0))
+    return out
+
+
+def with_references(markdown: Column, tables: Column) -> Column:
+    """Markdown with each table's reference behind the table; tables: array<struct<html, text, caption, reference>>.
+
+    Null Markdown gives null, null tables none; a null reference moves the place on and adds nothing.
+    """
+
+    def one(text: str | None, listed: list[dict] | None) -> str | None:
+        if text is None or listed is None:
+            return text
+        parts, before = [], 0
+        for (end, _), table in zip(table_places(text, list(listed)), listed, strict=True):
+            parts += [text[before:end], "\n\n" + table["reference"] if table["reference"] else ""]
+            before = end
+        return "".join([*parts, text[before:]])
+
+    @F.pandas_udf("string")
+    def placed(texts: pd.Series, listed: pd.Series) -> pd.Series:
+        return pd.Series([one(t, s) for t, s in zip(texts, listed, strict=True)], dtype=object)
+
+    return placed(markdown, tables)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions import vocab
+
 # Keys, and endings of keys, whose values are secret.
 SECRET_KEYS = ("api_key", "authorization", "bearer_token", "token", "access_token", "secret", "password", "x_api_key")
 SECRET_ENDINGS = ("_api_key", "_token", "_secret", "_password")
@@ -107,3 +109,28 @@ def trimmed_front(cells: Column) -> Column:
     marks = r"(?i)\*\*\s*(摘要|abstract)\s*[：:]*\s*\*\*|[【\[]\s*(摘要|abstract)\s*[：:]*\s*[】\]]"
     anchor = F.array_position(F.transform(cells, lambda c: F.coalesce(c["text"], F.lit("")).rlike(marks)), True)
     return F.filter(cells, lambda c, k: (k + 1 >= anchor) | c["category"].isin("Title", "Section-header"))
+
+
+def safe_identifier(value: Column, pattern: str = vocab.REVISION) -> Column:
+    """Whether a name has the pattern's form and tells no secret, customer or address; null gives null.
+
+    An address is localhost, a private name, four numbers up to 255, or a name with a point whose last part is letters
+    alone, two or more, unless the whole is a version.
+    """
+    low = F.lower(value)
+    holds = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))
+    private = (low == "localhost") | F.exists(F.array(*map(F.lit, vocab.PRIVATE_SUFFIXES)), lambda e: F.endswith(low, e))
+    numbers = value.rlike(r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.|$)){4}$") & ~F.endswith(value, F.lit("."))
+    host = value.rlike(r"\.[A-Za-z]{2,}$") & ~value.rlike(f"^(?:{vocab.VERSION})$")
+    return value.rlike(f"^(?:{pattern})\\z") & ~holds(vocab.SECRET_MARKERS) & ~holds(vocab.CUSTOMER_MARKERS) & ~private & ~numbers & ~host
+
+
+def safe_provenance(profile_id: Column, revisions: Column, digests: Column) -> Column:
+    """struct<profile_id, revisions, digests> of a profile whose names are all safe, digests in lower case; else null.
+
+    revisions, digests: map<string, string>; null values are left out, null maps empty. A null profile id isn't safe.
+    """
+    kept = lambda m: F.map_filter(F.coalesce(m, F.expr("cast(map() AS map<string, string>)")), lambda _, v: v.isNotNull())
+    good = F.coalesce(safe_identifier(profile_id, vocab.PROFILE_ID), F.lit(False))
+    good = good & F.forall(F.map_values(kept(revisions)), lambda v: safe_identifier(v)) & F.forall(F.map_values(kept(digests)), lambda v: v.rlike(f"^{vocab.DIGEST}\\z"))
+    return F.when(good, F.struct(profile_id.alias("profile_id"), kept(revisions).alias("revisions"), F.transform_values(kept(digests), lambda _, v: F.lower(v)).alias("digests")))

@@ -125,3 +125,12 @@ PLAIN_STEPS = (
 # Patterns of LaTeX in text, and of what stands before a document's body.
 LATEX = r"(?s)\$\$.*?\$\$|\$[^$\n]+?\$|\\[a-zA-Z]+|\\\[.*?\\\]|\\\(.*?\\\)"
 LATEX_PREAMBLE = (r"\\documentclass\{[^}]+\}", r"\\usepackage\{[^}]+\}", r"\\usepackage\[[^\]]*\]\{[^}]+\}", r"\\begin\{document\}", r"\\end\{document\}")
+
+# Forms of profile ids, revisions and digests, and what names of theirs must not hold.
+PROFILE_ID = r"[A-Za-z0-9][A-Za-z0-9_.+-]{0,127}"
+REVISION = r"[A-Za-z0-9][A-Za-z0-9_.@+-]{0,254}"
+DIGEST = r"sha256:[0-9a-fA-F]{64}"
+VERSION = r"v?\d+(?:\.\d+){1,3}(?:[-+][A-Za-z0-9.-]+)?"
+SECRET_MARKERS = ("api_key", "apikey", "authorization", "bearer", "client_secret", "credential", "password", "secret", "token")
+CUSTOMER_MARKERS = ("customer", "tenant")
+PRIVATE_SUFFIXES = (".corp", ".internal", ".intra", ".lan", ".local", ".private", ".svc")

@@ -114,7 +114,30 @@ def dup_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.where("(n < 5 OR k = 1) AND (n_chars IS NULL OR b = 1)").select("doc_id", "source")
 
 
-@query("author_block_score")
+_AUTHORS = r"""
+WITH b AS (SELECT doc_id, text, regexp_replace(text, '<[^>]+>', '', 'g') AS bare FROM documents),
+w AS (
+  SELECT *, regexp_split_to_array(lower(bare), '[\s;(),]+') AS words, [regexp_replace(x, '^,+|,+$', '', 'g') FOR x IN regexp_split_to_array(left(bare, 200), '[\s;()]+')] AS parts,
+         length(regexp_replace(text, '[^¹²³⁴⁵⁶⁷⁸⁹⁰*†‡§′]', '', 'g')) + len(regexp_extract_all(text, '<sup>')) AS marks,
+         list_sum([(length(lower(bare)) - length(replace(lower(bare), k, ''))) // length(k) FOR k IN [ASCII]]) + list_sum([(length(bare) - length(replace(bare, k, ''))) // length(k) FOR k IN [OTHER]]) AS places FROM b
+), n AS (
+  SELECT *, len([x FOR x IN parts IF length(x) > 1 AND ((length(x) <= 4 AND regexp_matches(x, '[一-龥]')) OR (NOT list_contains([ASCII], lower(x)) AND (regexp_matches(x, '^[A-Z][a-z-]+') OR (length(x) < 15 AND regexp_matches(x, '^[A-Z][A-Z-]*[A-Z]$')))))]) AS names,
+         len([x FOR x IN words IF list_contains([STOPS], x)]) AS stops FROM w
+), s AS (
+  SELECT doc_id, CASE WHEN coalesce(length(text), 0) < 20 OR stops / len(words) > 0.1 THEN 0 ELSE
+    CASE WHEN regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b') THEN 3 ELSE 0 END + CASE WHEN marks >= 5 THEN 4 WHEN marks >= 2 THEN 3 ELSE 0 END + CASE WHEN places >= 3 THEN 3 WHEN places >= 1 THEN 1 ELSE 0 END
+    + CASE WHEN regexp_matches(bare, '\b\d{5,}\b') THEN 2 ELSE 0 END + CASE WHEN (length(text) - length(replace(text, ',', ''))) / length(text) > 0.03 THEN 1 ELSE 0 END + CASE WHEN names > 5 THEN 3 WHEN names > 2 THEN 2 ELSE 0 END
+    + CASE WHEN len(regexp_extract_all(text, '\b(DEGREES)\b')) >= 2 THEN 2 ELSE 0 END END AS score FROM n
+)
+SELECT doc_id, CAST(score AS INTEGER) AS score, score >= 5 AS is_author_block FROM s
+"""
+for _name, _words in {
+    "ASCII": [w.lower() for w in vocab.AUTHOR_INSTITUTIONS if w.isascii()], "OTHER": [w for w in vocab.AUTHOR_INSTITUTIONS if not w.isascii()], "STOPS": vocab.AUTHOR_STOP_WORDS,
+}.items():
+    _AUTHORS = _AUTHORS.replace(f"[{_name}]", "[" + ", ".join(map(_quoted, _words)) + "]")
+
+
+@query("author_block_score", _AUTHORS.replace("DEGREES", "|".join(vocab.AUTHOR_DEGREES)))
 def author_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = table(spark, sf_dir, "documents").select("doc_id", T.author_score(F.col("text")).alias("score"))
     return scored.withColumn("is_author_block", F.col("score") >= 5)

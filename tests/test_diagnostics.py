@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions import cells as C
-from sheaf.functions import text_udf
+from sheaf.functions import geometry, text_udf
+from sheaf.functions import values as V
 from sheaf.operators import artifacts, layout, policy, recent
 from sheaf.sources import manifest
 
@@ -124,3 +125,48 @@ def test_integrity_issues(spark):
              good | {"ok": False, "meta_exists": None, "meta_rows_match": False}, good | {"ok": False, "meta_path": "m", "meta_bytes_match": False}, good | {"ok": False, "meta_path": "m", "meta_bytes": 1, "meta_bytes_match": False}]
     rows = spark.createDataFrame([tuple(c[k.split()[0]] for k in kinds) + (i,) for i, c in enumerate(cases)], ", ".join([*kinds, "i int"])).orderBy("i")
     assert [r[0] for r in rows.select(policy.integrity_issues().alias("n"), "i").orderBy("i").collect()] == [0, 3, 0, 1, 3, 0, 0, 1]
+
+
+@pytest.mark.parametrize(("markdown", "tables", "want"), [
+    ("a <t>1</t> b <t>1</t> c", [{"html": "<t>1</t>"}, {"text": " <t>1</t>\n"}, {"html": "zzz"}], [(10, "snippet"), (21, "snippet"), (23, "append-end")]),
+    ("x <b>a \n c</b> y", [{"html": " ", "text": "<b>a c</b>"}], [(14, "snippet")]),
+    ("p <TABLE><tr></Table> q <table>", [{"html": "zz"}, {"text": None}], [(21, "html-tag"), (24, "html-tag")]),
+    ("Tab  1 here", [{"caption": "**Tab 1**"}], [(6, "caption")]), ("", [{"html": "x"}], [(0, "append-end")]), ("abc", [], []),
+])
+def test_table_places(markdown, tables, want):
+    assert text_udf.table_places(markdown, tables) == want
+
+
+def test_references(spark):
+    rows = [("a T b", [("T", None, None, "![1]"), (None, None, None, "![2]")]), (None, []), ("x", None), ("T", [("T", None, None, None)])]
+    frame = spark.createDataFrame(rows, "m string, t array<struct<html: string, text: string, caption: string, reference: string>>")
+    assert [r[0] for r in frame.select(text_udf.with_references(F.col("m"), F.col("t"))).collect()] == ["a T\n\n![1] b\n\n![2]", None, "x", "T"]
+
+
+def test_provenance(spark):
+    names = {"abc": True, "v1.2.3-rc": True, "1.2.3": True, "10.0.0.1": False, "300.0.0.1": True, "my-Token": False, "tenant1": False, "localhost": False, "a.lan": False, "host.example": False, "a b": False, "": False, "-a": False, "a\n": False, "m.x1": True, None: None}
+    frame = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r[0]: r[1] for r in frame.select("n", V.safe_identifier(F.col("n"))).collect()} == names
+    digest = "sha256:" + "AB" * 32
+    rows = [("p", {"model": "r1", "layout": None}, {"model": digest}), ("p", None, None), (None, {}, {}), ("p", {"model": "a b"}, {}), ("p", {}, {"model": digest + "0"})]
+    got = spark.createDataFrame(rows, "p string, r map<string, string>, d map<string, string>").select(V.safe_provenance(F.col("p"), F.col("r"), F.col("d"))).collect()
+    assert [r[0] and tuple(r[0]) for r in got] == [("p", {"model": "r1"}, {"model": digest.lower()}), ("p", {}, {}), None, None, None]
+
+
+def test_fit_in_resized(spark):
+    size = lambda w, h: (F.lit(w), F.lit(h))
+    fits = lambda boxes: spark.createDataFrame([(boxes,)], "b array<array<double>>").select(geometry.fits_resized(F.col("b"), size(500, 500), size(1000, 1000))).first()[0]
+    assert fits([[0.0, 0.0, 490.0, 510.0], [5.0, 5.0, 1.0, 1.0], [1.0]]) and not fits([[0.0, 0.0, 990.0, 990.0]]) and not fits([]) and not fits([[1.0, 1.0, 1.0, 2.0]]) and not fits(None)
+    assert fits([[0.0, 0.0, 400.0, 400.0]]) and not fits([[0.0, 0.0, 400.0, 400.0], [0.0, 0.0, 600.0, 600.0]])
+
+
+def test_rescaled_boxes(spark):
+    def boxes(value, resized=(200, 50), original=(100, 100)):
+        sizes = [(F.lit(w), F.lit(h)) for w, h in (resized, original)]
+        return spark.createDataFrame([(value,)], "b array<array<double>>").select(geometry.rescaled_boxes(F.col("b"), *sizes)).first()[0]
+
+    assert boxes([[20.0, 5.0, 101.0, 25.0], [1.0], None]) == [[10.0, 10.0, 50.0, 50.0], [1.0], None]
+    assert boxes([[-2.0, 5.0, 208.0, 51.0], [0.0, 0.0, 1.0, 1.0]]) == [[0.0, 10.0, 100.0, 100.0], [0.0, 0.0, 0.0, 2.0]]
+    assert boxes([[0.0, 0.0, 210.0, 10.0], [0.0, 0.0, 10.0, 10.0]]) == [[0.0, 0.0, 210.0, 10.0], [0.0, 0.0, 10.0, 10.0]]
+    assert boxes([[1.5, 1.0, 2.0, 2.0]], (100, 100)) == [[1.5, 1.0, 2.0, 2.0]] and boxes([[1.5, 1.0, 2.0, 2.0]], (0, 50)) == [[1.5, 1.0, 2.0, 2.0]]
+    assert boxes([]) == [] and boxes(None) is None

@@ -56,7 +56,6 @@ def test_blocks(spark):
     assert [r[0] for r in frame.select(M.first_bad_cell(F.col("c"))).collect()] == [1, None, 0]
     one = lambda c: spark.range(1).select(c).first()[0]
     numbers = lambda *x: F.array(*(F.lit(float(v)) for v in x))
-    assert one(M.rescaled(numbers(10, 20, 300, 400), 100, 100, 200, 50)) == [20.0, 10.0, 200.0, 50.0]
     assert one(M.page_dpi(F.lit(720.0), F.lit(720.0), 200, 1_000_000)) == 100 and one(M.page_dpi(F.lit(72.0), F.lit(72.0), 200, 1_000_000)) == 200
     assert one(M.reading_order(F.array(numbers(0, -1, -1), numbers(1, 0, 1), numbers(1, -1, 0)))) == [1, 2, 0]
     assert [tuple(x) for x in one(M.top_boxes(numbers(0.1, 0.9, 0.4, 0.9), 2, 3))] == [(0.9, 0, 1), (0.9, 1, 1), (0.4, 1, 0)]
