@@ -153,36 +153,41 @@ def goes_on(first: Column, second: Column) -> Column:
 
 
 def author_score(text: Column) -> Column:
-    """How much a block looks like an author block (5: it does); ASCII letters decide what looks like a name."""
-    bare = F.regexp_replace(text, "<[^>]+>", "")
-    words = F.split(F.lower(bare), r"[\s;(),]+", -1)
-    stops = F.size(F.filter(words, lambda w: w.isin(*vocab.AUTHOR_STOP_WORDS)))
+    """How much a block looks like an author block (5: it does); ASCII letters decide what looks like a name.
+
+    The text without tags, its lower case and its words are worked out once each; null and short texts score 0.
+    """
     marks = F.regexp_count(text, F.lit("[¹²³⁴⁵⁶⁷⁸⁹⁰*†‡§′]")) + F.regexp_count(text, F.lit("<sup>"))
-    places = F.lit(0)
-    for word in vocab.AUTHOR_INSTITUTIONS:
-        of, key = (F.lower(bare), word.lower()) if word.isascii() else (bare, word)
-        places = places + F.ifnull((F.length(of) - F.length(F.replace(of, F.lit(key), F.lit("")))) / len(key), F.lit(0)).cast("int")
     known = [w.lower() for w in vocab.AUTHOR_INSTITUTIONS if w.isascii()]
-    parts = F.transform(F.split(F.left(bare, F.lit(200)), r"[\s;()]+", -1), lambda w: F.regexp_replace(w, r"^,+|,+$", ""))
-    named = lambda w: (
-        (F.length(w) > 1)
-        & (
-            (F.length(w).between(2, 4) & w.rlike("[一-龥]"))
-            | (w.rlike("^[A-Z][a-z-]+") & ~F.lower(w).isin(*known))
-            | (w.rlike("^[A-Z][A-Z-]*[A-Z]$") & (F.length(w) < 15) & ~F.lower(w).isin(*known))
+
+    def times(of: Column, words: list[str]) -> Column:
+        found = lambda acc, w: acc + F.floor((F.length(of) - F.length(F.replace(of, w, F.lit("")))) / F.length(w)).cast("int")
+        return F.aggregate(F.array(*map(F.lit, words)), F.lit(0), found)
+
+    def named(w: Column) -> Column:
+        short = F.length(w).between(2, 4) & w.rlike("[一-龥]")
+        shaped = w.rlike("^[A-Z][a-z-]+") | (w.rlike("^[A-Z][A-Z-]*[A-Z]$") & (F.length(w) < 15))
+        return (F.length(w) > 1) & (short | (shaped & ~F.lower(w).isin(*known)))
+
+    def scored(bare: Column, low: Column) -> Column:
+        parts = F.transform(F.split(F.left(bare, F.lit(200)), r"[\s;()]+", -1), lambda w: F.regexp_replace(w, r"^,+|,+$", ""))
+        places = times(low, known) + times(bare, [w for w in vocab.AUTHOR_INSTITUTIONS if not w.isascii()])
+        return (
+            F.when(text.rlike(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), 3).otherwise(0)
+            + let(marks, lambda n: F.when(n >= 5, 4).when(n >= 2, 3).otherwise(0))
+            + let(places, lambda n: F.when(n >= 3, 3).when(n >= 1, 1).otherwise(0))
+            + F.when(bare.rlike(r"\b\d{5,}\b"), 2).otherwise(0)
+            + F.when((F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))) / F.length(text) > 0.03, 1).otherwise(0)
+            + let(F.size(F.filter(parts, named)), lambda n: F.when(n > 5, 3).when(n > 2, 2).otherwise(0))
+            + F.when(F.regexp_count(text, F.lit(r"\b(" + "|".join(vocab.AUTHOR_DEGREES) + r")\b")) >= 2, 2).otherwise(0)
         )
-    )
-    names = F.size(F.filter(parts, named))
-    score = (
-        F.when(text.rlike(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), 3).otherwise(0)
-        + F.when(marks >= 5, 4).when(marks >= 2, 3).otherwise(0)
-        + F.when(places >= 3, 3).when(places >= 1, 1).otherwise(0)
-        + F.when(bare.rlike(r"\b\d{5,}\b"), 2).otherwise(0)
-        + F.when((F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))) / F.length(text) > 0.03, 1).otherwise(0)
-        + F.when(names > 5, 3).when(names > 2, 2).otherwise(0)
-        + F.when(F.regexp_count(text, F.lit(r"\b(" + "|".join(vocab.AUTHOR_DEGREES) + r")\b")) >= 2, 2).otherwise(0)
-    )
-    return F.when((F.coalesce(F.length(text), F.lit(0)) < 20) | (stops / F.size(words) > 0.1), 0).otherwise(score)
+
+    def judged(bare: Column, low: Column) -> Column:
+        prose = let(F.split(low, r"[\s;(),]+", -1), lambda words: F.size(F.filter(words, lambda w: w.isin(*vocab.AUTHOR_STOP_WORDS))) / F.size(words) > 0.1)
+        return F.when(prose, 0).otherwise(scored(bare, low))
+
+    whole = let(F.regexp_replace(text, "<[^>]+>", ""), lambda bare: let(F.lower(bare), lambda low: judged(bare, low)))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) < 20, 0).otherwise(whole)
 
 
 def tokens_in_order(text: Column, tokens: Column) -> Column:
