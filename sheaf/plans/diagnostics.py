@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import cells as C
 from sheaf.functions import text_udf
+from sheaf.functions import values as V
 from sheaf.operators import alerts, artifacts, policy, recent
 from sheaf.plans.registry import query, table
 
@@ -237,3 +238,15 @@ def integrity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 31 != 0).alias("shard_rows_match"),
     )
     return reports.select("job_id", policy.integrity_issues().alias("issues"))
+
+
+@query("safe_names", r"""
+WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'v1.' || p_size || '.0' WHEN 1 THEN '10.0.' || p_size || '.1' WHEN 2 THEN 'my-Token-' || p_size WHEN 3 THEN 'host.lan' WHEN 4 THEN replace(p_type, ' ', '-') ELSE p_type END AS name FROM part)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN true WHEN 4 THEN regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_.@+-]{0,254}') WHEN 5 THEN NOT contains(name, ' ') ELSE false END AS safe FROM n
+""")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of versions, addresses, secrets, hosts and plain words as revisions."""
+    of, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    plain = F.when(of == 4, F.replace("p_type", F.lit(" "), F.lit("-"))).otherwise(F.col("p_type"))
+    name = F.when(of == 0, F.concat(F.lit("v1."), size, F.lit(".0"))).when(of == 1, F.concat(F.lit("10.0."), size, F.lit(".1"))).when(of == 2, F.concat(F.lit("my-Token-"), size)).when(of == 3, "host.lan").otherwise(plain)
+    return table(spark, sf_dir, "part").select("p_partkey", V.safe_identifier(name).alias("safe"))
