@@ -9,6 +9,7 @@ from sheaf.functions import text as T
 from sheaf.functions import vocab
 from sheaf.functions.values import let
 from sheaf.plans.registry import query, table
+from sheaf.sources.scratch import is_small, partitions, written
 
 
 def _quoted(value: str) -> str:
@@ -367,24 +368,32 @@ def minhash_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label that agrees with each text on most of 64 hash minima; ties, and texts that agree with none, get the
     label that comes first.
 
-    Every shingle is hashed once, and the 64 functions are arithmetic on that. Signatures meet by (seed, minimum), an
-    equi join, so labels that agree nowhere are never compared.
+    Texts that are the same without what is no letter or digit are signed once, as are labels. Every shingle is hashed
+    once, and the 64 functions are arithmetic on that, kept as 64 minima of one aggregate. Signatures meet by (seed,
+    minimum), an equi join, so labels that agree nowhere are never compared.
     """
-    def signed(texts: DataFrame, key: str) -> DataFrame:
-        bare = F.regexp_replace(F.lower("t"), r"(?U)[^\w]+", "")
-        shingles = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda k: F.call_function("substring", t, k, F.lit(3))))
-        hashed = F.transform(let(bare, shingles), lambda s: F.call_function("conv", F.left(F.md5(s.cast("binary")), F.lit(12)), F.lit(16), F.lit(10)).cast("long") % PRIME)
-        factors = F.array(*(F.struct(F.lit(k).alias("seed"), F.lit(_factor(k)).cast("long").alias("factor")) for k in range(1, SEEDS + 1)))
-        signature = F.transform(factors, lambda f: F.struct(f["seed"].alias("seed"), F.array_min(F.transform(F.col("h"), lambda x: (x * f["factor"] + f["seed"]) % PRIME)).alias("m")))
-        return texts.select(key, hashed.alias("h")).select(key, F.explode(signature).alias("x")).select(key, "x.seed", "x.m")
+    bare = F.regexp_replace(F.lower("t"), r"(?U)[^\w]+", "").alias("bare")
+
+    def signed(texts: DataFrame) -> DataFrame:
+        """bare, seed, m, of distinct bare texts, which are dealt out by number: their bytes say little of their work."""
+        shingles = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda k: F.array_join(F.slice(c, k, F.lit(3)), ""))
+        cut = texts.repartition(partitions(spark), "bare").select("bare", F.explode(let(F.split("bare", "", -1), shingles)).alias("s"))
+        hashed = cut.select("bare", (F.call_function("conv", F.left(F.md5(F.col("s").cast("binary")), F.lit(12)), F.lit(16), F.lit(10)).cast("long") % PRIME).alias("h"))
+        minima = hashed.groupBy("bare").agg(*(F.min((F.col("h") * _factor(k) + k) % PRIME).alias(f"m{k}") for k in range(1, SEEDS + 1)))
+        return minima.select("bare", F.posexplode(F.array(*(f"m{k}" for k in range(1, SEEDS + 1)))).alias("seed", "m"))
 
     part = table(spark, sf_dir, "part")
-    asked = part.where("trim(p_name) <> ''").select("p_partkey", F.col("p_name").alias("t"))
-    labels = part.where("trim(p_type) <> ''").groupBy(F.trim("p_type").alias("label")).agg(F.min("p_partkey").alias("pos")).withColumn("t", F.col("label"))
-    found = signed(asked, "p_partkey").join(signed(labels, "label"), ["seed", "m"]).groupBy("p_partkey", "label").agg(F.count("seed").alias("agree"))
-    best = found.join(labels.select("label", "pos"), "label").groupBy("p_partkey").agg(F.min(F.struct(-F.col("agree"), "pos", "label")).alias("b"))
-    first = labels.agg(F.min_by("label", "pos").alias("first")).scalar()
-    named = asked.join(best, "p_partkey", "left")
+    asked = part.where("trim(p_name) <> ''").select("p_partkey", F.col("p_name").alias("t")).select("p_partkey", bare)
+    labels = part.where("trim(p_type) <> ''").groupBy(F.trim("p_type").alias("t")).agg(F.min("p_partkey").alias("pos"))
+    labels = labels.select("pos", F.col("t").alias("label"), bare).groupBy("bare").agg(F.min(F.struct("pos", "label")).alias("l"))  # of labels signed alike the first wins
+    labels = written(labels, "labels")
+    known = labels.join(signed(labels.select("bare")), "bare").select("seed", "m", "l")
+    if is_small(labels, (F.octet_length("l.label") + 50) * SEEDS):
+        known = F.broadcast(known)
+    found = signed(asked.select("bare").distinct()).join(known, ["seed", "m"]).groupBy("bare", "l").agg(F.count("seed").alias("agree"))
+    best = found.groupBy("bare").agg(F.min(F.struct(-F.col("agree"), "l.pos", "l.label")).alias("b"))
+    first = labels.agg(F.min("l")["label"].alias("first")).scalar()
+    named = asked.join(best, "bare", "left")
     return named.select("p_partkey", F.coalesce("b.label", first).alias("label"), F.coalesce(-F.col("b.col1"), F.lit(0)).cast("long").alias("agree"))
 
 
